@@ -21,7 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """The words of a text as an array; empty for null or blank text."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, GAP))
+
+
+def word_count(text: Column) -> Column:
+    return F.size(words(text)).cast("long")
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -5,19 +5,104 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gapline.llm import simhash
+from gapline.llm import cross_parsing, decontaminate, line_dedup, maxscore, mixing, simhash
 from gapline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place where a benchmark item is found in a document."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated lines: doc_id, n_lines, n_dropped, text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_lines(docs, counts=True)
+
+
+def op6_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best candidates of every vector whose id is divisible by 100."""
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_parsing.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
+    "op4_line_dedup": op4_line_dedup,
+    "op6_maxscore": op6_maxscore,
+    "op7_mixing": op7_mixing,
+    "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+MAXSCORE_SQL = """
+WITH ok AS (
+  SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+),
+q AS (SELECT vec_id AS query_id, v AS qv FROM ok WHERE vec_id % 100 = 0),
+scored AS (
+  SELECT q.query_id, ok.vec_id,
+         CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.qv, ok.v)]) AS BIGINT) AS score
+  FROM q JOIN ok ON q.query_id <> ok.vec_id
+),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+MIXING_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         greatest(0.05::DOUBLE, (1.0::DOUBLE + length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[\p{L} \t\n\r\f]+', '', 'g')))
+           / (1.0::DOUBLE + length(coalesce(text, '')))) AS quality,
+         (CAST(('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12)) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+  FROM documents
+),
+keyed AS (SELECT *, -ln(u) / quality AS key FROM d),
+sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM keyed GROUP BY source),
+w AS (
+  SELECT *, CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS DOUBLE) AS weight, source_size::DOUBLE * 3 AS cap FROM sizes
+),
+f AS (
+  SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before,
+         sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight,
+         CAST(sum(source_size) OVER () AS DOUBLE) AS total
+  FROM w
+),
+l AS (SELECT *, (total - full_before) / open_weight AS level FROM f),
+o AS (SELECT *, max(CASE WHEN level * weight <= cap THEN level END) OVER () AS open_level FROM l),
+t AS (
+  SELECT source, source_size, least(cap, coalesce(open_level * weight, cap)) AS target FROM o
+),
+e AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t
+),
+r AS (
+  SELECT k.doc_id, k.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
+         sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size ROWS UNBOUNDED PRECEDING) AS running
+  FROM keyed k JOIN e ON k.source IS NOT DISTINCT FROM e.source
+)
+SELECT doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN running - size / 2.0 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_maxscore": MAXSCORE_SQL,
+    "op7_mixing": MIXING_SQL,
+}
