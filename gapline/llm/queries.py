@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapline.llm import cross_parsing, decontaminate, line_dedup, maxscore, mixing, simhash
+from gapline.llm import cross_parsing, decontaminate, kneser_ney, line_dedup, maxscore, mixing, pii, simhash, site_style_tree, warc
 from gapline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,12 +22,23 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, after a round trip through dictionary-compressed archives."""
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its repeated lines: doc_id, n_lines, n_dropped, text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.drop_lines(docs, counts=True)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates in the place of personal data: doc_id, text, n_entities."""
+    return pii.replace(table(spark, sf_dir, "documents"))
+
+
 def op6_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best candidates of every vector whose id is divisible by 100."""
     return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
@@ -37,6 +48,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity and verdict of every document; trusted are those that labels call good and not toxic."""
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), kneser_ney.trusted_documents(table(spark, sf_dir, "labels")))
+
+
+def op9_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return site_style_tree.main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_parsing.identify(table(spark, sf_dir, "documents"))
 
@@ -44,9 +65,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
+    "op3_warc": op3_warc,
     "op4_line_dedup": op4_line_dedup,
+    "op5_pii": op5_pii,
     "op6_maxscore": op6_maxscore,
     "op7_mixing": op7_mixing,
+    "op8_kneser_ney": op8_kneser_ney,
+    "op9_site_style_tree": op9_site_style_tree,
     "op10_language_id": op10_language_id,
 }
 
@@ -102,7 +127,19 @@ r AS (
 SELECT doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN running - size / 2.0 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
 """
 
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+),
+l AS (SELECT payload_digest, max(page_id) AS last FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+       CASE WHEN p.page_id < l.last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN p.page_id < l.last THEN l.last END AS refers_to
+FROM p LEFT JOIN l ON p.payload_digest = l.payload_digest
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc": WARC_SQL,
     "op6_maxscore": MAXSCORE_SQL,
     "op7_mixing": MIXING_SQL,
 }
