@@ -35,6 +35,8 @@ BINS = BANDS * ROWS // FUNCTIONS
 SIMILAR = 0.8
 #: Characters hashed together; lines of one group that a task compares; lines sampled to find frequent band values.
 TOGETHER, BLOCK, SAMPLE = 1 << 20, 1500, 100_000
+#: Lines of a group that are compared as plain sets; more are compared as arrays.
+FEW = 12
 
 _rng = np.random.default_rng(20_240_131)
 _MULTIPLY = _rng.integers(1 << 62, 1 << 63, FUNCTIONS + BANDS * ROWS + 2, dtype=np.uint64) | np.uint64(1)
@@ -97,8 +99,28 @@ def bands(lines: list[str]) -> np.ndarray:
     return out
 
 
+def _small_forest(lines: list[str], similar: float) -> list[tuple[int, int]]:
+    """``jaccard_forest`` of a few lines, on plain sets."""
+    sets = [{x[k : k + SHINGLE] for k in range(max(1, len(x) - SHINGLE + 1))} for x in lines]
+    open_, queue, out = list(range(1, len(lines))), [0], []
+    while open_:
+        own = queue.pop() if queue else open_.pop(0)
+        mine, left = sets[own], []
+        for k in open_:
+            small, large = sorted((len(mine), len(sets[k])))
+            if small >= similar * large - 1e-9 and (shared := len(mine & sets[k])) >= similar * (small + large - shared) - 1e-9:
+                out.append((own, k))
+                queue.append(k)
+            else:
+                left.append(k)
+        open_ = left
+    return out
+
+
 def jaccard_forest(lines: list[str], similar: float = SIMILAR) -> list[tuple[int, int]]:
     """A spanning forest of the graph of lines whose exact shingle sets have at least this Jaccard similarity."""
+    if len(lines) <= FEW:
+        return _small_forest(lines, similar)
     h, counts = shingles(lines)
     cuts = np.concatenate([[0], np.cumsum(counts)])
     sets = [np.unique(h[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -199,9 +221,9 @@ def groups(docs: DataFrame, lines: int) -> DataFrame:
                     more_h.append(np.array(pairs, _U).view(np.int64))
                     more_k.append(np.full(n, own))
                 h, k = np.concatenate(more_h), np.concatenate(more_k)
-            part = ((h.view(_U) >> _U(33)) % _U(parts)).astype(np.int64)
+            part = ((h.view(_U) >> _U(33)) % _U(8 * parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[order], np.arange(parts + 1))
+            edges = np.searchsorted(part[order], np.arange(8 * parts + 1))
             full = np.flatnonzero(np.diff(edges))
             yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([h[order[edges[p] : edges[p + 1]]].tobytes() for p in full], pa.binary()), pa.array([k[order[edges[p] : edges[p + 1]]].tobytes() for p in full], pa.binary())], ["part", "h", "k"])
 
