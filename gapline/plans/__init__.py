@@ -1,3 +1,3 @@
 """All registered queries of the engine's own operators."""
 
-from gapline.plans import reports, rules, text, upsert  # noqa: F401
+from gapline.plans import reports, rules, text, upsert, vectors  # noqa: F401
