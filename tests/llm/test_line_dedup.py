@@ -60,11 +60,13 @@ def test_signature_estimates_jaccard():
     assert (h[0] == h[5]).all() and (h[0] == h[1]).sum() >= 4 and (h[0] == h[2]).sum() == 0 and len({*h[3], *h[4]}) == 2 * ld.BANDS
 
 
-def test_forest_is_spanning():
+def test_forest_is_spanning(monkeypatch):
     base = "the quick brown fox jumps over the lazy dog and runs away into the dark wood number "
     lines = [base + str(k) for k in range(40)] + ["something else entirely %d %s" % (k, "xyz" * k) for k in range(5)]
-    links = ld.jaccard_forest(lines)
-    assert len(links) == 39 and all(jaccard(lines[a], lines[b]) >= 0.8 for a, b in links)
+    for few in (ld.FEW, 100):
+        monkeypatch.setattr(ld, "FEW", few)
+        links = ld.jaccard_forest(lines)
+        assert len(links) == 39 and all(jaccard(lines[a], lines[b]) >= 0.8 for a, b in links)
 
 
 def test_matches_brute_force(spark, sf):
