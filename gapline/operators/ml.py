@@ -15,6 +15,8 @@ from gapline.operators.vectors import doubles, dot, norm, semantic_candidates
 
 #: Rows that cells and components are fitted on; every row is indexed and transformed.
 FIT_ROWS = 100_000
+#: Cells, and cells that a query looks into. Vectors without clusters need most cells for a recall of 0.9 (see ``recall``).
+CELLS, PROBED = 16, 13
 
 
 def as_vectors(vectors: DataFrame) -> DataFrame:

@@ -70,12 +70,12 @@ def _(t):
 
 @query("vector_search_ann")
 def _(t):
-    return M.search_cells(t.vectors, M.fit_cells(t.vectors, 16), [("q", Q)], 10, 4)
+    return M.search_cells(t.vectors, M.fit_cells(t.vectors, M.CELLS), [("q", Q)], 10, M.PROBED)
 
 
 @query("ann_recall")
 def _(t):
-    return M.recall(t.vectors, probes(t), 10, 16, 6)
+    return M.recall(t.vectors, probes(t), 10, M.CELLS, M.PROBED)
 
 
 @query("coerce_dims", "SELECT chunk_id, CAST(len(embedding) AS INT) AS dims, round(embedding[1], 6) AS first_value, round(embedding[32], 6) AS last_value FROM vectors", "vectors")
