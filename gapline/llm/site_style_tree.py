@@ -50,10 +50,13 @@ CONTAINERS = {"article", "main", "section", "div", "ul", "ol", "dl", "table", "b
 
 NO_ARTICLE = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "object", "svg", "canvas", "head", "fieldset", "audio", "video", "map"}
 NO_ARTICLE_WORDS = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "copyright", "disqus", "footer", "hidden", "login",
+    "ad", "ads", "advert", "adverts", "alert", "alerts", "announcement", "advertisement", "advertising", "adsense", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "copyright", "disqus", "footer", "hidden", "login",
     "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promotion", "recommended", "related", "replies", "reply", "search", "share", "sharing", "sidebar",
     "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+NO_ARTICLE_PREFIX = re.compile(r"comment|advert|cookie|sidebar|newsletter|breadcrumb|navbar|navigation|sponsor|disqus|paginat|gdpr|ad(?:s|box|slot|unit|banner|container|wrap)$")
+#: A header of one of these belongs to the article.
+OF_ARTICLE = {"article", "entry", "post", "content", "section", "title", "story"}
 NO_ARTICLE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar"}
 
 
@@ -84,9 +87,11 @@ def said(tag: str, attributes: str, above: Node | None) -> tuple[str, bool]:
         return "", noise
     found = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
     classes = found.get("class", "")
-    if tag not in ("html", "body", "article", "main", "h1"):
-        told = set(re.split(r"[\s_\-]+", f"{classes} {found.get('id', '')}".lower()))
-        noise = noise or bool(told & NO_ARTICLE_WORDS) or found.get("role", "").lower() in NO_ARTICLE_ROLES
+    told = set(re.split(r"[\s_\-]+", f"{classes} {found.get('id', '')}".lower()))
+    if tag == "article":
+        noise = noise or any(x.startswith("comment") for x in told) or bool(told & {"reply", "ad", "promo", "sponsored"})
+    elif tag not in ("html", "body", "main", "h1"):
+        noise = noise or bool(told & NO_ARTICLE_WORDS) or any(map(NO_ARTICLE_PREFIX.match, told)) or ("header" in told and not told & OF_ARTICLE and not (above and above.article)) or found.get("role", "").lower() in NO_ARTICLE_ROLES
         noise = noise or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").lower().replace(" ", "")
     return " ".join(sorted(re.sub(r"\d+", "", classes).split())), noise
 

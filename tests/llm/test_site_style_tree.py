@@ -16,6 +16,9 @@ def test_parsing():
     assert text == "T&T\nOne two three\nFour five\na\nb"
     assert st.text_of("plain &lt;text&gt; <i>in</i>line", set()) == "plain <text> inline"
     assert st.text_of("<div>a<p class='site-nav'>b</p><form>c</form><p hidden>d<p>e<nav><ul><li>f", set()) == "a\ne"
+    inside = "<div class='page-header'>x</div><article><header class='entry-header'><h1>T</h1></header><p>a</p><ol class='commentlist'><li>no</ol><article class='comment'>no</article><div id='cookie-notice'>no</div></article><div class='adbox'>no</div>"
+    assert st.text_of(inside, set()) == "T\na"
+    assert st.text_of("<div class='header'>x</div><div class='adapter'>y</div>", set()) == "y"
     assert st.text_of("<p title='a > b'>x<unknown>y</p><style>z", set()) == "x\ny"
 
 
