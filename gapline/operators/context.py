@@ -9,11 +9,24 @@ from pyspark.sql import functions as F
 
 from gapline.functions import text as T
 
-# Words by which turns and projects are told apart.
-GREETINGS = ("hi", "hello", "hey", "good morning", "good afternoon", "good evening", "greetings")
-CONVERSATIONAL = ("how are you", "thank you", "thanks", "who are you", "what can you do", "help me", "goodbye", "bye")
-CONTEXT = {"has_api": "api|endpoint|rest", "has_database": "database|sql|table", "has_auth": "auth|login|token", "has_tests": "test|assert", "has_containers": "docker|kubernetes|container", "has_frontend": "react|html|css"}
-KEYWORDS = ("token", "ring", "there", "other", "code", "error", "rights", "copyright", "mail")
+# Words by which turns, projects and documents are told apart.
+GREETINGS = (
+    "hi", "hello", "hey", "hiya", "howdy", "good morning", "good afternoon", "good evening", "what's up", "whats up", "how are you", "how's it going", "greetings", "salutations", "yo", "sup",
+    "nice to meet you", "pleasure to meet you",
+)
+CONVERSATIONAL = ("how are things", "how's everything", "what's new", "nice weather", "how's your day", "thanks", "thank you")
+CONTEXT = {
+    "has_api": r"@app\.|fastapi|flask|router|endpoint",
+    "has_database": r"database|db\.|session|query|model|sqlalchemy",
+    "has_auth": r"auth|login|token|jwt|password|security",
+    "has_frontend": r"react|vue|angular|component|jsx|tsx",
+}
+TEST_PATHS, DOCKER_PATH, DOCKER_TEXT = r"test_|_test|tests/|spec_", "dockerfile", "docker"
+KEYWORDS = (
+    "nginx", "kubernetes", "docker", "container", "deployment", "service", "configmap", "pod", "replica", "ingress", "cloud run", "autoscaling", "cpu", "memory", "port", "environment", "health",
+    "liveness", "readiness",
+)
+CONCEPTS = ("resource limits", "health checks", "environment variables", "port configuration", "service discovery", "load balancing", "auto scaling", "container orchestration")
 
 
 def classify_intent(turns: DataFrame) -> DataFrame:
@@ -24,21 +37,32 @@ def classify_intent(turns: DataFrame) -> DataFrame:
     greets = exact | ((words <= 5) & reduce(lambda a, b: a | b, [x.startswith(g) for g in GREETINGS]))
     chats = reduce(lambda a, b: a | b, [x.contains(c) for c in CONVERSATIONAL])
     intent = F.when(greets, "greeting").when(chats, "conversational").otherwise("technical")
-    return turns.withColumns({"intent": intent, "confidence": F.when(exact, 1.0).when(greets, 0.9).when(chats, 0.8).otherwise(0.7)})
+    return turns.withColumns({"intent": intent, "confidence": F.when(intent == "conversational", "medium").otherwise("high")})
 
 
-def project_context(chunks: DataFrame, by: str) -> DataFrame:
-    """Whether any chunk of a group speaks of each subject."""
-    text = F.lower("text_content")
-    return chunks.groupBy(by).agg(*[F.bool_or(text.rlike(p)).alias(k) for k, p in CONTEXT.items()])
+def project_context(chunks: DataFrame, by: str, path: str = "path") -> DataFrame:
+    """Whether any chunk of a group, by its text or its path, shows each characteristic."""
+    text, where = F.lower("text_content"), F.lower(path)
+    flags = {k: text.rlike(p) for k, p in CONTEXT.items()}
+    flags |= {"has_tests": where.rlike(TEST_PATHS), "has_docker": where.contains(DOCKER_PATH) | text.contains(DOCKER_TEXT)}
+    return chunks.groupBy(by).agg(*[F.bool_or(f).alias(k) for k, f in flags.items()])
 
 
 def semantic_features(chunks: DataFrame) -> DataFrame:
-    """Keywords and numbers of each chunk."""
+    """Technical terms, configuration concepts and infrastructure patterns of each chunk."""
     text = F.lower("text_content")
-    words = F.filter(F.array(*map(F.lit, KEYWORDS)), lambda k: F.contains(text, k))
-    numbers = F.array_sort(F.array_distinct(F.regexp_extract_all("text_content", F.lit("[0-9]{2,}"), F.lit(0))))
-    return chunks.select("chunk_id", F.array_join(words, ",").alias("keywords"), F.array_join(numbers, ",").alias("numbers"))
+    terms = F.filter(F.array(*map(F.lit, KEYWORDS)), lambda k: F.contains(text, k))
+    close = F.replace(text, F.lit(" "), F.lit(""))
+    concepts = F.filter(F.array(*map(F.lit, CONCEPTS)), lambda k: F.contains(close, F.replace(k, F.lit(" "), F.lit(""))))
+    raw = F.col("text_content")
+    patterns = F.concat_ws(
+        ",",
+        F.when(raw.contains("replicas:") & text.contains("deployment"), "multi-replica deployment"),
+        F.when(raw.contains("livenessProbe") & raw.contains("readinessProbe"), "health monitoring"),
+        F.when(raw.contains("resources:") & text.rlike("cpu|memory"), "resource management"),
+        F.when(text.contains("autoscaling"), "horizontal scaling"),
+    )
+    return chunks.select("chunk_id", F.array_join(terms, ",").alias("technical_terms"), F.array_join(concepts, ",").alias("configuration_concepts"), patterns.alias("infrastructure_patterns"))
 
 
 def term_vocabulary(chunks: DataFrame) -> DataFrame:

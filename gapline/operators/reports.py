@@ -144,14 +144,18 @@ def ingestion_stats(log: DataFrame) -> DataFrame:
     )
 
 
-def data_quality_score(chunks: DataFrame, log: DataFrame, as_of: str, least_rows: int = 10, hours: int = 24) -> DataFrame:
-    """40 for enough rows in each source, 30 for diversity above 0.1, 20 for success of at least 0.95, 10 for freshness; grade A to F."""
-    per = chunks.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("artifact_type").alias("types"), F.max("created_at").alias("last_at"))
-    sources = per.agg(F.avg((F.col("n") >= least_rows).cast("double")).alias("enough"), F.avg((F.col("types") / F.col("n") > 0.1).cast("double")).alias("diverse"), F.max("last_at").alias("last_at"))
+def data_quality_score(chunks: DataFrame, log: DataFrame, expected: list[str], as_of: str, least_rows: int = 10, hours: int = 24) -> DataFrame:
+    """40 for the share of expected sources with enough rows, 30 for the share of sources with more than a tenth distinct artifacts,
+    20 if at least 95 % of runs succeeded, 10 if any source is fresh; grade A to F.
+    """
+    per = chunks.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("chunk_id").alias("artifacts"), F.max("created_at").alias("last_at"))
+    enough = F.count_if(F.col("source").isin(*expected) & (F.col("n") >= least_rows)) / F.lit(len(expected))
+    diverse = F.count_if(F.col("artifacts") / F.col("n") > 0.1) / F.greatest(F.lit(1), F.count("*"))
+    sources = per.agg(enough.alias("enough"), diverse.alias("diverse"), F.max("last_at").alias("last_at"))
     runs = log.agg((count_if(F.col("status") == "completed") / F.count("*")).alias("success"))
-    fresh = F.col("last_at") >= F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {hours} HOURS")
-    score = 40 * F.col("enough") + 30 * F.col("diverse") + F.when(F.col("success") >= 0.95, 20).otherwise(20 * F.col("success")) + F.when(fresh, 10).otherwise(0)
-    out = sources.join(F.broadcast(runs)).select(r(score).alias("score"))
+    fresh = F.col("last_at") > F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {hours} HOURS")
+    score = 40 * F.col("enough") + 30 * F.col("diverse") + F.when(F.col("success") >= 0.95, 20).otherwise(0) + F.when(fresh, 10).otherwise(0)
+    out = sources.join(F.broadcast(runs)).select(r(score, 2).alias("score"))
     grade = F.when(F.col("score") >= 90, "A").when(F.col("score") >= 80, "B").when(F.col("score") >= 70, "C").when(F.col("score") >= 60, "D").otherwise("F")
     return out.withColumn("grade", grade)
 
@@ -175,11 +179,13 @@ def monthly_trend(metrics: DataFrame, month: str | None = None) -> DataFrame:
 def severity_share(metrics: DataFrame) -> DataFrame:
     """Share of each severity inside its type: a window over the aggregate, not over the rows."""
     counts = metrics.groupBy("artifact_type", "severity").agg(F.count("*").alias("n"))
-    return counts.withColumn("percentage", r(F.col("n") * 100.0 / F.sum("n").over(W.partitionBy("artifact_type")), 2))
+    return counts.withColumn("percentage", r(F.col("n") * 100.0 / F.sum("n").over(W.partitionBy("artifact_type")), 1))
 
 
-def escalation_audit(metrics: DataFrame, below: float = 3.0) -> DataFrame:
-    return metrics.groupBy("artifact_type", "rule_name").agg(r(F.avg("severity")).alias("avg_severity"), F.count("*").alias("n")).filter(F.col("avg_severity") < below)
+def escalation_audit(metrics: DataFrame, low: float = 0.2, least: float = 4.0) -> DataFrame:
+    """Rules whose low-confidence results are not severe on average: escalation does not work for them."""
+    rows = metrics.filter(F.col("metric_value") < low).groupBy("rule_name").agg(r(F.avg("severity")).alias("avg_severity"), r(F.avg("metric_value")).alias("avg_confidence"))
+    return rows.filter(F.col("avg_severity") < least)
 
 
 def severity_consistency(metrics: DataFrame) -> DataFrame:

@@ -21,6 +21,10 @@ VOCABULARY = {
 PLACEHOLDERS = "todo|fixme|tbd|placeholder|replace|change|update"
 FORMATTED = {"kubernetes": r":", "fastapi": r"def |class |@", "cobol": r"(?i)PIC |COPY ", "irs": r"Field|Position|Length", "mumps": r";|\^"}
 CRITICAL, SECURITY, COMPLIANCE = 0.20, 0.15, 0.10
+# Words that raise the severity.
+SECURITY_WORDS = "authentication|authorization|encrypt|decrypt|token|credential|password|secret|key|certificate|signature|hash|permission|access|role|privilege|audit|log|security|vulnerability|attack|breach|threat"
+COMPLIANCE_WORDS = "pii|phi|gdpr|hipaa|sox|pci|compliance|regulation|audit|log|trace|monitor|report|privacy|retention|classification|protection|handling"
+SAFETY_WORDS = "patient|safety|critical|emergency|life|death|drug|medication|dosage|allergy|interaction|alarm|alert|warning|failure|backup|recovery"
 #: Weights of the semantic component by rule.
 PROBE_WEIGHTS = {"fastapi_endpoint_documentation": 0.25, "fastapi_error_handling": 0.2}
 
@@ -90,13 +94,13 @@ def severity_escalation(chunks: DataFrame) -> DataFrame:
     """Severity raised by low confidence, by words that touch security, compliance or safety, and by missing fields."""
     text, c, missing = F.lower(F.coalesce("text_content", F.lit(""))), F.col("confidence"), F.col("missing_fields")
     by_confidence = F.when(c < 0.1, 5).when(c < 0.2, 4).otherwise(1)
-    by_word = F.when(text.rlike(r"safety|hazard"), 5).when(text.rlike(r"security|password|token|compliance|regulat"), 4).otherwise(1)
+    by_word = F.when(text.rlike(rf"\b(?:{SAFETY_WORDS})\b"), 5).when(text.rlike(rf"\b(?:{SECURITY_WORDS}|{COMPLIANCE_WORDS})\b"), 4).otherwise(1)
     by_missing = F.when(missing > 2, 5).when(missing > 0, 4).otherwise(1)
     return chunks.select("chunk_id", F.greatest(F.col("severity"), by_confidence, by_word, by_missing).alias("severity"))
 
 
 def confidence_band(value: Column) -> Column:
-    return F.when(value >= 0.9, "excellent").when(value >= 0.7, "good").when(value >= 0.5, "fair").when(value >= 0.3, "poor").otherwise("critical")
+    return F.when(value >= 0.9, "high").when(value >= 0.7, "good").when(value >= 0.5, "moderate").when(value >= 0.3, "low").otherwise("very low")
 
 
 def input_contract_checks(chunks: DataFrame, as_of: str, least: int = 10, days: int = 90, coverage: float = 0.8) -> DataFrame:

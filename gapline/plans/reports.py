@@ -134,13 +134,13 @@ def _(t):
 
 
 @query("data_quality_score", """
-WITH p AS (SELECT source, count(*) AS n, count(DISTINCT artifact_type) AS k, max(created_at) AS l FROM chunks GROUP BY source),
-s AS (SELECT avg((n >= 10)::INT) AS e, avg((k / n::DOUBLE > 0.1)::INT) AS d, max(l) AS l FROM p), q AS (SELECT count(*) FILTER (status = 'completed')::DOUBLE / count(*) AS u FROM ingestion_log),
-z AS (SELECT round(40 * e + 30 * d + CASE WHEN u >= 0.95 THEN 20 ELSE 20 * u END + CASE WHEN l >= TIMESTAMP '2024-01-02 00:00:00' - INTERVAL 24 HOURS THEN 10 ELSE 0 END, 6) AS score FROM s, q)
+WITH p AS (SELECT source, count(*) AS n, count(DISTINCT chunk_id) AS k, max(created_at) AS l FROM chunks GROUP BY source),
+s AS (SELECT count(*) FILTER (source IN ('src0', 'src1', 'src2', 'src3', 'missing') AND n >= 10) / 5.0::DOUBLE AS e, count(*) FILTER (k / n::DOUBLE > 0.1) / greatest(1, count(*))::DOUBLE AS d, max(l) AS l FROM p), q AS (SELECT count(*) FILTER (status = 'completed')::DOUBLE / count(*) AS u FROM ingestion_log),
+z AS (SELECT round(40 * e + 30 * d + CASE WHEN u >= 0.95 THEN 20 ELSE 0 END + CASE WHEN l > TIMESTAMP '2024-01-02 00:00:00' - INTERVAL 24 HOURS THEN 10 ELSE 0 END, 2) AS score FROM s, q)
 SELECT score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM z
 """, "chunks", "ingestion_log")
 def _(t):
-    return R.data_quality_score(t.chunks, t.ingestion_log, "2024-01-02 00:00:00")
+    return R.data_quality_score(t.chunks, t.ingestion_log, ["src0", "src1", "src2", "src3", "missing"], "2024-01-02 00:00:00")
 
 
 @query("gap_pivot", "SELECT artifact_type, " + ", ".join(f"count(*) FILTER (rule_name = '{k}' AND NOT passed) AS {k}" for k in RULES) + " FROM gap_metrics GROUP BY artifact_type", "gap_metrics")
@@ -158,12 +158,12 @@ def _(t):
     return R.monthly_trend(t.gap_metrics)
 
 
-@query("severity_share", "SELECT artifact_type, severity, count(*) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY artifact_type), 2) AS percentage FROM gap_metrics GROUP BY artifact_type, severity", "gap_metrics")
+@query("severity_share", "SELECT artifact_type, severity, count(*) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY artifact_type), 1) AS percentage FROM gap_metrics GROUP BY artifact_type, severity", "gap_metrics")
 def _(t):
     return R.severity_share(t.gap_metrics)
 
 
-@query("escalation_audit", "SELECT artifact_type, rule_name, round(avg(severity), 6) AS avg_severity, count(*) AS n FROM gap_metrics GROUP BY ALL HAVING round(avg(severity), 6) < 3.0", "gap_metrics")
+@query("escalation_audit", "SELECT rule_name, round(avg(severity), 6) AS avg_severity, round(avg(metric_value), 6) AS avg_confidence FROM gap_metrics WHERE metric_value < 0.2 GROUP BY rule_name HAVING round(avg(severity), 6) < 4.0", "gap_metrics")
 def _(t):
     return R.escalation_audit(t.gap_metrics)
 

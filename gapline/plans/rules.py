@@ -103,15 +103,15 @@ def _(t):
 
 
 @query("severity_escalation", r"""
-SELECT chunk_id, greatest(CAST(1 + length(text_content) % 3 AS INT), CASE WHEN c < 0.1 THEN 5 WHEN c < 0.2 THEN 4 ELSE 1 END, CASE WHEN regexp_matches(lower(text_content), 'safety|hazard') THEN 5 WHEN regexp_matches(lower(text_content), 'security|password|token|compliance|regulat') THEN 4 ELSE 1 END,
-  CASE WHEN m > 2 THEN 5 WHEN m > 0 THEN 4 ELSE 1 END) AS severity FROM (SELECT *, CAST(length(text_content) % 100 AS DOUBLE) / 100 AS c, CASE WHEN length(text_content) % 10 = 0 THEN length(text_content) % 4 ELSE 0 END AS m FROM chunks)
-""", "chunks")
+SELECT chunk_id, greatest(CAST(1 + length(text_content) % 3 AS INT), CASE WHEN c < 0.1 THEN 5 WHEN c < 0.2 THEN 4 ELSE 1 END, CASE WHEN regexp_matches(lower(text_content), '\b(?:@SAFETY)\b') THEN 5 WHEN regexp_matches(lower(text_content), '\b(?:@SECURITY|@COMPLIANCE)\b') THEN 4 ELSE 1 END,
+  CASE WHEN m > 2 THEN 5 WHEN m > 0 THEN 4 ELSE 1 END) AS severity FROM (SELECT *, CAST(length(text_content) % 100 AS DOUBLE) / 100 AS c, CASE WHEN length(text_content) % 10 = 0 THEN length(text_content) % 4 ELSE 0 END AS m FROM source_text)
+""".replace("@SAFETY", S.SAFETY_WORDS).replace("@SECURITY", S.SECURITY_WORDS).replace("@COMPLIANCE", S.COMPLIANCE_WORDS), "source_text")
 def _(t):
     n = F.length("text_content")
-    return S.severity_escalation(t.chunks.withColumns({"severity": (1 + n % 3).cast("int"), "confidence": (n % 100).cast("double") / 100, "missing_fields": F.when(n % 10 == 0, n % 4).otherwise(0)}))
+    return S.severity_escalation(t.source_text.withColumns({"severity": (1 + n % 3).cast("int"), "confidence": (n % 100).cast("double") / 100, "missing_fields": F.when(n % 10 == 0, n % 4).otherwise(0)}))
 
 
-@query("confidence_band", "SELECT band, count(*) AS n FROM (SELECT CASE WHEN metric_value >= 0.9 THEN 'excellent' WHEN metric_value >= 0.7 THEN 'good' WHEN metric_value >= 0.5 THEN 'fair' WHEN metric_value >= 0.3 THEN 'poor' ELSE 'critical' END AS band FROM gap_metrics) GROUP BY band", "gap_metrics")
+@query("confidence_band", "SELECT band, count(*) AS n FROM (SELECT CASE WHEN metric_value >= 0.9 THEN 'high' WHEN metric_value >= 0.7 THEN 'good' WHEN metric_value >= 0.5 THEN 'moderate' WHEN metric_value >= 0.3 THEN 'low' ELSE 'very low' END AS band FROM gap_metrics) GROUP BY band", "gap_metrics")
 def _(t):
     return t.gap_metrics.groupBy(S.confidence_band(F.col("metric_value")).alias("band")).agg(F.count("*").alias("n"))
 

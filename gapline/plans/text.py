@@ -197,38 +197,59 @@ def _(t):
     return X.detect_changes(pairs(t)).select("a_id", "b_id", "has_changes", "lines_added", "lines_removed", "overall_similarity", "added", "removed")
 
 
-GREET = "'" + "','".join(K.GREETINGS) + "'"
-START = " OR ".join(f"starts_with(x, '{g}')" for g in K.GREETINGS)
-CHAT = " OR ".join(f"contains(x, '{c}')" for c in K.CONVERSATIONAL)
+def quoted(words) -> list[str]:
+    return ["'" + w.replace("'", "''") + "'" for w in words]
+
+
+GREET = ",".join(quoted(K.GREETINGS))
+START = " OR ".join(f"starts_with(x, {g})" for g in quoted(K.GREETINGS))
+CHAT = " OR ".join(f"contains(x, {c})" for c in quoted(K.CONVERSATIONAL))
+# Turns with some greetings and thanks among them.
+TALK = "tk AS (SELECT conv_id, turn, role, CASE turn % 5 WHEN 1 THEN 'Hello there' WHEN 2 THEN text || ' Thanks!' ELSE text END AS text FROM turns)"
+
+
+def talk(t):
+    return t.turns.withColumn("text", F.when(F.col("turn") % 5 == 1, "Hello there").when(F.col("turn") % 5 == 2, F.concat("text", F.lit(" Thanks!"))).otherwise(F.col("text")))
+
+
 
 
 @query("classify_intent", f"""
-SELECT conv_id, turn, CASE WHEN x IN ({GREET}) OR (n <= 5 AND ({START})) THEN 'greeting' WHEN {CHAT} THEN 'conversational' ELSE 'technical' END AS intent
-FROM (SELECT conv_id, turn, {stripped("lower(text)")} AS x, len([w FOR w IN regexp_split_to_array(text, '{W}+') IF w <> '']) AS n FROM turns)
+WITH {TALK} SELECT conv_id, turn, CASE WHEN x IN ({GREET}) OR (n <= 5 AND ({START})) THEN 'greeting' WHEN {CHAT} THEN 'conversational' ELSE 'technical' END AS intent
+FROM (SELECT conv_id, turn, {stripped("lower(text)")} AS x, len([w FOR w IN regexp_split_to_array(text, '{W}+') IF w <> '']) AS n FROM tk)
 """, "turns")
 def _(t):
-    return K.classify_intent(t.turns).select("conv_id", "turn", "intent")
+    return K.classify_intent(talk(t)).select("conv_id", "turn", "intent")
 
 
 @query("intent_counts", f"""
-SELECT role, intent, count(*) AS n FROM (SELECT role, CASE WHEN x IN ({GREET}) OR (n <= 5 AND ({START})) THEN 'greeting' WHEN {CHAT} THEN 'conversational' ELSE 'technical' END AS intent
-FROM (SELECT role, {stripped("lower(text)")} AS x, len([w FOR w IN regexp_split_to_array(text, '{W}+') IF w <> '']) AS n FROM turns)) GROUP BY ALL
+WITH {TALK} SELECT role, intent, count(*) AS n FROM (SELECT role, CASE WHEN x IN ({GREET}) OR (n <= 5 AND ({START})) THEN 'greeting' WHEN {CHAT} THEN 'conversational' ELSE 'technical' END AS intent
+FROM (SELECT role, {stripped("lower(text)")} AS x, len([w FOR w IN regexp_split_to_array(text, '{W}+') IF w <> '']) AS n FROM tk)) GROUP BY ALL
 """, "turns")
 def _(t):
-    return K.classify_intent(t.turns).groupBy("role", "intent").agg(F.count("*").alias("n"))
+    return K.classify_intent(talk(t)).groupBy("role", "intent").agg(F.count("*").alias("n"))
+
 
+PATH = "source || CASE WHEN length(text_content) % 40 = 0 THEN '/tests/x.py' WHEN length(text_content) % 40 = 1 THEN '/Dockerfile' ELSE '/x.py' END"
 
-@query("project_context", "SELECT source, " + ", ".join(f"bool_or(regexp_matches(lower(text_content), '{p}')) AS {k}" for k, p in K.CONTEXT.items()) + " FROM chunks GROUP BY source", "chunks")
+
+@query("project_context", "SELECT source, " + ", ".join(f"bool_or(regexp_matches(lower(text_content), '{p}')) AS {k}" for k, p in K.CONTEXT.items()) + f", bool_or(regexp_matches(lower({PATH}), '{K.TEST_PATHS}')) AS has_tests, bool_or(contains(lower({PATH}), '{K.DOCKER_PATH}') OR contains(lower(text_content), '{K.DOCKER_TEXT}')) AS has_docker FROM chunks GROUP BY source", "chunks")
 def _(t):
-    return K.project_context(t.chunks, "source")
+    return K.project_context(t.chunks.withColumn("path", F.expr(PATH)), "source")
 
 
-KEYS = "[" + ", ".join(f"'{k}'" for k in K.KEYWORDS) + "]"
+KEYS, IDEAS = ("[" + ", ".join(quoted(w)) + "]" for w in (K.KEYWORDS, K.CONCEPTS))
 
 
-@query("semantic_features", f"SELECT chunk_id, array_to_string([k FOR k IN {KEYS} IF contains(lower(text_content), k)], ',') AS keywords, array_to_string(list_sort(list_distinct(regexp_extract_all(text_content, '[0-9]{{2,}}'))), ',') AS numbers FROM chunks", "chunks")
+@query("semantic_features", f"""
+SELECT chunk_id, array_to_string([k FOR k IN {KEYS} IF contains(lower(x), k)], ',') AS technical_terms, array_to_string([k FOR k IN {IDEAS} IF contains(replace(lower(x), ' ', ''), replace(k, ' ', ''))], ',') AS configuration_concepts,
+  concat_ws(',', CASE WHEN contains(x, 'replicas:') AND contains(lower(x), 'deployment') THEN 'multi-replica deployment' END, CASE WHEN contains(x, 'livenessProbe') AND contains(x, 'readinessProbe') THEN 'health monitoring' END,
+  CASE WHEN contains(x, 'resources:') AND regexp_matches(lower(x), 'cpu|memory') THEN 'resource management' END, CASE WHEN contains(lower(x), 'autoscaling') THEN 'horizontal scaling' END) AS infrastructure_patterns
+FROM (SELECT chunk_id, text_content || CASE WHEN length(text_content) % 3 = 0 THEN chr(10) || 'replicas: 2, resources: memory, health  checks' ELSE '' END AS x FROM source_text)
+""", "source_text")
 def _(t):
-    return K.semantic_features(t.chunks)
+    x = F.concat("text_content", F.when(F.length("text_content") % 3 == 0, "\nreplicas: 2, resources: memory, health  checks").otherwise(""))
+    return K.semantic_features(t.source_text.select("chunk_id", x.alias("text_content")))
 
 
 @query("term_vocabulary", "SELECT term, count(DISTINCT chunk_id) AS chunks FROM (SELECT chunk_id, unnest(list_distinct(regexp_extract_all(lower(text_content), '[a-z]{4,}'))) AS term FROM chunks) GROUP BY term HAVING count(DISTINCT chunk_id) > 1", "chunks")
