@@ -125,12 +125,13 @@ def reconstruction_error(vectors: DataFrame, reducer: Reducer) -> DataFrame:
     return both.agg(F.round(F.avg(error), 6).alias("mean_squared_error"), F.count("*").alias("vectors"))
 
 
-def quality_report(log: DataFrame) -> DataFrame:
-    """Success rate, throughput against ten records a second, and what to do."""
-    base = log.agg(F.count("*").alias("total"), (F.count_if(F.col("status") == "completed") / F.count("*")).alias("s"), F.avg("processing_duration_ms").alias("ms"))
-    rate = 1000 / F.col("ms")
-    advice = F.when(F.col("s") < 0.95, "check failures").when(rate < 10, "raise batch size").otherwise("none")
-    return base.select("total", F.round("s", 6).alias("success_rate"), F.round(rate, 6).alias("per_second"), F.round(F.least(F.lit(1.0), rate / 10), 6).alias("throughput_score"), advice.alias("recommendation"))
+def quality_report(log: DataFrame, similarity: float = 1.0) -> DataFrame:
+    """Success rate, similarity kept, throughput against a hundred records a second, and what to do about them."""
+    base = log.agg(F.count("*").alias("total"), (F.count_if(F.col("status") == "completed") / F.greatest(F.lit(1), F.count("*"))).alias("s"), F.avg("processing_duration_ms").alias("ms"))
+    rate = F.coalesce(F.try_divide(F.lit(1000.0), F.col("ms")), F.lit(0.0))
+    failing, lossy = F.col("s") < 0.95, F.lit(similarity < 0.9)
+    advice = F.concat_ws("; ", F.when(failing, "investigate failed records"), F.when(lossy, "adjust dimension reduction"), F.when(~failing & ~lossy, "no action"))
+    return base.select("total", F.round("s", 6).alias("success_rate"), F.lit(similarity).alias("similarity_score"), F.round(rate, 6).alias("per_second"), F.round(F.least(F.lit(1.0), rate / 100), 6).alias("throughput_score"), advice.alias("recommendation"))
 
 
 def embed_texts(chunks: DataFrame, dims: int = 768) -> DataFrame:

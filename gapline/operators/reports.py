@@ -237,10 +237,11 @@ def recent_runs(log: DataFrame, n: int = 20) -> DataFrame:
     return log.select("run_id", "source_type", "status", "started_at", r(F.col("processing_duration_ms") / 1000).alias("seconds")).orderBy(F.desc("started_at"), F.desc("run_id")).limit(n)
 
 
-def table_quality(chunks: DataFrame, short: int = 50) -> DataFrame:
-    """1 - (null ids + duplicate ids + short texts) / rows, at least 0."""
-    a = chunks.agg(F.count("*").alias("n"), count_if(F.col("chunk_id").isNull()).alias("null_ids"), (F.count("chunk_id") - F.count_distinct("chunk_id")).alias("duplicate_ids"), count_if(F.length("text_content") < short).alias("short_texts"))
-    return a.withColumn("quality", r(F.greatest(F.lit(0.0), 1 - F.try_divide(F.col("null_ids") + F.col("duplicate_ids") + F.col("short_texts"), F.col("n")))))
+def table_quality(chunks: DataFrame, short: int = 10) -> DataFrame:
+    """1 - (null ids + rows beyond the distinct ids + short texts) / rows, at least 0; an empty table is perfect."""
+    a = chunks.agg(F.count("*").alias("n"), count_if(F.col("chunk_id").isNull()).alias("null_ids"), (F.count("*") - F.count_distinct("chunk_id")).alias("duplicate_ids"), count_if(F.length("text_content") < short).alias("short_texts"))
+    share = F.try_divide(F.col("null_ids") + F.col("duplicate_ids") + F.col("short_texts"), F.col("n"))
+    return a.withColumn("quality", r(F.greatest(F.lit(0.0), 1 - F.coalesce(share, F.lit(0.0)))))
 
 
 def acceptance_rollup(metrics: DataFrame) -> DataFrame:

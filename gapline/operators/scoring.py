@@ -103,13 +103,24 @@ def confidence_band(value: Column) -> Column:
     return F.when(value >= 0.9, "high").when(value >= 0.7, "good").when(value >= 0.5, "moderate").when(value >= 0.3, "low").otherwise("very low")
 
 
+# Fields that each artifact type must have.
+REQUIRED = {"kubernetes": ("kind", "metadata"), "fastapi": ("api_path",), "cobol": ("record_name",), "irs": ("record_name",), "mumps": ("record_name",)}
+
+
 def input_contract_checks(chunks: DataFrame, as_of: str, least: int = 10, days: int = 90, coverage: float = 0.8) -> DataFrame:
-    """Per artifact type: missing fields, short texts, stale chunks, and whether the share of sound chunks reaches ``coverage``."""
-    fresh = F.col("created_at") >= F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS")
-    fields = F.col("chunk_id").isNotNull() & F.col("source").isNotNull() & F.col("text_content").isNotNull()
-    sound = fields & (F.length("text_content") >= least) & fresh
-    out = chunks.groupBy("artifact_type").agg(F.count("*").alias("n"), F.count_if(~fields).alias("missing_fields"), F.count_if(F.length("text_content") < least).alias("short_texts"), F.count_if(~fresh).alias("stale"), F.round(F.count_if(sound) / F.count("*"), 6).alias("sound_share"))
-    return out.withColumn("accepted", F.col("sound_share") >= coverage)
+    """Per artifact type: missing fields, wrong types, short texts, stale chunks, the share of required fields that are there and
+    whether it reaches ``coverage``. Columns that the table lacks count as missing.
+    """
+
+    def there(c: str) -> Column:
+        return F.col(c).isNotNull().cast("int") if c in chunks.columns else F.lit(0)
+
+    common = there("chunk_id") + there("artifact_type") + there("text_content")
+    share = _by_type({k: (common + reduce(lambda a, b: a + b, map(there, f))) / (3 + len(f)) for k, f in REQUIRED.items()}, common / 3)
+    wrong = (F.col("artifact_type") == "kubernetes") & ~F.col("text_content").rlike("kind:|apiVersion:")
+    stale = F.col("created_at") < F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS")
+    out = chunks.groupBy("artifact_type").agg(F.count("*").alias("n"), F.count_if(common < 3).alias("missing_fields"), F.count_if(wrong).alias("wrong_type"), F.count_if(F.length("text_content") < least).alias("short_texts"), F.count_if(stale).alias("stale"), F.round(F.avg(share), 6).alias("field_coverage"))
+    return out.withColumn("accepted", F.col("field_coverage") >= coverage)
 
 
 def gap_consistency(metrics: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -126,11 +137,10 @@ def row_validity_rate(rows: DataFrame, column: str, pattern: str, by: str) -> Da
     return rows.groupBy(by).agg(F.round(F.try_divide(F.count_if(ok), F.count("*")), 6).alias("validity"))
 
 
-def volume_flag(daily: DataFrame, low: float = 0.5, high: float = 1.5) -> DataFrame:
-    """``daily(day, n)``: each day's volume against the mean of all days."""
-    mean = daily.agg(F.avg("n").alias("mean"))
-    ratio = F.col("n") / F.col("mean")
-    return daily.join(F.broadcast(mean)).select("day", "n", F.when(ratio < low, "low").when(ratio > high, "high").otherwise("normal").alias("flag"))
+def volume_flag(rows: DataFrame, at: str, amount: str, least: int, most: float) -> DataFrame:
+    """Per day: LOW_VOLUME below ``least`` rows, HIGH_VALUE_ANOMALY above a mean amount of ``most``, else NORMAL."""
+    per = rows.groupBy(F.to_date(at).alias("day")).agg(F.count("*").alias("n"), F.avg(amount).alias("mean"))
+    return per.select("day", "n", F.round("mean", 6).alias("avg_amount"), F.when(F.col("n") < least, "LOW_VOLUME").when(F.col("mean") > most, "HIGH_VALUE_ANOMALY").otherwise("NORMAL").alias("quality_flag"))
 
 
 def remediate_nulls(rows: DataFrame, fills: dict[str, Column]) -> DataFrame:

@@ -225,7 +225,7 @@ def _(t):
     return R.recent_runs(t.ingestion_log)
 
 
-@query("table_quality", "SELECT *, round(greatest(0, 1 - (null_ids + duplicate_ids + short_texts)::DOUBLE / n), 6) AS quality FROM (SELECT count(*) AS n, count(*) FILTER (chunk_id IS NULL) AS null_ids, count(chunk_id) - count(DISTINCT chunk_id) AS duplicate_ids, count(*) FILTER (length(text_content) < 50) AS short_texts FROM chunks)", "chunks")
+@query("table_quality", "SELECT *, round(greatest(0, 1 - (null_ids + duplicate_ids + short_texts)::DOUBLE / n), 6) AS quality FROM (SELECT count(*) AS n, count(*) FILTER (chunk_id IS NULL) AS null_ids, count(*) - count(DISTINCT chunk_id) AS duplicate_ids, count(*) FILTER (length(text_content) < 10) AS short_texts FROM chunks)", "chunks")
 def _(t):
     return R.table_quality(t.chunks)
 

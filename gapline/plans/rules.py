@@ -117,11 +117,14 @@ def _(t):
 
 
 @query("input_contract_checks", """
-SELECT *, sound_share >= 0.8 AS accepted FROM (SELECT artifact_type, count(*) AS n, count(*) FILTER (NOT (chunk_id IS NOT NULL AND source IS NOT NULL AND text_content IS NOT NULL)) AS missing_fields, count(*) FILTER (length(text_content) < 10) AS short_texts,
-  count(*) FILTER (created_at < TIMESTAMP '2024-03-31' - INTERVAL 90 DAYS) AS stale, round(count(*) FILTER (source IS NOT NULL AND length(text_content) >= 10 AND created_at >= TIMESTAMP '2024-03-31' - INTERVAL 90 DAYS)::DOUBLE / count(*), 6) AS sound_share FROM chunks GROUP BY artifact_type)
+WITH c AS (SELECT *, CASE WHEN length(text_content) % 3 = 0 THEN NULL ELSE kind END AS k FROM chunks)
+SELECT *, field_coverage >= 0.8 AS accepted FROM (SELECT artifact_type, count(*) AS n, count(*) FILTER (text_content IS NULL) AS missing_fields, count(*) FILTER (artifact_type = 'kubernetes' AND NOT regexp_matches(text_content, 'kind:|apiVersion:')) AS wrong_type, count(*) FILTER (length(text_content) < 10) AS short_texts,
+  count(*) FILTER (created_at < TIMESTAMP '2024-03-31' - INTERVAL 90 DAYS) AS stale, round(avg(CASE artifact_type WHEN 'kubernetes' THEN (3 + (k IS NOT NULL)::INT) / 5.0::DOUBLE ELSE (3 + (source <> 'src1')::INT) / 4.0::DOUBLE END), 6) AS field_coverage FROM c GROUP BY artifact_type)
 """, "chunks")
 def _(t):
-    return S.input_contract_checks(t.chunks, "2024-03-31 00:00:00")
+    name = F.when(F.col("source") != "src1", F.col("source"))
+    rows = t.chunks.withColumns({"kind": F.when(F.length("text_content") % 3 != 0, F.col("kind")), "api_path": name, "record_name": name})
+    return S.input_contract_checks(rows, "2024-03-31 00:00:00")
 
 
 @query("gap_consistency", """
@@ -140,9 +143,9 @@ def _(t):
     return S.row_validity_rate(t.orders, "o_orderpriority", "^[1-3]-[A-Z]+$", "o_orderstatus")
 
 
-@query("volume_flag", "WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1) SELECT day, n, CASE WHEN n / (SELECT avg(n) FROM d) < 0.97 THEN 'low' WHEN n / (SELECT avg(n) FROM d) > 1.03 THEN 'high' ELSE 'normal' END AS flag FROM d")
+@query("volume_flag", "SELECT day, n, round(m, 6) AS avg_amount, CASE WHEN n < 5 THEN 'LOW_VOLUME' WHEN m > 260000 THEN 'HIGH_VALUE_ANOMALY' ELSE 'NORMAL' END AS quality_flag FROM (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n, avg(o_totalprice) AS m FROM orders GROUP BY 1)")
 def _(t):
-    return S.volume_flag(t.events.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n")), 0.97, 1.03)
+    return S.volume_flag(t.orders, "o_orderdate", "o_totalprice", 5, 260_000.0)
 
 
 @query("remediate_nulls", "SELECT gap_id, event_id, coalesce(closed_at, status_at) AS closed_at, coalesce(CASE WHEN severity = 'LOW' THEN NULL ELSE severity END, 'UNKNOWN') AS severity FROM gap_history", "gap_history")

@@ -190,10 +190,10 @@ def _(t):
 
 @query("quality_report", """
 WITH g AS (SELECT count(*) AS total, count(*) FILTER (status = 'completed')::DOUBLE / count(*) AS s, avg(processing_duration_ms) AS ms FROM ingestion_log)
-SELECT total, round(s, 6) AS success_rate, round(1000 / ms, 6) AS per_second, round(least(1, 1000 / ms / 10), 6) AS throughput_score, CASE WHEN s < 0.95 THEN 'check failures' WHEN 1000 / ms < 10 THEN 'raise batch size' ELSE 'none' END AS recommendation FROM g
+SELECT total, round(s, 6) AS success_rate, 0.85::DOUBLE AS similarity_score, round(1000 / ms, 6) AS per_second, round(least(1, 1000 / ms / 100), 6) AS throughput_score, concat_ws('; ', CASE WHEN s < 0.95 THEN 'investigate failed records' END, 'adjust dimension reduction') AS recommendation FROM g
 """, "ingestion_log")
 def _(t):
-    return M.quality_report(t.ingestion_log)
+    return M.quality_report(t.ingestion_log, 0.85)
 
 
 @query("embed_texts")
