@@ -71,12 +71,14 @@ def semantic_candidates(vectors: DataFrame, probes: DataFrame, k: int, threshold
     ``probes(rule_name, probe)``; they are broadcast up to ``most_probes`` rows, else joined block by block on a salt, so that no
     task holds all pairs. Ranking keeps k rows of each probe in each task before the shuffle.
     """
+    # Norms once for each vector and probe, not for each pair.
+    vectors, probes = vectors.withColumn("_vn", norm(F.col("embedding"))), probes.withColumn("_pn", norm(F.col("probe")))
     if probes.count() <= most_probes:
         pairs = vectors.join(F.broadcast(probes))
     else:
         blocks = 64
         pairs = vectors.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(probes.withColumn("_b", F.pmod(F.xxhash64("rule_name"), F.lit(blocks)).cast("int")), "_b")
-    similar = pairs.select("rule_name", "chunk_id", F.round(dot(F.col("embedding"), F.col("probe")) / (norm(F.col("embedding")) * norm(F.col("probe"))), 6).alias("similarity")).filter(F.col("similarity") >= threshold)
+    similar = pairs.select("rule_name", "chunk_id", F.round(dot(F.col("embedding"), F.col("probe")) / (F.col("_vn") * F.col("_pn")), 6).alias("similarity")).filter(F.col("similarity") >= threshold)
     rank = F.row_number().over(W.partitionBy("rule_name").orderBy(F.desc("similarity"), "chunk_id"))
     return similar.withColumn("neighbor_rank", rank).filter(F.col("neighbor_rank") <= k)
 
