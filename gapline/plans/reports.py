@@ -30,9 +30,9 @@ def _(t):
 WITH j AS (SELECT * FROM gap_metrics WHERE analysis_id = (SELECT max(analysis_id) FROM gap_metrics)),
 s AS (SELECT artifact_type, rule_name, string_agg(chunk_id, ',' ORDER BY chunk_id) AS sample_chunks FROM (
   SELECT *, row_number() OVER (PARTITION BY artifact_type, rule_name ORDER BY chunk_id) AS n FROM (SELECT DISTINCT artifact_type, rule_name, chunk_id FROM j)) WHERE n <= 5 GROUP BY ALL)
-SELECT j.artifact_type, j.rule_name, count(*) FILTER (passed) AS count_passed, count(*) FILTER (NOT passed) AS count_failed, count(*) AS total_chunks, round(avg(metric_value), 3) AS avg_confidence,
-  round(min(metric_value), 3) AS min_confidence, round(max(metric_value), 3) AS max_confidence, round(stddev_samp(metric_value), 3) AS confidence_stddev, any_value(s.sample_chunks) AS sample_chunks,
-  round(count(*) FILTER (passed)::DOUBLE / count(*) * 100, 1) AS pass_rate_percent
+SELECT j.artifact_type, j.rule_name, count(*) FILTER (passed) AS count_passed, count(*) FILTER (NOT passed) AS count_failed, count(*) AS total_chunks, round(round(avg(metric_value), 10), 3) AS avg_confidence,
+  round(min(metric_value), 3) AS min_confidence, round(max(metric_value), 3) AS max_confidence, round(round(stddev_samp(metric_value), 10), 3) AS confidence_stddev, any_value(s.sample_chunks) AS sample_chunks,
+  round(round(count(*) FILTER (passed)::DOUBLE / count(*) * 100, 10), 1) AS pass_rate_percent
 FROM j JOIN s USING (artifact_type, rule_name) GROUP BY j.artifact_type, j.rule_name
 """, "gap_metrics")
 def _(t):
@@ -158,7 +158,7 @@ def _(t):
     return R.monthly_trend(t.gap_metrics)
 
 
-@query("severity_share", "SELECT artifact_type, severity, count(*) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY artifact_type), 1) AS percentage FROM gap_metrics GROUP BY artifact_type, severity", "gap_metrics")
+@query("severity_share", "SELECT artifact_type, severity, count(*) AS n, round(round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY artifact_type), 10), 1) AS percentage FROM gap_metrics GROUP BY artifact_type, severity", "gap_metrics")
 def _(t):
     return R.severity_share(t.gap_metrics)
 
@@ -173,7 +173,7 @@ def _(t):
     return R.severity_consistency(t.gap_metrics)
 
 
-@query("execution_stats", "SELECT analysis_id, count(*) AS total, count(DISTINCT chunk_id) AS chunks, count(DISTINCT rule_name) AS rules, round(count(*) FILTER (NOT passed) * 100.0::DOUBLE / count(*), 2) AS failed_pct, round(count(*) FILTER (metric_value < 0.3) * 100.0::DOUBLE / count(*), 2) AS low_confidence_pct FROM gap_metrics GROUP BY analysis_id", "gap_metrics")
+@query("execution_stats", "SELECT analysis_id, count(*) AS total, count(DISTINCT chunk_id) AS chunks, count(DISTINCT rule_name) AS rules, round(round(count(*) FILTER (NOT passed) * 100.0::DOUBLE / count(*), 10), 2) AS failed_pct, round(round(count(*) FILTER (metric_value < 0.3) * 100.0::DOUBLE / count(*), 10), 2) AS low_confidence_pct FROM gap_metrics GROUP BY analysis_id", "gap_metrics")
 def _(t):
     return R.execution_stats(t.gap_metrics)
 
