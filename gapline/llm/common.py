@@ -111,13 +111,18 @@ def connected_components(edges: DataFrame, scratch: Scratch, of: str = "long") -
         if tuple(now) == seen:
             return stars.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(stars.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
         seen = tuple(now)
+        # Minima are tables of their own: both sides of a join then come from plain exchanges, which Spark can split where
+        # one node has a large part of all edges.
         both = stars.unionByName(stars.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        least = both.groupBy(F.col("hi").alias("of")).agg(F.min("lo").alias("m")).select("of", F.least("of", "m").alias("m"))
-        large = stars.join(least, F.col("lo") == F.col("of")).select("hi", F.col("m").alias("lo")).filter("hi <> lo")
-        large = large.unionByName(stars).distinct()
-        low = large.groupBy(F.col("hi").alias("of")).agg(F.min("lo").alias("m"))
-        small = large.join(low, F.col("hi") == F.col("of"))
-        small = small.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(low.select(F.col("of").alias("hi"), F.col("m").alias("lo")))
+        least = scratch.write(both.groupBy(F.col("hi").alias("of")).agg(F.min("lo").alias("m")).select("of", F.least("of", "m").alias("m")))
+        large = stars.join(scratch.load(*least), F.col("lo") == F.col("of")).select("hi", F.col("m").alias("lo")).filter("hi <> lo")
+        large = scratch.write(large.unionByName(stars).distinct())
+        edges = scratch.load(*large)
+        low = scratch.write(edges.groupBy(F.col("hi").alias("of")).agg(F.min("lo").alias("m")))
+        lows = scratch.load(*low)
+        small = edges.join(lows, F.col("hi") == F.col("of"))
+        small = small.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(lows.select(F.col("of").alias("hi"), F.col("m").alias("lo")))
         later, _ = scratch.write(local_forest(small.filter("hi <> lo"), of).distinct())
-        scratch.drop(path)
+        for old in (path, least[0], large[0], low[0]):
+            scratch.drop(old)
         path = later
