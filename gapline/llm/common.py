@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +66,14 @@ class Scratch:
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches, so that only a few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()
+
+
 def local_forest(edges: DataFrame, of: str = "long") -> DataFrame:
     """Contract each partition's edges (hi, lo) to stars around the smallest node: same components, fewer edges."""
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 DOCS, CHARS = 48, 768
 STRETCH = 1024
 #: Symbols parsed together.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 20
 UNKNOWN = "und"
 GAP, FIRST = 0, 1
 
@@ -156,6 +156,7 @@ def stretches(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     for a, b in zip(edges, edges[1:], strict=False):
         if b > a:
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:

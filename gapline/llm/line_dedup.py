@@ -28,13 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapline.llm.common import Scratch, connected_components
+from gapline.llm.common import Scratch, connected_components, slices
 
 SHINGLE, FUNCTIONS, BANDS, ROWS = 8, 3, 20, 6
 BINS = BANDS * ROWS // FUNCTIONS
 SIMILAR = 0.8
 #: Characters hashed together; lines of one group that a task compares; lines sampled to find frequent band values.
-TOGETHER, BLOCK, SAMPLE = 1 << 20, 1500, 100_000
+TOGETHER, BLOCK, SAMPLE = 1 << 18, 1500, 100_000
+#: Band values that a task packs together, that a partition gets, and the most partitions (beyond, partitions get more).
+PACK, PART, MOST_PARTS = 1 << 19, 1_000_000, 20_000
 #: Lines of a group that are compared as plain sets; more are compared as arrays.
 FEW = 12
 
@@ -149,7 +151,7 @@ def jaccard_forest(lines: list[str], similar: float = SIMILAR) -> list[tuple[int
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """(id value, row hash, normal lines with their numbers) of each document."""
-    for batch in batches:
+    for batch in slices(batches):
         for doc_id, row, text in zip(batch.column("doc_id"), batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
             yield doc_id, row, [(n, x) for n, line in enumerate((text or "").split("\n")) if (x := normal(line))]
 
@@ -158,7 +160,7 @@ def places(docs: DataFrame) -> DataFrame:
     """(doc_id, row, line, key) of every line that isn't blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, rows, numbers, keys = [], [], [], []
             for k, (_, row, lines) in enumerate(_texts([batch])):
                 ids += [k] * len(lines)
@@ -206,26 +208,41 @@ def frequent_bands(docs: DataFrame, lines: int) -> dict[int, int]:
 def groups(docs: DataFrame, lines: int) -> DataFrame:
     """(grp, key): lines that share a band value; equal groups of several bands are one."""
     blocks = frequent_bands(docs, lines)
-    parts = max(1, int(np.ceil(lines * BANDS / 2_000_000)))
+    parts = min(MOST_PARTS, max(1, -(-lines * BANDS // PART)))
+
+    def spread(h: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A frequent value becomes one value for each pair of its blocks that the line's block is in."""
+        hot = np.isin(h, np.fromiter(blocks, np.int64, len(blocks)))
+        more_h, more_k = [h[~hot]], [k[~hot]]
+        for value, own in zip(h[hot].tolist(), k[hot].tolist(), strict=True):
+            n = blocks[value]
+            mine = (own * 0x9E3779B1 >> 11) % n
+            pairs = [xxhash.xxh64_intdigest(f"{value}:{min(mine, j)}:{max(mine, j)}") for j in range(n)]
+            more_h.append(np.array(pairs, _U).view(np.int64))
+            more_k.append(np.full(n, own))
+        return np.concatenate(more_h), np.concatenate(more_k)
+
+    def packed(h: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+        part = ((h.view(_U) >> _U(33)) % _U(4 * parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        h, k, part = h[order], k[order], part[order]
+        full, starts = np.unique(part, return_index=True)
+        ends = np.append(starts[1:], len(h))
+        return pa.RecordBatch.from_arrays([pa.array(full), *(pa.array([x[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()) for x in (h, k))], ["part", "h", "k"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hs, ks, size = [], [], 0
         for keys, texts in _line_batches(batches):
             h, k = bands(texts).view(np.int64).ravel(), np.repeat(keys, BANDS)
-            if blocks:
-                hot = np.isin(h, np.fromiter(blocks, np.int64, len(blocks)))
-                more_h, more_k = [h[~hot]], [k[~hot]]
-                for value, own in zip(h[hot].tolist(), k[hot].tolist(), strict=True):
-                    n = blocks[value]
-                    mine = (own * 0x9E3779B1 >> 11) % n
-                    pairs = [xxhash.xxh64_intdigest(f"{value}:{min(mine, j)}:{max(mine, j)}") for j in range(n)]
-                    more_h.append(np.array(pairs, _U).view(np.int64))
-                    more_k.append(np.full(n, own))
-                h, k = np.concatenate(more_h), np.concatenate(more_k)
-            part = ((h.view(_U) >> _U(33)) % _U(8 * parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[order], np.arange(8 * parts + 1))
-            full = np.flatnonzero(np.diff(edges))
-            yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([h[order[edges[p] : edges[p + 1]]].tobytes() for p in full], pa.binary()), pa.array([k[order[edges[p] : edges[p + 1]]].tobytes() for p in full], pa.binary())], ["part", "h", "k"])
+            h, k = spread(h, k) if blocks else (h, k)
+            hs.append(h)
+            ks.append(k)
+            size += len(h)
+            if size >= PACK:
+                yield packed(np.concatenate(hs), np.concatenate(ks))
+                hs, ks, size = [], [], 0
+        if size:
+            yield packed(np.concatenate(hs), np.concatenate(ks))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[int, tuple[list, list]] = {}
@@ -234,8 +251,10 @@ def groups(docs: DataFrame, lines: int) -> DataFrame:
                 hs, ks = got.setdefault(p, ([], []))
                 hs.append(np.frombuffer(h, np.int64))
                 ks.append(np.frombuffer(k, np.int64))
-        for hs, ks in got.values():
+        while got:
+            _, (hs, ks) = got.popitem()
             h, k = np.concatenate(hs), np.concatenate(ks)
+            del hs, ks
             order = np.lexsort((k, h))
             h, k = h[order], k[order]
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])])
@@ -249,8 +268,7 @@ def groups(docs: DataFrame, lines: int) -> DataFrame:
             if names:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(members))], ["grp", "key"])
 
-    packed = docs.mapInArrow(pack, "part bigint, h binary, k binary")
-    return packed.repartition(parts, "part").mapInArrow(match, "grp bigint, key bigint").distinct()
+    return docs.mapInArrow(pack, "part bigint, h binary, k binary").repartition(parts, "part").mapInArrow(match, "grp bigint, key bigint").distinct()
 
 
 def line_links(members: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
