@@ -316,7 +316,9 @@ def dropped_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     members = scratch.save(groups(read, distinct.count()))
     wanted = scratch.save(members.select("key").distinct())
     texts = scratch.save(line_texts(read, wanted, wanted.count()))
-    roots = connected_components(line_links(members, texts, similar), scratch)
+    # Written first: two Python steps in one stage would keep twice the workers.
+    links = scratch.save(line_links(members, texts, similar))
+    roots = connected_components(links, scratch)
     placed = scratch.save(distinct.join(roots, distinct.key == roots.node).select("key", "root", "first"))
     keepers = placed.groupBy("root").agg(F.min(F.struct("first", "key")).alias("k")).select("root", F.col("k.key").alias("keeper"))
     losers = placed.join(keepers, "root").filter("key <> keeper").select("key", F.lit(True).alias("lost"))
