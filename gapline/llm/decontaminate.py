@@ -1,27 +1,37 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame functions only.
 
 A seed is a fixed mask over ``len(mask)`` successive words: positions marked ``1`` are hashed, positions marked ``0`` are
-ignored, so a seed still matches where a word at an ignored position was replaced. Benchmark seeds are joined to the seeds of
+ignored, so a seed still matches where a word at an ignored position was replaced. The masks cover every way in which words can
+be replaced within the tolerance: whichever words of a window differ, one of its masks hashes none of them at some offset, so
+nothing that verification would accept is missed. Benchmark seeds are joined to the seeds of
 all training texts; around each hit the whole item is laid over the text on the hit's diagonal and the words that agree are
 counted.
 
-Defined cases: a null, empty or blank text has no seeds and is never contaminated; items shorter than a mask are compared
-as a whole, by all their words; items of fewer than ``LEAST_WORDS`` words, which occur by chance, match nothing; repeated benchmark rows count once; repeated
+Defined cases: a null, empty or blank text has no seeds and is never contaminated; items shorter than a window are compared
+as a whole, with the same tolerance; items of fewer than ``LEAST_WORDS`` words, which occur by chance, match nothing; repeated benchmark rows count once; repeated
 documents are reported under their id once; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapline.llm.common import Scratch, words
 
-#: Spans of nine words, six of them hashed.
-MASKS = ("110101101", "101100111")
 #: An item is found in a text if, within ``WINDOW`` successive words (or the whole item if it is shorter), this share agrees.
 WINDOW, AGREE = 13, 0.75
 LEAST_WORDS = 5
+#: Masks for each size of window at ``AGREE``. They begin and end with a hashed word, so that what lies under a hit is in the text.
+MASKS = {
+    5: ("1111", "11101", "11011", "10111"), 6: ("1111", "11011"), 7: ("11011",), 8: ("11011", "1111", "1100011"),
+    9: ("111011", "1001111", "11010011", "111101"), 10: ("111011", "11010011", "11111"), 11: ("1101011", "1110011"),
+    12: ("111011", "110100011", "11001011", "110111"), 13: ("111011", "1100001011", "110111"),
+}
 #: Rows (seeds, hits, items) up to which one side is broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -30,25 +40,43 @@ def normal_words(text: Column) -> Column:
     return words(F.lower(text))
 
 
-def seeds(rows: DataFrame, masks: tuple[str, ...]) -> DataFrame:
+def covers(masks: tuple[str, ...], size: int, differ: int) -> bool:
+    """Whether some mask at some offset avoids the replaced words, for all choices of ``differ`` words in ``size``."""
+    hashed = [{at + k for k, bit in enumerate(m) if bit == "1"} for m in masks for at in range(size - len(m) + 1)]
+    return all(any(h.isdisjoint(places) for h in hashed) for places in itertools.combinations(range(size), differ))
+
+
+@functools.cache
+def masks_for(size: int, agree: float) -> tuple[str, ...]:
+    """Masks that find every window of ``size`` words of which the share ``agree`` is the same."""
+    differ = size - math.ceil(size * agree)
+    if covers(MASKS.get(size, ()), size, differ):
+        return MASKS[size]
+    # The words that agree stand in differ + 1 runs at most, so that one run is as long as this.
+    return ("1" * max(1, -(-(size - differ) // (differ + 1))),)
+
+
+def seeds(rows: DataFrame, masks: dict[str, int]) -> DataFrame:
     """Explode ``w`` (array of words) to one row for each position and mask: the other columns, ``pos``, ``mask``, ``h``.
 
     Shifted copies of the array are zipped, so that hashing runs on plain struct fields in generated code, and the array
     itself is not carried along (a long text would be copied for each of its words).
     """
-    span = max(map(len, masks))
     used = sorted({k for m in masks for k, bit in enumerate(m) if bit == "1"})
-    shifted = [F.slice(F.col("w"), F.lit(k + 1), F.greatest(F.size("w") - (span - 1), F.lit(0))).alias(f"w{k}") for k in used]
+    shifted = [F.slice(F.col("w"), F.lit(k + 1), F.size("w")).alias(f"w{k}") for k in used]
     others = [c for c in rows.columns if c != "w"]
     at = rows.select(*others, F.posexplode(F.arrays_zip(*shifted)).alias("pos", "s"))
-    each = [F.struct(F.lit(n).alias("mask"), F.xxhash64(F.lit(n), *[F.col(f"s.w{k}") for k, bit in enumerate(m) if bit == "1"]).alias("h")) for n, m in enumerate(masks)]
-    return at.select(*others, "pos", F.explode(F.array(*each)).alias("seed")).select(*others, "pos", "seed.mask", "seed.h")
+    each = []
+    for m, n in masks.items():
+        h = F.xxhash64(F.lit(n), *[F.col(f"s.w{k}") for k, bit in enumerate(m) if bit == "1"])
+        each.append(F.struct(F.lit(n).alias("mask"), F.when(F.col(f"s.w{len(m) - 1}").isNotNull(), h).alias("h")))
+    at = at.select(*others, "pos", F.explode(F.array(*each)).alias("seed")).filter("seed.h is not null")
+    return at.select(*others, "pos", "seed.mask", "seed.h")
 
 
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
-    masks: tuple[str, ...] = MASKS,
     window: int = WINDOW,
     agree: float = AGREE,
     broadcast_rows: int = BROADCAST_ROWS,
@@ -64,16 +92,15 @@ def contaminated(
         """Broadcast what was counted to be small; what is larger is joined by a shuffle."""
         return F.broadcast(df) if df.count() <= broadcast_rows else df
 
-    span = max(map(len, masks))
     items = benchmark.select("item_id", normal_words(F.col("text")).alias("w")).filter(F.size("w") >= LEAST_WORDS).distinct()
     items = scratch.save(items.withColumn("item", F.xxhash64("item_id", "w")).withColumn("n", F.size("w")))
-    wanted = scratch.save(seeds(items.select("item", "n", "w"), masks).withColumnRenamed("pos", "item_pos"))
+    size = F.least(F.col("n"), F.lit(window))
+    sizes = sorted(r["size"] for r in items.select(size.alias("size")).distinct().collect()) or [window]  # not more than ``window``
+    numbers = {m: k for k, m in enumerate(sorted({m for k in sizes for m in masks_for(k, agree)}))}
+    parts = [seeds(items.filter(size == k).select("item", "n", "w"), {m: numbers[m] for m in masks_for(k, agree)}) for k in sizes]
+    wanted = scratch.save(functools.reduce(DataFrame.unionByName, parts).withColumnRenamed("pos", "item_pos"))
     texts = docs.select("doc_id", F.xxhash64("text").alias("row"), normal_words(F.col("text")).alias("w"))
-    found = seeds(texts, masks).join(sized(wanted), ["mask", "h"]).select("doc_id", "row", "item", "n", (F.col("pos") - F.col("item_pos")).alias("start"))
-    for k in sorted(r["n"] for r in items.filter(F.col("n") < span).select("n").distinct().collect()):  # a few numbers below the span
-        one = "1" * k
-        short = seeds(items.filter(F.col("n") == k).select("item", "n", "w"), (one,)).drop("pos")
-        found = found.unionByName(seeds(texts, (one,)).join(sized(scratch.save(short)), ["mask", "h"]).select("doc_id", "row", "item", "n", F.col("pos").alias("start")))
+    found = seeds(texts, numbers).join(sized(wanted), ["mask", "h"]).select("doc_id", "row", "item", "n", (F.col("pos") - F.col("item_pos")).alias("start"))
     hits = scratch.save(found.distinct())
     by_doc = hits.groupBy("doc_id", "row").agg(F.collect_list(F.struct("item", "n", "start")).alias("hits")).withColumnRenamed("doc_id", "of").withColumnRenamed("row", "of_row")
     by_doc = sized(scratch.save(by_doc))

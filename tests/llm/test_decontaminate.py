@@ -1,3 +1,6 @@
+import itertools
+import math
+
 from pyspark.sql import functions as F
 
 from gapline.llm import decontaminate as dec
@@ -63,3 +66,24 @@ def test_planted_leaks(spark, sf):
     want = {(str(d), b["item_id"]) for b in items.collect() for d, t in texts if " ".join(b["text"].lower().split()) in t}
     got = {(d, i) for d, i, _ in shown(dec.contaminated(docs, items))}
     assert want and want <= got and len(got) <= len(want) + 2
+
+
+def test_every_pattern_within_the_tolerance_is_found(spark):
+    docs, items, want = [], [], set()
+    for n in [*range(dec.LEAST_WORDS, 14), 16]:
+        item = [f"n{n}w{k}" for k in range(n)]
+        size = min(dec.WINDOW, n)
+        need = math.ceil(size * dec.AGREE)
+        items.append((n, " ".join(item)))
+        for differ in range(n - need + 2):
+            for places in itertools.combinations(range(n), differ):
+                laid = ["x" if k in places else w for k, w in enumerate(item)]
+                same = [k not in places for k in range(n)]
+                docs.append((len(docs), "before it " + " ".join(laid)))
+                if max(sum(same[k : k + size]) for k in range(n - size + 1)) >= need:
+                    want.add((str(len(docs) - 1), n, 2))
+        docs += [(len(docs), " ".join(item[n - need :])), (len(docs) + 1, " ".join(item[:need]))]
+        want |= {(str(len(docs) - 2), n, need - n), (str(len(docs) - 1), n, 0)}
+    assert shown(dec.contaminated(*frames(spark, docs, items))) == want
+    assert all(dec.covers(m, n, n - math.ceil(n * dec.AGREE)) for n, m in dec.MASKS.items())
+    assert dec.masks_for(20, 0.5) == ("1",) and dec.masks_for(13, 1.0) == dec.MASKS[13]
