@@ -38,7 +38,9 @@ LEAST_IMPORTANCE, LEAST_PAGES, DECAY = 0.2, 5, 0.9
 #: Rows of low nodes (with their host) up to which they are broadcast.
 BROADCAST_ROWS = 500_000
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]{0,4000}"|'[^']{0,4000}')*)>""", re.S)
+#: Quotes hold a value behind ``=`` only, whatever its length; one that is never closed is a character like others. All groups are
+#: possessive, so that a tag is read once.
+TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?+)*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -118,13 +120,16 @@ def parse(page: str) -> tuple[list[tuple[str, tuple[int, ...], bool]], dict[int,
         if not node.inline:
             layouts.setdefault(node.path, []).append(">".join(node.children))
 
-    for m in TOKEN.finditer(page):
+    # Nothing behind the last ">" is a tag; up to there each start of a tag has an end, so that none is looked for in vain.
+    for m in TOKEN.finditer(page, 0, page.rfind(">") + 1):
         if m.start() < at:
             continue
         if m.start() > at and not stack[-1].noise:
             buffer.append(page[at : m.start()])
         at = m.end()
         if m[2] is None:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                at = len(page)
             continue
         tag = m[2].lower()
         if tag == "html":

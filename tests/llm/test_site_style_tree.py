@@ -1,5 +1,6 @@
 import math
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -22,6 +23,18 @@ def test_parsing():
     assert st.text_of("<p title='a > b'>x<unknown>y</p><style>z", set()) == "x\ny"
 
 
+def test_long_attributes():
+    long = "x>" * 50_000
+    assert st.text_of(f"<article><p>a<img src=\"data:{long}\">b<p data-props='{long}'>c</article>", set()) == "ab\nc"
+    assert st.text_of(f'<div class="nav" data-props="{long}">menu</div><p>text</p>', set()) == "text"
+    assert st.text_of("<p title=it's>one</p><p>don't</p><p title=\"two>three</p><!-- > open", set()) == "one\ndon't\nthree"
+    start = time.perf_counter()
+    for part in ("<a ", '<a "', "<a '\"", '<a x="', "<a x='\"", "<a x=", "<a =\"'>"):
+        for end in ("", ">", '">', "='>", '=">"', "=\">'"):
+            st.text_of(part * 40_000 + end, set())
+    assert time.perf_counter() - start < 30
+
+
 def test_template_is_removed_by_importance(spark):
     rows = [(k, f"http://h.example/{k}", page(k, f"<div class='body'><p>Text number {k} of its own, long enough to count</p><p>And more {k * k} words that differ here</p></div>")) for k in range(12)]
     rows += [(100, "http://other.example/1", page(1, "<p>single</p>"))]
