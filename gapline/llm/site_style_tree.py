@@ -8,10 +8,11 @@ and reads the same on all pages is template, one that differs from page to page
 * presentation node: the entropy to the base ``m`` of the ways in which its children are laid out, mixed with the importance of
   the content below it (``(1 - g**l) * layout + g**l * content`` for ``l`` layouts).
 
-Nodes under the threshold, seen on enough pages, are removed from each page with all that is below them, as are elements
-that say themselves that they are no article (``nav``, ``aside``, ``class="ad"`` and so on). If a page has ``article`` or ``main``
-elements only these are read. A page never loses more than half of its article to the tree: pages of a host that only holds copies
-would look like templates.
+Nodes under the threshold, seen on enough pages, without any node of content over it below them are removed from each page with
+all that is below them, as are elements that say themselves that they are no article (``nav``, ``aside``, ``class="ad"`` and so on). If a page has ``article`` or ``main``
+elements only these are read. However much of a page is template, what is left is its text; only if the tree leaves no content
+(fewer than ``LEAST_LEFT`` letters and digits) the page is read without it: pages of a host that only holds copies would look like
+templates.
 
 Statistics are sums over (host, node, feature), added up in each batch first, so a host with a third of all pages is a few rows for
 each task. Exact copies of a page on the same host count once.
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from gapline.llm.common import Scratch
 
 LEAST_IMPORTANCE, LEAST_PAGES, DECAY = 0.2, 5, 0.9
+#: Fewer letters and digits than these, on the whole page, are no content (a counter, a page number, a mark).
+LEAST_LEFT = 10
 #: Rows of low nodes (with their host) up to which they are broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -207,7 +210,6 @@ def features(pages: DataFrame) -> DataFrame:
 
 def importance(found: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, node, pages, importance) of every style node."""
-    found = scratch.save(found)
     layout = found.filter(F.col("kind") == LAYOUT)
     pages = layout.groupBy("host", "node").agg(F.sum("n").alias("m"), F.count("*").alias("layouts"), F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("nlogn"))
     # -sum(n/m * ln(n/m)) / ln m
@@ -230,7 +232,7 @@ def text_of(page: str | None, low: set[int]) -> str:
     if any(inside for _, _, inside in blocks):
         blocks = [b for b in blocks if b[2]]
     kept = [b for b in blocks if low.isdisjoint(b[1])] if low else blocks
-    if sum(len(t) for t, _, _ in kept) * 2 < sum(len(t) for t, _, _ in blocks):
+    if sum(c.isalnum() for t, _, _ in kept for c in t) < LEAST_LEFT:
         kept = blocks
     return "\n".join(t for t, _, _ in kept)
 
@@ -247,8 +249,12 @@ def main_text(pages: DataFrame, least_importance: float = LEAST_IMPORTANCE, leas
     if few:
         copies = F.broadcast(copies) if few <= BROADCAST_ROWS else copies
         known = known.join(copies, (known.host == copies.of) & (F.sha1("html") == copies.digest), "left").filter("first is null or page_id = first")
-    judged = importance(features(known), scratch)
-    low = scratch.save(judged.filter((F.col("importance") < least_importance) & (F.col("pages") >= least_pages)).select("host", "node"))
+    found = scratch.save(features(known))
+    judged = scratch.save(importance(found, scratch).filter(F.col("pages") >= least_pages))
+    # A template that holds content is no noise as a whole: what is below it is judged node by node.
+    worthy = judged.filter(F.col("importance") >= least_importance).select("host", "node")
+    holders = found.filter(F.col("kind") == BELOW).select("host", "node", F.col("feature").alias("up")).join(worthy, ["host", "node"]).select("host", F.col("up").alias("node"))
+    low = scratch.save(judged.filter(F.col("importance") < least_importance).select("host", "node").join(holders, ["host", "node"], "left_anti"))
     some = low.count() <= BROADCAST_ROWS
     lists = low.groupBy(F.col("host").alias("of")).agg(F.collect_list("node").alias("low"))
     joined = read.join(F.broadcast(lists) if some else lists, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "low")

@@ -46,6 +46,13 @@ def test_template_is_removed_by_importance(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
 
 
+def test_short_articles_under_long_templates(spark):
+    menu = "<div>" + "".join(f"<div class='m'><p>Entry {k} of a long list that stands on all pages of the site</p></div>" for k in range(60)) + "</div>"
+    rows = [(k, f"http://h.example/{k}", page(k, f"{menu}<section><p>Notice {k * k} is short</p></section>")) for k in range(12)]
+    got = {r["page_id"]: r["text"] for r in st.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Notice {k * k} is short" for k in range(12)}
+
+
 def test_importance_by_hand(spark):
     found = spark.createDataFrame([("h", st.LAYOUT, 1, 7, 4), ("h", st.CONTENT, 1, 8, 4), ("h", st.BELOW, 1, 1, 4), ("h", st.LAYOUT, 2, 5, 3), ("h", st.LAYOUT, 2, 6, 1), ("h", st.CONTENT, 2, 9, 2), ("h", st.CONTENT, 2, 10, 1), ("h", st.BELOW, 2, 2, 4), ("h", st.BELOW, 2, 3, 4), ("h", st.BELOW, 1, 3, 4), ("h", st.LAYOUT, 3, 1, 4)], "host string, kind byte, node long, feature long, n long")
     got = {r["node"]: r["importance"] for r in st.importance(found, Scratch(spark, "t")).collect()}
