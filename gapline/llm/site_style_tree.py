@@ -9,7 +9,9 @@ and reads the same on all pages is template, one that differs from page to page
   the content below it (``(1 - g**l) * layout + g**l * content`` for ``l`` layouts).
 
 Nodes under the threshold, seen on enough pages, without any node of content over it below them are removed from each page with
-all that is below them, as are elements that say themselves that they are no article (``nav``, ``aside``, ``class="ad"`` and so on). If a page has ``article`` or ``main``
+all that is below them, as are elements that say themselves that they are no article (``nav``, ``aside``, ``class="ad"`` and so on).
+Classes, ids and forms are only evidence: such an element stays if it holds the page's main heading, or, for words that also name
+wrappers of articles (``LOOSE``, forms), if elements of its kind hold most of the text that the tree leaves. If a page has ``article`` or ``main``
 elements only these are read. However much of a page is template, what is left is its text; only if the tree leaves no content
 (fewer than ``LEAST_LEFT`` letters and digits) the page is read without it: pages of a host that only holds copies would look like
 templates.
@@ -53,13 +55,18 @@ CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "
 ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "pre", "section", "table", "ul"}
 CONTAINERS = {"article", "main", "section", "div", "ul", "ol", "dl", "table", "body", "aside", "nav", "form", "blockquote", "html"}
 
-NO_ARTICLE = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "object", "svg", "canvas", "head", "fieldset", "audio", "video", "map"}
+NO_ARTICLE = {"nav", "footer", "aside", "button", "select", "menu", "dialog", "object", "svg", "canvas", "head", "audio", "video", "map"}
+FORMS = {"form", "fieldset"}
 NO_ARTICLE_WORDS = {
     "ad", "ads", "advert", "adverts", "alert", "alerts", "announcement", "advertisement", "advertising", "adsense", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "copyright", "disqus", "footer", "hidden", "login",
     "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promotion", "recommended", "related", "replies", "reply", "search", "share", "sharing", "sidebar",
     "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
 NO_ARTICLE_PREFIX = re.compile(r"comment|advert|cookie|sidebar|newsletter|breadcrumb|navbar|navigation|sponsor|disqus|paginat|gdpr|ad(?:s|box|slot|unit|banner|container|wrap)$")
+#: Words that wrappers of articles have too.
+LOOSE = {"alert", "alerts", "announcement", "banner", "hidden", "modal", "notice", "notices", "popup", "promo", "promotion", "recommended", "related", "search", "share", "sharing", "sidebar", "social", "toolbar", "widget"}
+#: A class that begins with one of these tells what the element is beside, or lacks.
+BESIDE = {"has", "have", "hide", "no", "not", "with", "without"}
 #: A header of one of these belongs to the article.
 OF_ARTICLE = {"article", "entry", "post", "content", "section", "title", "story"}
 NO_ARTICLE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar"}
@@ -71,11 +78,12 @@ def _h(text: str) -> int:
 
 
 class Node:
-    __slots__ = ("article", "children", "inline", "noise", "parents", "path", "tag")
+    __slots__ = ("article", "children", "doubts", "inline", "noise", "parents", "path", "tag")
 
-    def __init__(self, tag: str, classes: str, above: Node | None, noise: bool):
+    def __init__(self, tag: str, classes: str, above: Node | None, noise: bool, doubt: tuple[str, bool] | None = None):
         self.tag, self.inline = tag, tag in INLINE
         self.noise = noise or bool(above and above.noise)
+        self.doubts = (*(above.doubts if above else ()), *([doubt] if doubt else ()))
         self.article = tag in ("article", "main") or bool(above and above.article)
         self.children: list[str] = []
         if self.inline and above:
@@ -85,27 +93,42 @@ class Node:
             self.parents = (*(above.parents if above else ()), self.path)
 
 
-def said(tag: str, attributes: str, above: Node | None) -> tuple[str, bool]:
-    """Classes of an element (without digits), and whether it says that it is no article."""
+def said(tag: str, attributes: str, above: Node | None) -> tuple[str, bool, tuple[str, bool] | None]:
+    """Classes of an element (without digits), whether it is no article for certain, and the doubt that its words raise: its kind, and
+    whether wrappers of articles may have these words too.
+    """
     noise = tag in NO_ARTICLE or (tag == "header" and not (above and above.article))
     if not attributes or attributes.isspace():
-        return "", noise
+        return "", noise, (tag, True) if tag in FORMS else None
     found = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
     classes = found.get("class", "")
-    told = set(re.split(r"[\s_\-]+", f"{classes} {found.get('id', '')}".lower()))
+    names = [re.split(r"[_\-]+", x) for x in f"{classes} {found.get('id', '')}".lower().split()]
+    told = {part for x in names if x[0] not in BESIDE for part in x}
+    words: set[str] = set()
     if tag == "article":
         noise = noise or any(x.startswith("comment") for x in told) or bool(told & {"reply", "ad", "promo", "sponsored"})
     elif tag not in ("html", "body", "main", "h1"):
-        noise = noise or bool(told & NO_ARTICLE_WORDS) or any(map(NO_ARTICLE_PREFIX.match, told)) or ("header" in told and not told & OF_ARTICLE and not (above and above.article)) or found.get("role", "").lower() in NO_ARTICLE_ROLES
+        words = {x for x in told if x in NO_ARTICLE_WORDS or NO_ARTICLE_PREFIX.match(x)}
+        if "header" in told and not told & OF_ARTICLE and not (above and above.article):
+            words.add("header")
+        role = found.get("role", "").lower()
+        words |= {role} & {"form", "search"}
+        noise = noise or role in NO_ARTICLE_ROLES - {"form", "search"}
         noise = noise or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").lower().replace(" ", "")
-    return " ".join(sorted(re.sub(r"\d+", "", classes).split())), noise
+    classes = " ".join(sorted(re.sub(r"\d+", "", classes).split()))
+    doubt = (f"{tag}.{classes}#{re.sub(r'[0-9]+', '', found.get('id', ''))}", words <= LOOSE | {"form"}) if words or tag in FORMS else None
+    return classes, noise, doubt
+
+
+Block = tuple[str, tuple[int, ...], bool, tuple[tuple[str, bool], ...]]
 
 
-def parse(page: str) -> tuple[list[tuple[str, tuple[int, ...], bool]], dict[int, list[str]]]:
-    """Blocks (text, path from the root, in an article) in page order without those that say they are noise, and the layouts of
-    each style node.
+def parse(page: str) -> tuple[list[Block], dict[int, list[str]], set[str]]:
+    """Blocks (text, path from the root, in an article, doubts) in page order without those that are noise for certain, the layouts of
+    each style node, and the doubtful kinds of elements that hold the main heading.
     """
-    blocks: list[tuple[str, tuple[int, ...], bool]] = []
+    blocks: list[Block] = []
+    heads: list[tuple[tuple[str, bool], ...]] = []
     layouts: dict[int, list[str]] = {}
     root = Node("html", "", None, False)
     stack, buffer = [root], []
@@ -116,7 +139,7 @@ def parse(page: str) -> tuple[list[tuple[str, tuple[int, ...], bool]], dict[int,
             text = " ".join(entities.unescape("".join(buffer)).split())
             buffer.clear()
             if text:
-                blocks.append((text, stack[-1].parents, stack[-1].article))
+                blocks.append((text, stack[-1].parents, stack[-1].article, stack[-1].doubts))
 
     def pop() -> None:
         node = stack.pop()
@@ -156,8 +179,10 @@ def parse(page: str) -> tuple[list[tuple[str, tuple[int, ...], bool]], dict[int,
                             break
                     elif stack[k].tag in CONTAINERS:
                         break
-            classes, noise = said(tag, m[3], stack[-1])
-            node = Node(tag, classes, stack[-1], noise)
+            classes, noise, doubt = said(tag, m[3], stack[-1])
+            node = Node(tag, classes, stack[-1], noise, doubt)
+            if tag == "h1" and not node.noise:
+                heads.append(node.doubts)
             if not node.inline:
                 below = next(n for n in reversed(stack) if not n.inline)
                 label = f"{tag}.{classes}"
@@ -180,7 +205,8 @@ def parse(page: str) -> tuple[list[tuple[str, tuple[int, ...], bool]], dict[int,
     flush()
     while stack:
         pop()
-    return blocks, layouts
+    main = heads[0] if heads and all(heads) else ()
+    return blocks, layouts, {kind for kind, _ in main}
 
 
 CONTENT, LAYOUT, BELOW = 0, 1, 2
@@ -194,10 +220,10 @@ def features(pages: DataFrame) -> DataFrame:
             found: Counter = Counter()
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 if page:
-                    blocks, layouts = parse(page)
-                    own = {(host, CONTENT, path[-1], _h(text)) for text, path, _ in blocks}
+                    blocks, layouts, _ = parse(page)
+                    own = {(host, CONTENT, path[-1], _h(text)) for text, path, _, _ in blocks}
                     own |= {(host, LAYOUT, node, _h("|".join(sorted(set(ways))))) for node, ways in layouts.items()}
-                    own |= {(host, BELOW, path[-1], up) for path in {p for _, p, _ in blocks} for up in path}
+                    own |= {(host, BELOW, path[-1], up) for path in {p for _, p, _, _ in blocks} for up in path}
                     found.update(own)
             rows = list(found)
             for a in range(0, len(rows), 100_000):
@@ -224,17 +250,28 @@ def importance(found: DataFrame, scratch: Scratch) -> DataFrame:
     return both.select("host", "node", F.col("m").alias("pages"), F.when(F.col("inner") == 1, (1 - share) * F.col("layout") + share * F.col("content")).otherwise(F.col("content")).alias("importance"))
 
 
+def without_noise(blocks: list[Block], heading: set[str]) -> list[Block]:
+    """The blocks without doubtful elements, but for those that hold the main heading or most of the text; of articles if there are."""
+    sizes: Counter = Counter()
+    total = 0
+    for text, _, _, doubts in blocks:
+        if all(loose or kind in heading for kind, loose in doubts):
+            total += len(text)
+            sizes.update(dict.fromkeys((kind for kind, _ in doubts), len(text)))
+    fine = heading | {kind for kind, n in sizes.items() if 2 * n > total}
+    kept = [b for b in blocks if all(kind in fine for kind, _ in b[3])]
+    return [b for b in kept if b[2]] or kept
+
+
 def text_of(page: str | None, low: set[int]) -> str:
     """The main text of one page, given the low nodes of its host."""
     if not page:
         return ""
-    blocks, _ = parse(page)
-    if any(inside for _, _, inside in blocks):
-        blocks = [b for b in blocks if b[2]]
-    kept = [b for b in blocks if low.isdisjoint(b[1])] if low else blocks
-    if sum(c.isalnum() for t, _, _ in kept for c in t) < LEAST_LEFT:
-        kept = blocks
-    return "\n".join(t for t, _, _ in kept)
+    blocks, _, heading = parse(page)
+    kept = without_noise([b for b in blocks if low.isdisjoint(b[1])], heading)
+    if sum(c.isalnum() for t, *_ in kept for c in t) < LEAST_LEFT:
+        kept = without_noise(blocks, heading)
+    return "\n".join(t for t, *_ in kept)
 
 
 def main_text(pages: DataFrame, least_importance: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:

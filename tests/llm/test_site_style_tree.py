@@ -35,6 +35,17 @@ def test_long_attributes():
     assert time.perf_counter() - start < 30
 
 
+def test_words_of_wrappers_are_weighed():
+    text = "<p>An article that is long enough to be most of the page</p>"
+    for wrapper in ("div class='elementor-widget elementor-widget-text-editor'", "div class='content with-sidebar'", "div class='no-sidebar'", "div class='post no-comments'", "div id='search-result-text'", "form id='aspnetForm'"):
+        page = f"<{wrapper}>{text}<div class='sidebar'>no</div><div class='comments'>Nobody's words, no matter how many of them there are, are the article of a page</div></{wrapper.split()[0]}><div class='menu'>menu</div>"
+        assert st.text_of(page, set()) == text[3:-4], wrapper
+    assert st.text_of(f"<div class='banner'><h1>Head</h1></div>{text}<div class='search'>x</div>", set()) == f"Head\n{text[3:-4]}"
+    parts = "".join(f"<div class='elementor-widget text'><p>Part {k} of the text</p></div>" for k in range(5))
+    assert st.text_of(f"<h1>T</h1>{parts}<div class='elementor-widget login'>no</div>", set()).count("Part") == 5
+    assert st.text_of(f"<h1>T</h1>{text}<form>find</form><div class='related'>more</div>", set()) == f"T\n{text[3:-4]}"
+
+
 def test_template_is_removed_by_importance(spark):
     rows = [(k, f"http://h.example/{k}", page(k, f"<div class='body'><p>Text number {k} of its own, long enough to count</p><p>And more {k * k} words that differ here</p></div>")) for k in range(12)]
     rows += [(100, "http://other.example/1", page(1, "<p>single</p>"))]
