@@ -54,14 +54,18 @@ IP = rf"(?<![\w.]){OCTET}(?:\.{OCTET}){{3}}(?![\w]|\.\d)"
 PHONE = r"(?<![\w+])\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,4}){2,3}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\w.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])"
 SSN = r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"
 CARD = r"(?<![\w\-])\d{4}(?:[ \-]?\d{4}){3}(?![\w\-])|(?<!\w)3[47]\d{2}[ \-]?\d{6}[ \-]?\d{5}(?!\w)"
-SECRET = r"(?<![0-9A-Za-z])(?=[a-fA-F]*\d)(?=\d*[a-fA-F])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])|(?<!\w)(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?!\w)"
+SECRET = r"(?<![0-9A-Za-z])(?=[a-fA-F]*\d)(?=\d*[a-fA-F])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])|(?<!\w)(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}+)(?!\w)"
 TITLE = "|".join(t for titles in TITLES.values() for t in titles)
-PERSON = rf"(?<!\p{{L}})(?:{TITLE})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?(?!\p{{L}})"
+#: Small words inside names, and words of names: with hyphens and apostrophes (not a genitive's), or initials before another word.
+PARTICLE = "(?:af|al|av|bin|d[aeiou]|das|de la|de los|dei|del|della|dem|den|der|dos|du|el|ibn|la|le|ten|ter|van|von|y|zu|zum|zur)"
+JOINED = r"(?:-\p{L}++|['’](?!s(?!\p{L}))\p{L}++)"
+NAME = rf"(?:{PARTICLE} )*+(?:[dl]['’])?+(?:\p{{Lu}}\p{{L}}++{JOINED}*+|\p{{Lu}}{JOINED}++|\p{{Lu}}\.(?= \p{{Lu}}))"
+PERSON = rf"(?<!\p{{L}})(?:{TITLE})\.? {NAME}(?: {NAME})*+(?!\p{{L}})"
 #: In order of precedence.
 KINDS = {"email": EMAIL, "ip": IP, "phone": PHONE, "ssn": SSN, "card": CARD, "secret": SECRET, "person": PERSON}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Cheap necessary condition.
-HINT = rf"\d|@|(?<!\p{{L}})(?:{TITLE})\.? \p{{Lu}}"
+HINT = rf"\d|@|AKIA|gh[pousr]_|sk-|(?<!\p{{L}})(?:{TITLE})\.? \p{{L}}"
 
 DIGITS, LETTERS = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 
@@ -124,7 +128,7 @@ def draw(key: str) -> Column:
         options = F.array(*map(F.lit, syllables))
         made = F.array_join(F.transform(F.sequence(F.lit(0), F.least(tries, F.lit(6)) + 2), functools.partial(_syllable, options, seed)), "")
         family = F.when(parts[1] == script, F.initcap(made)).otherwise(family)
-    person = F.when(parts[2] == "2", F.concat_ws(" ", given, family)).otherwise(family)
+    person = F.when(parts[2] != "1", F.concat_ws(" ", given, family)).otherwise(family)
     return F.when(F.col("kind") == "email", email).when(F.col("kind") == "ip", ip).when(F.col("kind") == "card", card).when(F.col("kind") == "secret", secret).when(F.col("kind") == "person", person).otherwise(scrambled(canon, seed, skip=1))
 
 
