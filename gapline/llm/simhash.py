@@ -183,13 +183,16 @@ def near_duplicates(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", te
 
 
 def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """The documents without all but one of each component: the one with the smallest id stays, once.
+    """The documents without all but one of each component: the row with the smallest id, and of its texts that with the smallest
+    XXH64, stays, once.
 
     Rows without an id can't be cited as a copy and stay.
     """
-    found = near_duplicates(docs, radius).filter("doc_id is not null")
-    copies = found.filter("component_id is null or doc_id <> component_id").select("doc_id")
-    kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("row")))
+    found = near_duplicates(docs.select(row.alias("doc_id"), "text"), radius).filter("doc_id is not null")
+    copies = found.filter("component_id is null or doc_id <> component_id").select(F.col("doc_id.doc_id").alias("copy"), F.col("doc_id.row").alias("copy_row"))
+    kept = docs.join(copies, (docs["doc_id"] == F.col("copy")) & (F.xxhash64(docs["text"]) == F.col("copy_row")), "left_anti").select(*docs.columns)
     if found.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+        once = kept.filter("doc_id is not null").withColumn("gapline_row", F.xxhash64("text")).dropDuplicates(["doc_id", "gapline_row"]).drop("gapline_row")
+        kept = once.unionByName(kept.filter("doc_id is null"))
     return kept

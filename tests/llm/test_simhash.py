@@ -55,6 +55,14 @@ def test_edges(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, b), (4, c), (4, c + "."), (None, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["text"][0]) for r in simhash.keep_one(docs).collect())
+    assert got == [("1", "a"), ("2", "b"), ("4", "c"), ("None", "c")]
+
+
 def test_every_link_is_found(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 60, dtype=np.uint64)
