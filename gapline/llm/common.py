@@ -30,13 +30,25 @@ def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have, whatever the case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is made only where none is configured (tests)."""
+    """The folder that driver and executors share."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not configured:
+    if configured:
+        return configured.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] == "local":
+        # One machine: driver and executors see the same folders.
         configured = tempfile.mkdtemp(prefix="gapline-")
         spark.conf.set("spark.checkpoint.dir", configured)
-    return configured.rstrip("/")
+        return configured
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 class Scratch:

@@ -1,21 +1,25 @@
 """Fuzzy line de-duplication: MinHash over character shingles, banding, exact Jaccard, distributed union-find.
 
-1. Lines are trimmed and lower-cased; equal ones are counted together (map-side first, so a line that stands in a third of all
-   documents is one row for each task).
+1. Lines are split, trimmed, lower-cased and hashed (96 bits) by DataFrame functions; equal ones are counted together (map-side
+   first, so a line that stands in a third of all documents is one row for each task).
 2. Each distinct line gets a signature of ``BANDS * ROWS`` minima over its 8-character shingles, from three hash functions whose
    range is cut into bins (one-permutation hashing, empty bins borrow along fixed permutations). Six minima make a band; lines
-   with Jaccard similarity 0.8 share a band with probability 0.998.
-3. Band values travel as packed arrays, one row for each batch and target partition. Lines that share a band value form a group;
-   groups seen in several bands are one. Band values that a bounded sample shows to be frequent are split into blocks, and each
-   pair of blocks becomes a group, so no task gets an unbounded group.
-4. In each group exact Jaccard links are searched breadth first: a line that is linked is not compared again, so a dense group
-   takes few comparisons and yields a spanning forest, never all pairs.
-5. Union-find over the links; the component's first line (smallest doc_id, then line number; no id is last) is kept.
+   with Jaccard similarity 0.8 share a band with probability 0.998. A task signs a line that it meets again only after many others.
+3. Band values travel as packed arrays, one row for each batch and part; lines that share a band value form a group. Band values
+   that a bounded sample shows to be frequent are dealt into blocks of about ``BLOCK`` lines, each of which also gets one line of the
+   sample (the pivot), so that no task gets an unbounded group and a family of lines is linked over all of its blocks.
+4. Groups with the same smallest line are verified together: the shingles of a line are made once for all of them, and lines that
+   are linked already are not compared again. The search is breadth first, so a dense group takes few comparisons and yields a
+   spanning forest, never all pairs.
+5. Lines of a frequent band value outside its largest component are compared with all lines of that value, block by block: two
+   lines that share a band value are compared unless they are linked already.
+6. Union-find over the links; the component's first line (smallest doc_id, then line number; no id is last) is kept.
 
 Defined cases: null text stays null; blank lines are neither counted nor dropped; lines shorter than a shingle are one shingle;
-rows that agree in id and text share one fate; a document may lose all its lines and then has an empty text; other columns pass
-through ``drop_lines`` (``n_chars``, if there, is counted anew). Lines are told apart by 64-bit hashes: among 10^9 distinct lines
-the chance of one confusion is 3 %.
+very long texts and lines are read whole; rows that agree in id and text share one fate; a document may lose all its lines and then
+has an empty text; an empty table gives an empty result; other columns pass through ``drop_lines`` whatever their names (``n_chars``,
+if there, is counted anew; with ``counts`` the new columns take the place of columns of their names). Lines are told apart by 96-bit
+hashes: among 10^12 distinct lines the chance of one confusion is below 10^-4.
 """
 
 from __future__ import annotations
@@ -28,34 +32,33 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapline.llm.common import Scratch, connected_components, slices
+from gapline.llm.common import Scratch, connected_components, free_name
 
 SHINGLE, FUNCTIONS, BANDS, ROWS = 8, 3, 20, 6
 BINS = BANDS * ROWS // FUNCTIONS
 SIMILAR = 0.8
-#: Characters hashed together; lines of one group that a task compares; lines sampled to find frequent band values.
+#: Characters hashed together; lines of one block that a task compares; lines sampled to find frequent band values.
 TOGETHER, BLOCK, SAMPLE = 1 << 18, 1500, 100_000
-#: Band values that a task packs together, that a partition gets, and the most partitions (beyond, partitions get more).
-PACK, PART, MOST_PARTS = 1 << 19, 1_000_000, 20_000
-#: Lines of a group that are compared as plain sets; more are compared as arrays.
-FEW = 12
+#: Band values that a task packs together and that a part gets; parts are matched one at a time, whatever their number.
+PACK, PART, MOST_TASKS = 1 << 19, 250_000, 20_000
+#: Lines that a task remembers as signed; lines that stand oftener than one in so many places are joined by a broadcast.
+REMEMBERED, HEAVY = 1 << 16, 2000
+#: Distinct lines in groups up to which their keys are broadcast (12 bytes each).
+BROADCAST_KEYS = 2_000_000
+BLANK = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 _rng = np.random.default_rng(20_240_131)
 _MULTIPLY = _rng.integers(1 << 62, 1 << 63, FUNCTIONS + BANDS * ROWS + 2, dtype=np.uint64) | np.uint64(1)
 _BORROW = np.array([_rng.permutation(BINS) for _ in range(BINS)])
 _U = np.uint64
+_TOP = np.iinfo(np.uint64).max
 
 
 def normal(line: str) -> str:
+    """What ``lines_of`` compares, in plain Python."""
     return line.strip().lower()
 
 
-def key(line: str) -> int:
-    """Signed 64-bit key of a normal line."""
-    h = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"))
-    return h - (1 << 64) if h >> 63 else h
-
-
 def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all character shingles of the lines, one after the other, and their number in each line."""
     padded = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
@@ -67,10 +70,11 @@ def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         h += codes[k : len(codes) - SHINGLE + 1 + k]
     h ^= h >> _U(31)
     h *= _MULTIPLY[1]
-    counts = lengths - SHINGLE + 1
-    ends = np.cumsum(counts)
-    at = np.arange(ends[-1]) + np.repeat(np.cumsum(lengths) - lengths - (ends - counts), counts)
-    return h[at], counts
+    inside = np.ones(len(h), bool)
+    ends = np.cumsum(lengths)[:-1]
+    for k in range(1, SHINGLE):
+        inside[ends - k] = False
+    return h[inside], lengths - SHINGLE + 1
 
 
 def bands(lines: list[str]) -> np.ndarray:
@@ -81,17 +85,17 @@ def bands(lines: list[str]) -> np.ndarray:
     for f in range(FUNCTIONS):
         g = (h ^ (h >> _U(29))) * _MULTIPLY[2 + f]
         g ^= g >> _U(32)
-        least = np.full(len(lines) * BINS, np.iinfo(np.uint64).max, _U)
+        least = np.full(len(lines) * BINS, _TOP, _U)
         np.minimum.at(least, owner + (((g & _U(0xFFFFFFFF)) * _U(BINS)) >> _U(32)).astype(np.int64), g)
         least = least.reshape(-1, BINS)
-        line, bin_ = np.nonzero(least == np.iinfo(np.uint64).max)
+        line, bin_ = np.nonzero(least == _TOP)
         filled = least.copy()
         for step in range(BINS):
             if not len(line):
                 break
             borrowed = least[line, _BORROW[bin_, step]]
             filled[line, bin_] = borrowed
-            still = borrowed == np.iinfo(np.uint64).max
+            still = borrowed == _TOP
             line, bin_ = line[still], bin_[still]
         rows += [filled[:, k * BANDS : (k + 1) * BANDS] for k in range(BINS // BANDS)]
     out = np.zeros((len(lines), BANDS), _U) + np.arange(BANDS, dtype=_U)
@@ -101,241 +105,313 @@ def bands(lines: list[str]) -> np.ndarray:
     return out
 
 
-def _small_forest(lines: list[str], similar: float) -> list[tuple[int, int]]:
-    """``jaccard_forest`` of a few lines, on plain sets."""
-    sets = [{x[k : k + SHINGLE] for k in range(max(1, len(x) - SHINGLE + 1))} for x in lines]
-    open_, queue, out = list(range(1, len(lines))), [0], []
-    while open_:
-        own = queue.pop() if queue else open_.pop(0)
-        mine, left = sets[own], []
-        for k in open_:
-            small, large = sorted((len(mine), len(sets[k])))
-            if small >= similar * large - 1e-9 and (shared := len(mine & sets[k])) >= similar * (small + large - shared) - 1e-9:
-                out.append((own, k))
-                queue.append(k)
-            else:
-                left.append(k)
-        open_ = left
-    return out
+class Forest:
+    """Links between lines by exact Jaccard similarity of their shingles, found group by group."""
+
+    def __init__(self, sets: list[np.ndarray], similar: float):
+        self.sets, self.similar = sets, similar
+        self.sizes = np.array([len(s) for s in sets])
+        self.parent = list(range(len(sets)))
+        self.links: list[tuple[int, int]] = []
+
+    def root(self, k: int) -> int:
+        while self.parent[k] != k:
+            self.parent[k] = self.parent[self.parent[k]]
+            k = self.parent[k]
+        return k
+
+    def near(self, own: int, others: np.ndarray) -> list[int]:
+        """Which of the others are similar enough."""
+        small, large = np.minimum(self.sizes[others], self.sizes[own]), np.maximum(self.sizes[others], self.sizes[own])
+        others = others[small >= self.similar * large - 1e-9]
+        if not len(others):
+            return []
+        every = np.concatenate([self.sets[k] for k in others]) if len(others) > 1 else self.sets[others[0]]
+        spot = np.searchsorted(self.sets[own], every)
+        spot[spot == self.sizes[own]] = 0
+        sizes = self.sizes[others]
+        shared = np.add.reduceat(self.sets[own][spot] == every, np.cumsum(sizes) - sizes, dtype=np.int64)
+        return others[shared >= self.similar * (sizes + self.sizes[own] - shared) - 1e-9].tolist()
+
+    def search(self, members: list[int]) -> None:
+        """Link the lines of one group: breadth first, without comparing what is linked."""
+        open_ = np.array(members)
+        while len(open_) > 1:
+            queue, open_ = [int(open_[0])], open_[1:]
+            while queue and len(open_):
+                own = queue.pop()
+                linked = np.array([self.root(k) == self.root(own) for k in open_.tolist()])
+                queue += open_[linked].tolist()
+                open_ = open_[~linked]
+                found = self.near(own, open_) if len(open_) else []
+                for k in found:
+                    self.links.append((own, k))
+                    self.parent[self.root(k)] = self.root(own)
+                if found:
+                    queue += found
+                    open_ = np.setdiff1d(open_, found, assume_unique=True)
+
+
+def forest(lines: list[str], similar: float = SIMILAR) -> Forest:
+    h, counts = shingles(lines)
+    cuts = np.concatenate([[0], np.cumsum(counts)]).tolist()
+    return Forest([np.unique(h[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], similar)
 
 
-def jaccard_forest(lines: list[str], similar: float = SIMILAR) -> list[tuple[int, int]]:
-    """A spanning forest of the graph of lines whose exact shingle sets have at least this Jaccard similarity."""
-    if len(lines) <= FEW:
-        return _small_forest(lines, similar)
-    h, counts = shingles(lines)
-    cuts = np.concatenate([[0], np.cumsum(counts)])
-    sets = [np.unique(h[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    sizes = np.array([len(s) for s in sets])
-    open_, out = np.arange(1, len(lines)), []
-    queue = [0]
-    while queue or len(open_):
-        if not queue:
-            queue, open_ = [int(open_[0])], open_[1:]
-        own = queue.pop()
-        if not len(open_):
-            continue
-        near = open_[np.minimum(sizes[open_], sizes[own]) >= similar * np.maximum(sizes[open_], sizes[own]) - 1e-9]
-        if not len(near):
-            continue
-        every = np.concatenate([sets[k] for k in near])
-        spot = np.minimum(np.searchsorted(sets[own], every), sizes[own] - 1)
-        starts = np.concatenate([[0], np.cumsum(sizes[near])[:-1]])
-        shared = np.add.reduceat((sets[own][spot] == every).astype(np.int64), starts)
-        found = near[shared >= similar * (sizes[near] + sizes[own] - shared) - 1e-9]
-        out += [(own, int(k)) for k in found]
-        queue += found.tolist()
-        open_ = np.setdiff1d(open_, found, assume_unique=True)
-    return out
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, line, normal, k, k2) of every line that isn't blank; ``row`` is the XXH64 of the text, k and k2 are the line's key."""
+    each = docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    each = each.select("doc_id", "row", "line", F.lower(F.btrim("raw", F.lit(BLANK))).alias("normal")).filter("normal <> ''")
+    return each.select("*", F.xxhash64("normal").alias("k"), F.shiftright(F.xxhash64(F.lit(1), "normal"), 32).cast("int").alias("k2"))
+
+
+def distinct_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
+    """(k, k2, line) in bounded batches; a line comes again only after ``REMEMBERED`` others."""
+    seen: set[tuple[int, int]] = set()
+    found: list[tuple[int, int]] = []
+    lines: list[str] = []
+    size = 0
+
+    def made() -> tuple[np.ndarray, np.ndarray, list[str]]:
+        k, k2 = zip(*found, strict=True)
+        return np.array(k, np.int64), np.array(k2, np.int32), lines
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            for key, line in zip(zip(part.column("k").to_pylist(), part.column("k2").to_pylist(), strict=True), part.column("normal").to_pylist(), strict=True):
+                if key in seen:
+                    continue
+                seen.add(key)
+                found.append(key)
+                lines.append(line)
+                size += len(line)
+                if size >= TOGETHER:
+                    yield made()
+                    found, lines, size = [], [], 0
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+    if found:
+        yield made()
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(id value, row hash, normal lines with their numbers) of each document."""
-    for batch in slices(batches):
-        for doc_id, row, text in zip(batch.column("doc_id"), batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            yield doc_id, row, [(n, x) for n, line in enumerate((text or "").split("\n")) if (x := normal(line))]
+Hot = dict[int, tuple[int, int, int]]
 
 
-def places(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, line, key) of every line that isn't blank."""
+def frequent_bands(lines: DataFrame, count: int) -> Hot:
+    """Band values expected on more than ``BLOCK`` distinct lines: blocks that they are dealt into and a line (k, k2) of each.
+
+    Estimated from about ``SAMPLE`` lines, chosen by their hash; it only spreads the load, results do not depend on it.
+    """
+    rate = min(1.0, SAMPLE / max(count, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            ids, rows, numbers, keys = [], [], [], []
-            for k, (_, row, lines) in enumerate(_texts([batch])):
-                ids += [k] * len(lines)
-                rows += [row] * len(lines)
-                numbers += [n for n, _ in lines]
-                keys += [key(x) for _, x in lines]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(rows, pa.int64()), pa.array(numbers, pa.int32()), pa.array(keys, pa.int64())], ["doc_id", "row", "line", "key"])
+        for k, k2, texts in distinct_batches(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(k, BANDS)), pa.array(np.repeat(k2, BANDS)), pa.array(bands(texts).view(np.int64).ravel())], ["k", "k2", "h"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row bigint, line int, key bigint")
+    some = lines.filter(F.pmod(F.col("k"), F.lit(1 << 20)) < int(rate * (1 << 20))).select("k", "k2", "normal")
+    some = some.mapInArrow(run, "k bigint, k2 int, h bigint").distinct()
+    found = some.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("k", "k2")).alias("pivot")).filter(F.col("n") > max(3, rate * BLOCK))
+    return {r["h"]: (int(np.ceil(r["n"] / rate / BLOCK)), r["pivot"]["k"], r["pivot"]["k2"]) for r in found.collect()}  # fewer than SAMPLE * BANDS / 3
 
 
-def _line_batches(batches: Iterator[pa.RecordBatch], wanted=None) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """Distinct lines in bounded batches, with their keys."""
-    found: dict[int, str] = {}
-    size = 0
-    for _, _, lines in _texts(batches):
-        for _, x in lines:
-            k = key(x)
-            if k not in found and (wanted is None or wanted(k)):
-                found[k] = x
-                size += len(x)
-        if size >= TOGETHER:
-            yield np.fromiter(found, np.int64, len(found)), list(found.values())
-            found, size = {}, 0
-    if found:
-        yield np.fromiter(found, np.int64, len(found)), list(found.values())
+MEMBERS = "run bigint, grp bigint, k bigint, k2 int, value bigint, block int"
 
 
-def frequent_bands(docs: DataFrame, lines: int) -> dict[int, int]:
-    """Band values expected on more than ``BLOCK`` distinct lines and the number of blocks that they are split into.
+def members(lines: DataFrame, count: int) -> DataFrame:
+    """(run, grp, k, k2, value, block): lines that share a band value, with the run that verifies the group.
 
-    Estimated from about ``SAMPLE`` lines; it only spreads the load, results do not depend on it.
+    Groups of frequent values are their blocks; ``value`` and ``block`` are null for others.
     """
-    rate = min(1.0, SAMPLE / max(lines, 1))
-    limit = int(rate * (1 << 32))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in _line_batches(batches, lambda k: (k * 0x9E3779B1 >> 7) & 0xFFFFFFFF < limit):
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, BANDS)), pa.array(bands(texts).view(np.int64).ravel())], ["key", "h"])
-
-    some = docs.mapInArrow(run, "key bigint, h bigint").distinct().groupBy("h").count().filter(F.col("count") > max(3, rate * BLOCK))
-    return {r["h"]: int(np.ceil(r["count"] / rate / BLOCK)) for r in some.collect()}
-
-
-def groups(docs: DataFrame, lines: int) -> DataFrame:
-    """(grp, key): lines that share a band value; equal groups of several bands are one."""
-    blocks = frequent_bands(docs, lines)
-    parts = min(MOST_PARTS, max(1, -(-lines * BANDS // PART)))
-
-    def spread(h: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A frequent value becomes one value for each pair of its blocks that the line's block is in."""
-        hot = np.isin(h, np.fromiter(blocks, np.int64, len(blocks)))
-        more_h, more_k = [h[~hot]], [k[~hot]]
-        for value, own in zip(h[hot].tolist(), k[hot].tolist(), strict=True):
-            n = blocks[value]
-            mine = (own * 0x9E3779B1 >> 11) % n
-            pairs = [xxhash.xxh64_intdigest(f"{value}:{min(mine, j)}:{max(mine, j)}") for j in range(n)]
-            more_h.append(np.array(pairs, _U).view(np.int64))
-            more_k.append(np.full(n, own))
-        return np.concatenate(more_h), np.concatenate(more_k)
-
-    def packed(h: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
-        part = ((h.view(_U) >> _U(33)) % _U(4 * parts)).astype(np.int64)
+    hot = frequent_bands(lines, count)
+    parts = max(1, -(-count * BANDS // PART))
+    frequent = np.array(sorted(hot), np.int64)
+
+    def name(*what: int) -> int:
+        return int(np.uint64(xxhash.xxh64_intdigest(repr(what).encode())).view(np.int64))
+
+    def packed(h: np.ndarray, k: np.ndarray, k2: np.ndarray) -> pa.RecordBatch:
+        rows = []
+        if hot:
+            spot = np.isin(h, frequent)
+            dealt: dict[tuple[int, int], list[int]] = {}
+            for j in np.flatnonzero(spot).tolist():
+                n = hot[int(h[j])][0]
+                dealt.setdefault((int(h[j]), (int(k[j]) * 0x9E3779B1 >> 11) % n), []).append(j)
+            rows = [((name(v, b) >> 3) % parts, v, b, None, k[js].tobytes(), k2[js].tobytes()) for (v, b), js in dealt.items()]
+            h, k, k2 = h[~spot], k[~spot], k2[~spot]
+        part = ((h.view(_U) >> _U(32)) % _U(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        h, k, part = h[order], k[order], part[order]
+        h, k, k2, part = h[order].astype(np.uint32), k[order], k2[order], part[order]
         full, starts = np.unique(part, return_index=True)
         ends = np.append(starts[1:], len(h))
-        return pa.RecordBatch.from_arrays([pa.array(full), *(pa.array([x[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()) for x in (h, k))], ["part", "h", "k"])
+        rows += [(p, None, None, h[a:b].tobytes(), k[a:b].tobytes(), k2[a:b].tobytes()) for p, a, b in zip(full.tolist(), starts.tolist(), ends.tolist(), strict=True)]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "value", "block", "h", "k", "k2"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs, ks, size = [], [], 0
-        for keys, texts in _line_batches(batches):
-            h, k = bands(texts).view(np.int64).ravel(), np.repeat(keys, BANDS)
-            h, k = spread(h, k) if blocks else (h, k)
-            hs.append(h)
-            ks.append(k)
-            size += len(h)
+        held, size = [], 0
+        for k, k2, texts in distinct_batches(batches):
+            held.append((bands(texts).view(np.int64).ravel(), np.repeat(k, BANDS), np.repeat(k2, BANDS)))
+            size += len(k) * BANDS
             if size >= PACK:
-                yield packed(np.concatenate(hs), np.concatenate(ks))
-                hs, ks, size = [], [], 0
+                yield packed(*map(np.concatenate, zip(*held, strict=True)))
+                held, size = [], 0
         if size:
-            yield packed(np.concatenate(hs), np.concatenate(ks))
+            yield packed(*map(np.concatenate, zip(*held, strict=True)))
+
+    def grouped(h: np.ndarray, k: np.ndarray, k2: np.ndarray, value: int | None, block: int | None) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((k2, k, h))
+        h, k, k2 = h[order], k[order], k2[order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (k[1:] != k[:-1]) | (k2[1:] != k2[:-1])])
+        h, k, k2 = h[new], k[new], k2[new]
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        sizes = np.diff(np.append(starts, len(h)))
+        more = sizes > 1
+        if not more.any():
+            return
+        held = np.repeat(more, sizes)
+        grp = [xxhash.xxh64_intdigest(k[a : a + n].tobytes()) for a, n in zip(starts[more].tolist(), sizes[more].tolist(), strict=True)]
+        run = k[starts[more]] if value is None else np.array([name(value, block)], np.int64)
+        n = int(held.sum())
+        columns = [np.repeat(run, sizes[more]), np.repeat(np.array(grp, _U).view(np.int64), sizes[more]), k[held], k2[held]]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([value] * n, pa.int64()), pa.array([block] * n, pa.int32())], ["run", "grp", "k", "k2", "value", "block"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, tuple[list, list]] = {}
+        def made(now: tuple, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+            _, value, block = now
+            k, k2 = (np.concatenate([np.frombuffer(x[j], t) for x in held]) for j, t in ((1, np.int64), (2, np.int32)))
+            if value is None:
+                h = np.concatenate([np.frombuffer(x[0], np.uint32) for x in held])
+            else:
+                _, pivot, pivot2 = hot[value]
+                k, k2 = np.append(k, np.int64(pivot)), np.append(k2, np.int32(pivot2))
+                h = np.zeros(len(k), np.uint32)
+            yield from grouped(h, k, k2, value, block)
+
+        now, held = None, []
         for batch in batches:
-            for p, h, k in zip(batch.column("part").to_pylist(), batch.column("h").to_pylist(), batch.column("k").to_pylist(), strict=True):
-                hs, ks = got.setdefault(p, ([], []))
-                hs.append(np.frombuffer(h, np.int64))
-                ks.append(np.frombuffer(k, np.int64))
-        while got:
-            _, (hs, ks) = got.popitem()
-            h, k = np.concatenate(hs), np.concatenate(ks)
-            del hs, ks
-            order = np.lexsort((k, h))
-            h, k = h[order], k[order]
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])])
-            h, k = h[new], k[new]
-            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            ends = np.append(starts[1:], len(h))
-            names, members = [], []
-            for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-                names.append(np.full(b - a, xxhash.xxh64_intdigest(k[a:b].tobytes()), _U).view(np.int64))
-                members.append(k[a:b])
-            if names:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(members))], ["grp", "key"])
-
-    return docs.mapInArrow(pack, "part bigint, h binary, k binary").repartition(parts, "part").mapInArrow(match, "grp bigint, key bigint").distinct()
-
-
-def line_links(members: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """Links (hi, lo) between the lines of each group; ``members(grp, key)``, ``texts(key, text)``."""
+            for part, value, block, *arrays in zip(*(batch.column(c).to_pylist() for c in ("part", "value", "block", "h", "k", "k2")), strict=True):
+                if (part, value, block) != now:
+                    if held:
+                        yield from made(now, held)
+                    now, held = (part, value, block), []
+                held.append(arrays)
+        if held:
+            yield from made(now, held)
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def forest(keys: list[int], lines: list[str]) -> pa.RecordBatch:
-            found = jaccard_forest(lines, similar)
-            return pa.RecordBatch.from_arrays([pa.array([keys[a] for a, _ in found], pa.int64()), pa.array([keys[b] for _, b in found], pa.int64())], ["hi", "lo"])
+    tasks = min(MOST_TASKS, -(-parts // 4))
+    rows = lines.select("k", "k2", "normal").mapInArrow(pack, "part bigint, value bigint, block int, h binary, k binary, k2 binary")
+    return rows.repartition(tasks, "part").sortWithinPartitions("part", "value", "block").mapInArrow(match, MEMBERS)
 
-        now, keys, lines = None, [], []
-        for batch in batches:
-            for g, k, t in zip(*(batch.column(c).to_pylist() for c in ("grp", "key", "text")), strict=True):
-                if g != now:
-                    if len(keys) > 1:
-                        yield forest(keys, lines)
-                    now, keys, lines = g, [], []
-                keys.append(k)
-                lines.append(t)
-        if len(keys) > 1:
-            yield forest(keys, lines)
 
-    full = members.join(texts, "key").select("grp", "key", "text")
-    return full.repartition("grp").sortWithinPartitions("grp", "key").mapInArrow(verify, "hi bigint, lo bigint")
+def line_texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, k, k2, text) of the wanted lines ``wanted(id, k, k2)``, whose keys are broadcast up to a bound, else joined by a shuffle."""
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
+    return lines.select("k", "k2", F.col("normal").alias("text")).join(wanted, ["k", "k2"]).dropDuplicates(["id"]).select("id", "k", "k2", "text")
 
 
-def line_texts(docs: DataFrame, keys: DataFrame, n: int) -> DataFrame:
-    """(key, text) of the wanted lines. The keys are broadcast up to two million (32 MB), else joined by a shuffle."""
+def line_links(grouped: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """Links (hi, lo) between the ids of similar lines; ``grouped(run, grp, k, k2)``, ``texts(id, k, k2, text)``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found, texts in _line_batches(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(texts, pa.string())], ["key", "text"])
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, lines, groups, size = [], [], {}, 0
 
-    lines = docs.mapInArrow(run, "key bigint, text string")
-    return lines.join(F.broadcast(keys) if n <= 2_000_000 else keys, "key", "left_semi").dropDuplicates(["key"])
+        def linked() -> pa.RecordBatch:
+            found = forest(lines, similar)
+            for where in groups.values():
+                if len(where) > 1:
+                    found.search(where)
+            return pa.RecordBatch.from_arrays([pa.array([ids[p[j]] for p in found.links], pa.int64()) for j in (0, 1)], ["hi", "lo"])
+
+        last = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                for run, own, grps, line in zip(*(part.column(c).to_pylist() for c in ("run", "id", "grps", "text")), strict=True):
+                    if run != last and size >= TOGETHER:
+                        yield linked()
+                        ids, lines, groups, size = [], [], {}, 0
+                    last = run
+                    for g in grps:
+                        groups.setdefault((run, g), []).append(len(ids))
+                    ids.append(own)
+                    lines.append(line)
+                    size += len(line)
+        if ids:
+            yield linked()
+
+    runs = grouped.groupBy("run", "k", "k2").agg(F.collect_set("grp").alias("grps"))
+    full = runs.join(texts, ["k", "k2"]).select("run", "id", "grps", "text")
+    return full.repartition("run").sortWithinPartitions("run").mapInArrow(verify, "hi bigint, lo bigint")
+
+
+def rest_of_frequent(hot: DataFrame, wanted: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """(run, grp, k, k2): blocks in which the lines of a frequent value outside its largest component meet all lines of the value."""
+    rooted = hot.select("value", "block", "k", "k2").distinct().join(wanted, ["k", "k2"]).join(roots, F.col("id") == F.col("node"), "left")
+    placed = scratch.save(rooted.select("value", "block", "k", "k2", F.coalesce("root", "id").alias("root")))
+    sizes = placed.groupBy("value", "root").agg(F.countDistinct("k", "k2").alias("n"))
+    values = sizes.groupBy("value").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"))
+    values = values.select("value", F.col("most.root").alias("largest"), F.ceil((F.col("all") - F.col("most.n")) / BLOCK).cast("int").alias("slices")).filter("slices > 0")
+    blocks = placed.groupBy("value").agg(F.collect_set("block").alias("blocks"))
+    full = placed.join(values, "value").withColumn("slice", F.pmod(F.xxhash64("k"), F.col("slices")).cast("int"))
+    every = full.select("value", "k", "k2", "block", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    outside = full.filter("root <> largest").join(blocks, "value").select("value", "k", "k2", F.explode("blocks").alias("block"), "slice")
+    met = every.unionByName(outside).select(F.xxhash64("value", "block", "slice").alias("run"), "k", "k2").distinct()
+    return met.select("run", F.col("run").alias("grp"), "k", "k2")
+
+
+def similar_lines(lines: DataFrame, count: int, similar: float, scratch: Scratch) -> DataFrame:
+    """(k, k2, id, root) of the lines that are linked to others."""
+    grouped = scratch.save(members(lines, count))
+    # Written with its numbers: they are the same for all that reads them.
+    wanted = scratch.save(grouped.select("k", "k2").distinct().withColumn("id", F.monotonically_increasing_id()))
+    texts = scratch.save(line_texts(lines, wanted))
+    # Written first: two Python steps in one stage would keep twice the workers.
+    links = scratch.save(line_links(grouped, texts, similar))
+    roots = connected_components(links, scratch)
+    hot = grouped.filter("value is not null")
+    if hot.limit(1).count():
+        more = scratch.save(rest_of_frequent(hot, wanted, roots, scratch))
+        if more.limit(1).count():
+            late = scratch.save(line_links(more, texts, similar))
+            roots = connected_components(roots.select(F.col("node").alias("hi"), F.col("root").alias("lo")).unionByName(late), scratch)
+    return wanted.join(roots, F.col("id") == F.col("node")).select("k", "k2", "id", "root")
 
 
 def dropped_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, row, dropped): the numbers of the lines that each document loses; ``row`` is the XXH64 of its text."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    read = docs.select("doc_id", F.xxhash64("text").alias("row"), F.col("text").cast("string").alias("text"))
-    at = scratch.save(places(read))
+    lines = lines_of(docs.select("doc_id", F.col("text").cast("string").alias("text")))
+    at = scratch.save(lines.select("doc_id", "row", "line", "k", "k2"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line", "row")
-    distinct = scratch.save(at.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")))
-    members = scratch.save(groups(read, distinct.count()))
-    wanted = scratch.save(members.select("key").distinct())
-    texts = scratch.save(line_texts(read, wanted, wanted.count()))
-    # Written first: two Python steps in one stage would keep twice the workers.
-    links = scratch.save(line_links(members, texts, similar))
-    roots = connected_components(links, scratch)
-    placed = scratch.save(distinct.join(roots, distinct.key == roots.node).select("key", "root", "first"))
-    keepers = placed.groupBy("root").agg(F.min(F.struct("first", "key")).alias("k")).select("root", F.col("k.key").alias("keeper"))
-    losers = placed.join(keepers, "root").filter("key <> keeper").select("key", F.lit(True).alias("lost"))
-    marks = distinct.join(losers, "key", "left").filter("n > 1 or lost").select("key", "first", F.coalesce("lost", F.lit(False)).alias("lost"))
-    gone = at.join(marks, "key").filter(F.col("lost") | ~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.line") == F.col("line")) & (F.col("first.row") == F.col("row"))))
+    distinct = scratch.save(at.groupBy("k", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    count, every = distinct.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    linked = similar_lines(lines, count, similar, scratch)
+    placed = scratch.save(distinct.join(linked, ["k", "k2"]).select("k", "k2", "id", "root", "first"))
+    keepers = placed.groupBy("root").agg(F.min(F.struct("first", "id")).alias("f")).select("root", F.col("f.id").alias("keeper"))
+    losers = placed.join(keepers, "root").filter("id <> keeper").select("k", "k2", F.lit(True).alias("lost"))
+    marks = distinct.join(losers, ["k", "k2"], "left").filter("n > 1 or lost").select("k", "k2", "first", "n", F.coalesce("lost", F.lit(False)).alias("lost"))
+    marks = scratch.save(marks)
+    # Fewer than HEAVY lines stand in that many places each; all others are shuffled.
+    often = every // HEAVY
+    repeated = at.join(F.broadcast(marks.filter(F.col("n") > often)), ["k", "k2"]).unionByName(at.join(marks.filter(F.col("n") <= often), ["k", "k2"]))
+    kept = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.line") == F.col("line")) & (F.col("first.row") == F.col("row"))
+    gone = repeated.filter(F.col("lost") | ~kept)
     return scratch.save(gone.groupBy("doc_id", "row").agg(F.collect_set("line").alias("dropped")))
 
 
 def drop_lines(docs: DataFrame, similar: float = SIMILAR, counts: bool = False) -> DataFrame:
     """The documents without the lines that repeat an earlier one; with ``counts`` also n_lines and n_dropped."""
-    dropped = dropped_lines(docs, similar).select(F.col("doc_id").alias("gapline_id"), F.col("row").alias("gapline_row"), F.col("dropped").alias("gapline_dropped"))
-    joined = docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["gapline_id"]) & (F.xxhash64(docs["text"]) == dropped["gapline_row"]), "left")
+    of, of_row, gone = (free_name(docs, x) for x in ("of", "of_row", "gone"))
+    dropped = dropped_lines(docs, similar).select(F.col("doc_id").alias(of), F.col("row").alias(of_row), F.col("dropped").alias(gone))
+    joined = docs.join(dropped, docs["doc_id"].eqNullSafe(dropped[of]) & (F.xxhash64(docs["text"].cast("string")) == dropped[of_row]), "left")
     lines = F.split(docs["text"], "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gapline_dropped"))
-    text = F.when(F.col("gapline_dropped").isNull(), docs["text"]).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    out = [text.alias("text") if c == "text" else docs[c] for c in docs.columns]
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    text = F.when(F.col(gone).isNull(), docs["text"]).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    new = {"n_lines", "n_dropped"} if counts else set()
+    out = [text.alias("text") if c == "text" else docs[c] for c in docs.columns if c not in new]
     if counts:
-        out += [F.when(docs["text"].isNull(), 0).otherwise(F.size(lines)).alias("n_lines"), F.coalesce(F.size("gapline_dropped"), F.lit(0)).alias("n_dropped")]
+        out += [F.when(docs["text"].isNull(), 0).otherwise(F.size(lines)).alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).alias("n_dropped")]
     result = joined.select(*out)
     return result.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns and not counts else result

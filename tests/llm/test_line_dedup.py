@@ -60,13 +60,15 @@ def test_signature_estimates_jaccard():
     assert (h[0] == h[5]).all() and (h[0] == h[1]).sum() >= 4 and (h[0] == h[2]).sum() == 0 and len({*h[3], *h[4]}) == 2 * ld.BANDS
 
 
-def test_forest_is_spanning(monkeypatch):
+def test_forest_is_spanning():
     base = "the quick brown fox jumps over the lazy dog and runs away into the dark wood number "
     lines = [base + str(k) for k in range(40)] + ["something else entirely %d %s" % (k, "xyz" * k) for k in range(5)]
-    for few in (ld.FEW, 100):
-        monkeypatch.setattr(ld, "FEW", few)
-        links = ld.jaccard_forest(lines)
-        assert len(links) == 39 and all(jaccard(lines[a], lines[b]) >= 0.8 for a, b in links)
+    found = ld.forest(lines)
+    found.search(list(range(20)))
+    assert len(found.links) == 19
+    found.search(list(range(45)))
+    assert len(found.links) == 39 and all(jaccard(lines[a], lines[b]) >= 0.8 for a, b in found.links)
+    assert ld.forest(["a", "a", "b"]).near(0, np.array([1, 2])) == [1]
 
 
 def test_matches_brute_force(spark, sf):
@@ -91,12 +93,31 @@ def test_edges(spark):
     assert ld.drop_lines(docs.limit(0)).count() == 0
 
 
+def test_clashing_columns(spark):
+    rows = [(1, "same line\nother", 5, "a", "b", 9), (2, "SAME line", 6, "c", "d", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone int, of string, n_lines string, row int")
+    got = ld.drop_lines(docs)
+    assert got.columns == docs.columns and sorted(tuple(r) for r in got.collect()) == [rows[0], (2, "", 6, "c", "d", 9)]
+    counted = ld.drop_lines(docs, counts=True)
+    assert counted.columns == ["doc_id", "text", "gone", "of", "row", "n_lines", "n_dropped"]
+
+
 def test_frequent_bands_are_split(spark, monkeypatch):
     rows = [(k, "one very common sentence of a template that differs in the last few places only, item %04d" % k) for k in range(120)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(ld, "BLOCK", 10)
-    read = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
-    assert max(ld.frequent_bands(read, 120).values()) > 1
-    sizes = ld.groups(read, 120).groupBy("grp").count().agg(F.max("count")).first()[0]
-    assert sizes < 60
+    lines = ld.lines_of(docs)
+    assert max(n for n, *_ in ld.frequent_bands(lines, 120).values()) > 1
+    grouped = ld.members(lines, 120)
+    assert grouped.groupBy("grp").agg(F.countDistinct("k").alias("n")).agg(F.max("n")).first()[0] < 40
+    assert grouped.count() < 120 * ld.BANDS * 2
     assert [r["doc_id"] for r in ld.drop_lines(docs).filter("text <> ''").collect()] == [0]
+
+
+def test_chains_over_blocks_are_found(spark, monkeypatch):
+    """Lines that drift step by step: ends of a chain are not similar, and its links lie across blocks."""
+    head = "a head that is the same on all of these lines and is long enough to give them bands in common, for sure it is "
+    rows = [(100 * c + k, head + "".join(chr(97 + (7 * c + j) % 26) if j >= 3 * k else chr(65 + j % 26) + str(c) for j in range(60))) for c in range(3) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(ld, "BLOCK", 4)
+    assert shown(ld.drop_lines(docs)) == brute(rows)
