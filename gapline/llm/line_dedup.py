@@ -24,12 +24,13 @@ hashes: among 10^12 distinct lines the chance of one confusion is below 10^-4.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapline.llm.common import Scratch, connected_components, free_name
@@ -38,7 +39,7 @@ SHINGLE, FUNCTIONS, BANDS, ROWS = 8, 3, 20, 6
 BINS = BANDS * ROWS // FUNCTIONS
 SIMILAR = 0.8
 #: Characters hashed together; lines of one block that a task compares; lines sampled to find frequent band values.
-TOGETHER, BLOCK, SAMPLE = 1 << 18, 1500, 100_000
+TOGETHER, BLOCK, SAMPLE = 1 << 18, 500, 100_000
 #: Band values that a task packs together and that a part gets; parts are matched one at a time, whatever their number.
 PACK, PART, MOST_TASKS = 1 << 19, 250_000, 20_000
 #: Lines that a task remembers as signed; lines that stand oftener than one in so many places are joined by a broadcast.
@@ -113,6 +114,7 @@ class Forest:
         self.sizes = np.array([len(s) for s in sets])
         self.parent = list(range(len(sets)))
         self.links: list[tuple[int, int]] = []
+        self.failed: set[tuple[int, int]] = set()
 
     def root(self, k: int) -> int:
         while self.parent[k] != k:
@@ -133,8 +135,30 @@ class Forest:
         shared = np.add.reduceat(self.sets[own][spot] == every, np.cumsum(sizes) - sizes, dtype=np.int64)
         return others[shared >= self.similar * (sizes + self.sizes[own] - shared) - 1e-9].tolist()
 
+    def link(self, a: int, b: int) -> None:
+        self.links.append((a, b))
+        self.parent[self.root(b)] = self.root(a)
+
+    def compare(self, a: int, b: int) -> None:
+        """Link two lines, if they are similar and not linked."""
+        if (a, b) in self.failed or self.root(a) == self.root(b):
+            return
+        one, two = self.sets[a], self.sets[b]
+        if len(one) > len(two):
+            one, two = two, one
+        if len(one) >= self.similar * len(two) - 1e-9:
+            spot = two.searchsorted(one)
+            shared = np.count_nonzero(two.take(spot, mode="clip") == one)
+            if shared >= self.similar * (len(one) + len(two) - shared) - 1e-9:
+                self.link(a, b)
+                return
+        self.failed.add((a, b))
+
     def search(self, members: list[int]) -> None:
         """Link the lines of one group: breadth first, without comparing what is linked."""
+        if len(members) == 2:
+            self.compare(*members)
+            return
         open_ = np.array(members)
         while len(open_) > 1:
             queue, open_ = [int(open_[0])], open_[1:]
@@ -145,8 +169,7 @@ class Forest:
                 open_ = open_[~linked]
                 found = self.near(own, open_) if len(open_) else []
                 for k in found:
-                    self.links.append((own, k))
-                    self.parent[self.root(k)] = self.root(own)
+                    self.link(own, k)
                 if found:
                     queue += found
                     open_ = np.setdiff1d(open_, found, assume_unique=True)
@@ -161,7 +184,9 @@ def forest(lines: list[str], similar: float = SIMILAR) -> Forest:
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, row, line, normal, k, k2) of every line that isn't blank; ``row`` is the XXH64 of the text, k and k2 are the line's key."""
     each = docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    each = each.select("doc_id", "row", "line", F.lower(F.btrim("raw", F.lit(BLANK))).alias("normal")).filter("normal <> ''")
+    # Trimming looks at all of a line, so only those that need it are trimmed.
+    blank = functools.reduce(Column.__or__, (F.col("raw").startswith(c) | F.col("raw").endswith(c) for c in BLANK))
+    each = each.select("doc_id", "row", "line", F.lower(F.when(blank, F.btrim("raw", F.lit(BLANK))).otherwise(F.col("raw"))).alias("normal")).filter("normal <> ''")
     return each.select("*", F.xxhash64("normal").alias("k"), F.shiftright(F.xxhash64(F.lit(1), "normal"), 32).cast("int").alias("k2"))
 
 
@@ -198,19 +223,20 @@ def distinct_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.nda
 Hot = dict[int, tuple[int, int, int]]
 
 
-def frequent_bands(lines: DataFrame, count: int) -> Hot:
+def frequent_bands(docs: DataFrame, count: int) -> Hot:
     """Band values expected on more than ``BLOCK`` distinct lines: blocks that they are dealt into and a line (k, k2) of each.
 
-    Estimated from about ``SAMPLE`` lines, chosen by their hash; it only spreads the load, results do not depend on it.
+    Estimated from the lines of some documents, chosen by a hash of the text, about ``SAMPLE``; it only spreads the load, results do
+    not depend on it.
     """
     rate = min(1.0, SAMPLE / max(count, 1))
+    lines = lines_of(docs.filter(F.pmod(F.xxhash64(F.lit(2), "text"), F.lit(1 << 20)) < int(rate * (1 << 20))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, k2, texts in distinct_batches(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(k, BANDS)), pa.array(np.repeat(k2, BANDS)), pa.array(bands(texts).view(np.int64).ravel())], ["k", "k2", "h"])
 
-    some = lines.filter(F.pmod(F.col("k"), F.lit(1 << 20)) < int(rate * (1 << 20))).select("k", "k2", "normal")
-    some = some.mapInArrow(run, "k bigint, k2 int, h bigint").distinct()
+    some = lines.select("k", "k2", "normal").mapInArrow(run, "k bigint, k2 int, h bigint").distinct()
     found = some.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("k", "k2")).alias("pivot")).filter(F.col("n") > max(3, rate * BLOCK))
     return {r["h"]: (int(np.ceil(r["n"] / rate / BLOCK)), r["pivot"]["k"], r["pivot"]["k2"]) for r in found.collect()}  # fewer than SAMPLE * BANDS / 3
 
@@ -218,12 +244,12 @@ def frequent_bands(lines: DataFrame, count: int) -> Hot:
 MEMBERS = "run bigint, grp bigint, k bigint, k2 int, value bigint, block int"
 
 
-def members(lines: DataFrame, count: int) -> DataFrame:
+def members(docs: DataFrame, count: int) -> DataFrame:
     """(run, grp, k, k2, value, block): lines that share a band value, with the run that verifies the group.
 
     Groups of frequent values are their blocks; ``value`` and ``block`` are null for others.
     """
-    hot = frequent_bands(lines, count)
+    hot = frequent_bands(docs, count)
     parts = max(1, -(-count * BANDS // PART))
     frequent = np.array(sorted(hot), np.int64)
 
@@ -301,7 +327,7 @@ def members(lines: DataFrame, count: int) -> DataFrame:
             yield from made(now, held)
 
     tasks = min(MOST_TASKS, -(-parts // 4))
-    rows = lines.select("k", "k2", "normal").mapInArrow(pack, "part bigint, value bigint, block int, h binary, k binary, k2 binary")
+    rows = lines_of(docs).select("k", "k2", "normal").mapInArrow(pack, "part bigint, value bigint, block int, h binary, k binary, k2 binary")
     return rows.repartition(tasks, "part").sortWithinPartitions("part", "value", "block").mapInArrow(match, MEMBERS)
 
 
@@ -361,12 +387,12 @@ def rest_of_frequent(hot: DataFrame, wanted: DataFrame, roots: DataFrame, scratc
     return met.select("run", F.col("run").alias("grp"), "k", "k2")
 
 
-def similar_lines(lines: DataFrame, count: int, similar: float, scratch: Scratch) -> DataFrame:
+def similar_lines(docs: DataFrame, count: int, similar: float, scratch: Scratch) -> DataFrame:
     """(k, k2, id, root) of the lines that are linked to others."""
-    grouped = scratch.save(members(lines, count))
+    grouped = scratch.save(members(docs, count))
     # Written with its numbers: they are the same for all that reads them.
     wanted = scratch.save(grouped.select("k", "k2").distinct().withColumn("id", F.monotonically_increasing_id()))
-    texts = scratch.save(line_texts(lines, wanted))
+    texts = scratch.save(line_texts(lines_of(docs), wanted))
     # Written first: two Python steps in one stage would keep twice the workers.
     links = scratch.save(line_links(grouped, texts, similar))
     roots = connected_components(links, scratch)
@@ -382,12 +408,12 @@ def similar_lines(lines: DataFrame, count: int, similar: float, scratch: Scratch
 def dropped_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, row, dropped): the numbers of the lines that each document loses; ``row`` is the XXH64 of its text."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    lines = lines_of(docs.select("doc_id", F.col("text").cast("string").alias("text")))
-    at = scratch.save(lines.select("doc_id", "row", "line", "k", "k2"))
+    read = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    at = scratch.save(lines_of(read).select("doc_id", "row", "line", "k", "k2"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line", "row")
     distinct = scratch.save(at.groupBy("k", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n")))
     count, every = distinct.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    linked = similar_lines(lines, count, similar, scratch)
+    linked = similar_lines(read, count, similar, scratch)
     placed = scratch.save(distinct.join(linked, ["k", "k2"]).select("k", "k2", "id", "root", "first"))
     keepers = placed.groupBy("root").agg(F.min(F.struct("first", "id")).alias("f")).select("root", F.col("f.id").alias("keeper"))
     losers = placed.join(keepers, "root").filter("id <> keeper").select("k", "k2", F.lit(True).alias("lost"))

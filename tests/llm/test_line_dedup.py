@@ -106,9 +106,8 @@ def test_frequent_bands_are_split(spark, monkeypatch):
     rows = [(k, "one very common sentence of a template that differs in the last few places only, item %04d" % k) for k in range(120)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(ld, "BLOCK", 10)
-    lines = ld.lines_of(docs)
-    assert max(n for n, *_ in ld.frequent_bands(lines, 120).values()) > 1
-    grouped = ld.members(lines, 120)
+    assert max(n for n, *_ in ld.frequent_bands(docs, 120).values()) > 1
+    grouped = ld.members(docs, 120)
     assert grouped.groupBy("grp").agg(F.countDistinct("k").alias("n")).agg(F.max("n")).first()[0] < 40
     assert grouped.count() < 120 * ld.BANDS * 2
     assert [r["doc_id"] for r in ld.drop_lines(docs).filter("text <> ''").collect()] == [0]
