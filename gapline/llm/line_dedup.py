@@ -415,7 +415,8 @@ def dropped_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     count, every = distinct.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     linked = similar_lines(read, count, similar, scratch)
     placed = scratch.save(distinct.join(linked, ["k", "k2"]).select("k", "k2", "id", "root", "first"))
-    keepers = placed.groupBy("root").agg(F.min(F.struct("first", "id")).alias("f")).select("root", F.col("f.id").alias("keeper"))
+    # A table of its own: both sides of the join are then plain exchanges, which Spark can split where one component is large.
+    keepers = scratch.save(placed.groupBy("root").agg(F.min(F.struct("first", "id")).alias("f")).select("root", F.col("f.id").alias("keeper")))
     losers = placed.join(keepers, "root").filter("id <> keeper").select("k", "k2", F.lit(True).alias("lost"))
     marks = distinct.join(losers, ["k", "k2"], "left").filter("n > 1 or lost").select("k", "k2", "first", "n", F.coalesce("lost", F.lit(False)).alias("lost"))
     marks = scratch.save(marks)

@@ -1,4 +1,5 @@
 import math
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -42,21 +43,49 @@ def brute(seqs, order, size):
     return lambda ctx, w: p(ctx, w, order)
 
 
-def test_probabilities_match_the_textbook(spark):
-    texts = ["the cat sat on the mat", "The dog ate the cat's food 12 times", "a cat and a dog and a mat", "mat mat mat the the"]
-    docs = spark.createDataFrame([(t,) for t in texts * 3], "text string")
-    letters = kn.alphabet(docs)
-    table = kn.dense(kn.train(docs, Scratch(spark, "t"), letters))
-    codes = kn.code_table(letters)
-    p = brute([kn.symbols(t, codes).tolist() for t in texts * 3], kn.ORDER, kn.SYMBOLS)
-    rng = np.random.default_rng(0)
-    seqs = [kn.symbols(t, codes).tolist() for t in [*texts, "zebra cat", "THE dog"]]
-    tries = [s[k : k + 4] for s in seqs for k in range(len(s) - 3)] + rng.integers(0, kn.SYMBOLS, (200, 4)).tolist()
-    for g in tries:
-        i = ((g[0] * kn.SYMBOLS + g[1]) * kn.SYMBOLS + g[2]) * kn.SYMBOLS + g[3]
-        assert math.isclose(math.exp(-table[i]), p(g[:3], g[3]), rel_tol=1e-4), g
-    sums = np.exp(-table.astype(float)).reshape(-1, kn.SYMBOLS).sum(axis=1)
-    assert np.allclose(sums, 1, atol=1e-3)
+def sequence(text):
+    text = " ".join((text or "").split())
+    return [kn.START] * (kn.ORDER - 1) + [ord(c) for c in text] if text else []
+
+
+def perplexity(text, p):
+    s = sequence(text)
+    costs = [-math.log(p(tuple(s[k : k + 3]), s[k + 3])) for k in range(len(s) - 3)]
+    return math.exp(sum(costs) / len(costs)) if costs else None
+
+
+def test_perplexities_match_the_textbook(spark, monkeypatch):
+    texts = ["the cat sat on the mat", "The dog ate the cat's food 12 times", "a cat and a dog and a mat", "mat mat mat the the", "кот и пёс 猫と犬"] * 3
+    more = [*texts, "zebra cat", "THE dog", "猫 猫 猫", " \n ", "", None, "q", "the \t\n mat \U0001f600", "mat sat cat " * 30]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(more)], "doc_id long, text string")
+    scratch = Scratch(spark, "t")
+    model = kn.Model(docs.filter(f"doc_id < {len(texts)}"), scratch)
+    p = brute([sequence(t) for t in texts], kn.ORDER, model.symbols)
+    assert model.symbols == len({c for t in texts for c in t}) + 1
+    for together, cached in ((1 << 20, kn.CACHED), (16, kn.CACHED), (1 << 20, 40), (16, 40)):
+        monkeypatch.setattr(kn, "TOGETHER", together)
+        got = {r["doc_id"]: r["perplexity"] for r in kn.perplexities(docs, model, scratch, cached).collect()}
+        for k, t in enumerate(more):
+            want = perplexity(t, p)
+            assert got[k] == want or math.isclose(got[k], want, rel_tol=1e-9), (together, cached, t, got[k], want)
+
+
+def test_classify_matches_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("n_chars < 1500")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    trusted = {r[0] for r in kn.trusted_documents(labels).collect()} & {d for d, r in rows.items() if (r["text"] or "").strip()}
+    apart = {d for d in trusted if zlib.crc32(str(d).encode()) % 4 == 0}
+    p = brute([sequence(rows[d]["text"]) for d in sorted(trusted - apart)], kn.ORDER, len({c for d in trusted - apart for c in sequence(rows[d]["text"])}))
+    want = {d: perplexity(r["text"], p) for d, r in rows.items()}
+    for cached in (kn.CACHED, 3000):
+        got = {r["doc_id"]: r for r in kn.classify(docs, kn.trusted_documents(labels), cached=cached).collect()}
+        assert set(got) == set(rows)
+        for d, r in got.items():
+            assert r["perplexity"] == want[d] or math.isclose(r["perplexity"], want[d], rel_tol=1e-9)
+            own = sorted(want[x] for x in apart if rows[x]["lang"] == r["lang"]) or sorted(want[x] for x in apart)
+            assert math.isclose(r["threshold"], own[math.ceil(kn.QUANTILE * len(own)) - 1])
+            assert r["keep"] == (want[d] is not None and r["perplexity"] <= r["threshold"])
 
 
 def test_junk_is_found(spark):
