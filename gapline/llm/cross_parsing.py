@@ -5,13 +5,15 @@ each phrase is the longest match with the training text, the next one starts whe
 phrases for each character wins. Letters are lower-cased and each run of other characters counts as one gap, so digits,
 punctuation and mark-up say nothing about the language.
 
-The model is a few tens of thousands of characters for each language (``DOCS`` documents, ``CHARS`` characters of each, chosen
-by a hash of the id) and travels with the tasks, each of which builds the automata once. Texts are parsed whole, in stretches of
-``STRETCH`` symbols that advance side by side; a stretch ends a phrase.
+The model is fitted on a bounded sample: the whole texts of ``DOCS`` labelled documents of each language, chosen by a hash of the id
+among those of at most ``LONGEST`` characters. It travels with the tasks, each of which builds the automata once. Texts of any length
+are parsed whole, in stretches of ``STRETCH`` symbols that advance side by side. A stretch first starts at the root; then the
+state in which its predecessor ended is carried into it, until both runs are in the same state (``SETTLED`` symbols mostly suffice, else
+the stretch is run again), so phrases go on over the borders and their number is that of one run over the text.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; texts of unknown letters tie, and ties go to the
-language that sorts first, with score 0; without any labelled text everything is ``und``; repeated rows are judged each; other
-columns are ignored; rows without an id are judged but never learned from.
+language that sorts first, with score 0; without any labelled text everything is ``und``; an empty table gives an empty result;
+repeated rows are judged each; other columns are ignored; rows without an id are judged but never learned from.
 """
 
 from __future__ import annotations
@@ -26,9 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Labelled documents of each language and characters of each (from its middle) that are learned.
-DOCS, CHARS = 48, 768
-STRETCH = 1024
+#: Labelled documents of each language that are learned, and characters that each of these has at most.
+DOCS, LONGEST = 32, 8192
+#: Symbols of a stretch, and of its beginning that is read first when a state is carried into it.
+STRETCH, SETTLED = 1024, 96
 #: Symbols parsed together.
 TOGETHER = 1 << 20
 UNKNOWN = "und"
@@ -42,13 +45,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, docs_each: int = DOCS, chars: int = CHARS) -> Model:
-    """(language, text) pairs from the labelled documents that aren't held out: a bounded sample of every language."""
-    middle = F.greatest(F.lit(1), (F.length("text") / 2 - chars / 2).cast("int"))
+def learn(docs: DataFrame, docs_each: int = DOCS, longest: int = LONGEST) -> Model:
+    """(language, text) pairs from the labelled documents that aren't held out: a bounded sample of every language.
+
+    Languages with longer texts only are learned from the shortest of these.
+    """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    piece = labelled.select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", middle, F.lit(chars)).alias("piece"))
+    order = F.struct(F.greatest(F.length("text"), F.lit(longest)).alias("over"), F.xxhash64("doc_id").alias("own"))
+    piece = labelled.select("lang", order.alias("h"), F.col("text").alias("piece"))
     first = F.row_number().over(W.partitionBy("lang").orderBy("h", "piece"))
-    rows = piece.withColumn("n", first).filter(F.col("n") <= docs_each).orderBy("lang", "n").collect()  # docs_each rows for each language
+    # docs_each rows for each language, one if all its texts are longer
+    rows = piece.withColumn("n", first).filter((F.col("n") <= docs_each) & ((F.col("n") == 1) | (F.col("h.over") == longest))).orderBy("lang", "n").collect()
     found: dict[str, list[str]] = {}
     for r in rows:
         found.setdefault(r["lang"], []).append(r["piece"])
@@ -110,27 +117,59 @@ def symbols(text: str, codes: np.ndarray) -> np.ndarray:
     return found[~(gap & np.concatenate([[True], gap[:-1]]))] if len(found) else found
 
 
+class Stretches:
+    """Stretches of texts side by side, the longest first, with their owners; ``before`` is the place of each one's predecessor."""
+
+    def __init__(self, texts: list[np.ndarray]):
+        rows = [(k, a, t[a : a + STRETCH]) for k, t in enumerate(texts) for a in range(0, len(t), STRETCH)]
+        rows.sort(key=lambda r: -len(r[2]))
+        place = {(k, a): n for n, (k, a, _) in enumerate(rows)}
+        self.owners = np.array([k for k, _, _ in rows])
+        self.lengths = np.array([len(p) for _, _, p in rows])
+        self.before = np.array([place.get((k, a - STRETCH), -1) for k, a, _ in rows])
+        self.last = np.array([(k, a + STRETCH) not in place for k, a, _ in rows])
+        grid = np.zeros((len(rows), self.lengths[0]), np.int32)
+        for row, (_, _, p) in zip(grid, rows, strict=True):
+            row[: len(p)] = p
+        self.grid = np.ascontiguousarray(grid.T)
+
+    def run(self, table: np.ndarray, some: np.ndarray, start: np.ndarray, end: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """States and ended phrases of some stretches, after ``SETTLED`` symbols and at the end; they start in the given states."""
+        lengths = self.lengths[some]
+        at, ended = start.copy(), np.zeros(len(some), np.int64)
+        grid = self.grid if len(some) == len(self.lengths) else self.grid[:, some]
+        open_rows = (lengths[None, :] > np.arange(lengths[0])[:, None]).sum(axis=1).tolist()
+        for j, n in enumerate(open_rows[:end]):
+            if j == SETTLED:
+                yield at.copy(), ended.copy()
+            step = table[at[:n] + grid[j, :n]]
+            ended[:n] += step & 3
+            at[:n] = step >> 2
+        if len(open_rows) <= SETTLED:
+            yield at.copy(), ended.copy()
+        yield at, ended
+
+
 def phrases(texts: list[np.ndarray], tables: list[np.ndarray]) -> np.ndarray:
     """Phrases that each text (as symbols) needs in each language."""
-    pieces = [(k, t[a : a + STRETCH]) for k, t in enumerate(texts) for a in range(0, len(t), STRETCH)]
     out = np.zeros((len(texts), len(tables)), np.int64)
-    if not pieces:
+    if not any(len(t) for t in texts):
         return out
-    pieces.sort(key=lambda p: -len(p[1]))
-    lengths = np.array([len(p) for _, p in pieces])
-    grid = np.zeros((len(pieces), lengths[0]), np.int32)
-    for row, (_, p) in zip(grid, pieces, strict=True):
-        row[: len(p)] = p
-    grid = np.ascontiguousarray(grid.T)
-    open_rows = (lengths[None, :] > np.arange(len(grid))[:, None]).sum(axis=1)
-    owners = np.array([k for k, _ in pieces])
+    rows = Stretches(texts)
+    every = np.arange(len(rows.lengths))
     for j, table in enumerate(tables):
-        at, ended = np.zeros(len(pieces), np.int32), np.zeros(len(pieces), np.int64)
-        for n, column in zip(open_rows.tolist(), grid, strict=True):
-            step = table[at[:n] + column[:n]]
-            ended[:n] += step & 3
-            at[:n] = step >> 2
-        np.add.at(out[:, j], owners, ended + (at > 0))
+        (early, early_ended), (at, ended) = rows.run(table, every, np.zeros(len(every), np.int32))
+        start = np.zeros(len(every), np.int32)
+        # Stretches whose predecessor ended in another state than they were started in.
+        while len(wrong := np.flatnonzero((rows.before >= 0) & (at[rows.before] != start))):
+            start[wrong] = at[rows.before[wrong]]
+            *_, (now, n) = rows.run(table, wrong, start[wrong], SETTLED)
+            same = now == early[wrong]
+            ended[wrong[same]] += n[same] - early_ended[wrong[same]]
+            early_ended[wrong[same]] = n[same]
+            if len(rest := wrong[~same]):
+                (early[rest], early_ended[rest]), (at[rest], ended[rest]) = rows.run(table, rest, start[rest])
+        np.add.at(out[:, j], rows.owners, ended + ((at > 0) & rows.last))
     return out
 
 

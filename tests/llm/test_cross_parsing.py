@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -30,12 +31,55 @@ def test_phrases_are_longest_matches():
         assert cp.phrases([s], tables).tolist() == [want], text
 
 
-def test_stretches_only_add_their_ends():
-    model = (("a", "abcabcabd"),)
-    codes, _, tables = cp.prepared(model)
-    long = cp.symbols("abc" * 5000, codes)
-    parts = sum(int(cp.phrases([long[k : k + cp.STRETCH]], tables)[0, 0]) for k in range(0, len(long), cp.STRETCH))
-    assert int(cp.phrases([long, long[:3]], tables)[0, 0]) == parts
+def test_phrases_go_on_over_stretches(monkeypatch):
+    rng = np.random.default_rng(5)
+    train = "".join(rng.choice(list("abc"), 400)) + "abcabcabd" * 40
+    model = (("a", train), ("b", "".join(rng.choice(list("abcd"), 300))))
+    texts = ["abc" * 500, "".join(rng.choice(list("abcdé"), 700)), train[:350] + train[20:300], "", "d" * 65, train * 2]
+    for stretch, settled in ((1024, 96), (64, 8), (8, 3), (7, 7), (5, 50), (1, 1)):
+        monkeypatch.setattr(cp, "STRETCH", stretch)
+        monkeypatch.setattr(cp, "SETTLED", settled)
+        codes, _, tables = cp.prepared(model)
+        seqs = [cp.symbols(t, codes) for t in texts]
+        got = cp.phrases(seqs, tables).tolist()
+        for s, row in zip(seqs, got, strict=True):
+            trains = ["".join(chr(256 + x) for x in cp.symbols(t, codes)) for _, t in model]
+            assert row == [greedy("".join(chr(256 + x) for x in s), t) for t in trains], (stretch, settled)
+
+
+def brute(rows):
+    """(doc_id, language, score) by plain substring search in the whole texts that are learned."""
+    def gaps(text):
+        return re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in (text or "").lower()))
+
+    model = {lang: gaps(text) for lang, text in rows["model"]}
+    known = {c for t in model.values() for c in t}
+    out = []
+    for d, text in rows["texts"]:
+        t = "".join(c if c in known or c == " " else "\1" for c in gaps(text))
+        if not t.strip():
+            out.append((d, "und", 0.0))
+            continue
+        n = sorted((greedy(t, m), lang) for lang, m in model.items())
+        out.append((d, n[0][1], 1 - n[0][0] / n[1][0]))
+    return out
+
+
+def test_identify_matches_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("n_chars < 1200 or n_chars between 3000 and 4000").limit(90)
+    model = cp.learn(docs, docs_each=6)
+    learned = {r["text"] for r in docs.collect() if r["lang"] and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+    assert len(model) == 4 and all(any(t in text for t in learned) for _, text in model)
+    want = sorted(brute({"model": model, "texts": [(r["doc_id"], r["text"]) for r in docs.collect()]}))
+    got = sorted((r["doc_id"], r["lang_pred"], r["score"]) for r in cp.identify(docs, model).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want])
+
+
+def test_only_whole_texts_are_learned(spark):
+    rows = [(k, f"wort{k} " + "abc " * k, "de") for k in range(40)] + [(100 + k, "mot " * 4000, "fr") for k in range(5)]
+    model = dict(cp.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), docs_each=50, longest=100))
+    texts = {t for d, t, _ in rows if zlib.crc32(str(d).encode()) % 4 != 2 and len(t) <= 100}
+    assert sorted(model["de"].split()) == sorted(" ".join(texts).split()) and model["fr"] == "mot " * 4000
 
 
 def test_held_out_accuracy(spark):
