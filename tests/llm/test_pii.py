@@ -1,9 +1,11 @@
 import re
 from collections import defaultdict
 
+import regex
 from pyspark.sql import functions as F
 
 from gapline.llm import pii
+from gapline.llm.common import Scratch
 
 
 def luhn(s):
@@ -103,3 +105,80 @@ def test_whole_names_and_keys(spark):
     for k, key in enumerate(keys):
         assert out[100 + k]["n_entities"] == 1 and key not in out[100 + k]["text"] and shape(out[100 + k]["text"]) == shape(rows[len(names) + k][1])
     assert out[200]["n_entities"] == 1 and "Abc" not in out[200]["text"]
+
+
+def detect(text):
+    """Entities by a plain scan with the patterns of each kind in order of precedence, leftmost first."""
+    found, at = [], 0
+    patterns = [regex.compile(p.replace("IsCyrillic", "Cyrillic")) for p in pii.KINDS.values()]
+    while True:
+        best = None
+        for p in patterns:
+            m = p.search(text, at)
+            if m and (best is None or m.start() < best.start()):
+                best = m
+        if not best:
+            return found
+        found.append(best.span())
+        at = best.end()
+
+
+def test_matches_plain_replacer(spark, sf):
+    """The query's texts against a plain detector: what lies between entities is the same, and surrogates are one to one."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = {r["doc_id"]: r for r in pii.replace(docs).collect()}
+    one, back = {}, {}
+    for r in docs.collect():
+        text, got = r["text"] or "", out[r["doc_id"]]
+        spans = detect(text)
+        assert got["n_entities"] == len(spans), (text, spans)
+        cuts = [0, *(x for span in spans for x in span), len(text)]
+        fixed = [text[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+        m = re.fullmatch("(.+?)".join(map(re.escape, fixed)), got["text"] or "", re.S)
+        assert m, (text, got["text"])
+        for (a, b), new in zip(spans, m.groups(), strict=True):
+            old = text[a:b].lower()
+            assert one.setdefault(old, new.lower()) == new.lower() and back.setdefault(new.lower(), old) == old and old != new.lower()
+    assert len(one) > 15 and not set(one) & set(back)
+
+
+def test_hostile_strings_of_each_kind(spark):
+    n = 60_000
+    rows = ["a@" + "b." * (10 * n), "a@" + "b." * n + "com", "a@" * n, "+1 " + "23 " * n, "1." * n, "12-" * n, "4111 " * n, "a1" * n, "g" * n, "ghp_" * n, "Mr A" + "b" * n, "Mr A. " * n, "Mr " + "de la " * n, "Mr X" + "-Y" * n, "Mr O" + "'a" * n, "sk-" * n, "%" * n]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pii.replace(docs).collect()}
+    assert len(out) == len(rows) and out[1]["n_entities"] == 1 and out[0]["n_entities"] == 0
+
+
+def test_full_formats_are_permuted(spark):
+    """All numbers of a format are in the corpus: nothing is left to draw, and the numbers stay distinct."""
+    scratch = Scratch(spark, "t")
+    full = spark.range(10_000).select(F.lit("phone").alias("kind"), F.concat(F.lit("4"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("canon"))
+    half = spark.range(600).select(F.lit("ssn").alias("kind"), F.concat(F.lit("7"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("canon"))
+    cards = spark.createDataFrame([("card", f"4{k:014d}{k % 10}") for k in range(50)] + [("ip", f"10.0.0.{k}") for k in range(50)], "kind string, canon string")
+    got = pii.surrogates(full.unionByName(half).unionByName(cards), scratch, "k", draws=3).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["kind"]].append((r["canon"], r["surrogate"]))
+    assert {k: len(v) for k, v in by.items()} == {"phone": 10_000, "ssn": 600, "card": 50, "ip": 50}
+    assert all(len({y for _, y in v}) == len(v) for v in by.values())
+    assert {y for _, y in by["phone"]} == {x for x, _ in by["phone"]} and sum(x == y for x, y in by["phone"]) < 20
+    direct = spark.createDataFrame([("card", f"4{k:05d}{k % 10}") for k in range(2000)] + [("ip", f"10.{k // 256}.3.{k % 256}") for k in range(2000)], "kind string, canon string")
+    rows = direct.select("kind", "canon", pii.permuted("k").alias("new")).collect()
+    assert len({(r["kind"], r["new"]) for r in rows}) == 4000
+    assert all(luhn(r["canon"]) == luhn(r["new"]) for r in rows if r["kind"] == "card") and all(max(map(int, r["new"].split("."))) < 256 for r in rows if r["kind"] == "ip")
+
+
+def test_names_and_domains_corefer(spark):
+    rows = [(1, "Mr John Smith spoke. Smith left, and John Smith-Lee and Smithers stayed; Smith's hat. Mr Smith and MR SMITH."), (2, "Smith is a smith"), (3, "Frau Anna von der Heide; von der Heide, Heide"), (4, "a@one.com b@one.com a@two.com a@x.co.uk")]
+    rows += [(100 + k, f"x@{chr(97 + k // 26)}{chr(97 + k % 26)}.org") for k in range(600)]
+    out = {r["doc_id"]: r["text"] for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    m = re.fullmatch(r"Mr (\w+) (\w+) spoke. (\w+) left, and John Smith-Lee and Smithers stayed; (\w+)'s hat. Mr (\w+) and MR SMITH.", out[1])
+    assert m and len({m[2], m[3], m[4], m[5]}) == 1 and m[2] != "Smith" and m[1] != "John"
+    assert out[2] == rows[1][1]
+    m = re.fullmatch(r"Frau (\w+) (\w+); (\w+), Heide", out[3])
+    assert m and m[2] == m[3]
+    mails = [x.split("@") for x in out[4].split()]
+    assert mails[0][1] == mails[1][1] != mails[2][1] and mails[3][1].endswith(".uk") and "co.uk" not in out[4][-5:]
+    domains = {out[100 + k].split("@")[1] for k in range(600)}
+    assert len(domains) == 600 and not domains & {t.split("@")[1] for _, t in rows[4:]}
