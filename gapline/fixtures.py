@@ -69,7 +69,8 @@ SELECT 'cobol:' || CAST(p_partkey AS STRING) AS chunk_id, 'cobol' AS artifact_ty
        || '           05  ITEM-ID PIC 9(9)' || CASE WHEN p_partkey % 2 = 0 THEN ' * key' ELSE '.' END || chr(10)
        || '           05  ITEM-SIZE PIC S9(' || CAST(p_size AS STRING) || ') COMP-3.' || chr(10)
        || '           05  ITEM-TYPE PIC X(25) OCCURS 3 TIMES.' || chr(10)
-       || '               88  IS-KNOWN VALUE ''' || p_type || '''.' AS text_content,
+       || '               88  IS-KNOWN VALUE ''' || p_type || '''.'
+       || CASE WHEN p_partkey % 5 = 0 THEN chr(10) || '      * PURPOSE: prices ' || p_name || chr(10) || CASE WHEN p_partkey % 2 = 0 THEN '      * INPUT: the item' || chr(10) || '      * OUTPUT: the price' || chr(10) ELSE '' END || '       PROCEDURE DIVISION.' || chr(10) || '       MAIN SECTION.' ELSE '' END AS text_content,
        CAST(NULL AS STRING) AS metadata
 FROM part
 UNION ALL
@@ -93,7 +94,8 @@ SELECT 'irs:' || CAST(s_suppkey AS STRING), 'irs',
 FROM supplier
 UNION ALL
 SELECT 'mumps:' || CAST(c_custkey AS STRING), 'mumps',
-       '^DD(' || CAST(c_nationkey AS STRING) || ',.01,0)="NAME^RF^^0;1^K:$L(X)>30 X"' || chr(10)
+       CASE WHEN c_custkey % 5 = 0 THEN 'CUST ;' || c_mktsegment || chr(10) || ' ;;1.0;MAIN;FILE' || chr(10) || ' ;; PURPOSE: looks a customer up' || chr(10) || CASE WHEN c_custkey % 2 = 0 THEN ' ;; INPUT: number' || chr(10) || ' ;; OUTPUT: name' || chr(10) ELSE '' END ELSE '' END
+       || '^DD(' || CAST(c_nationkey AS STRING) || ',.01,0)="NAME^RF^^0;1^K:$L(X)>30 X"' || chr(10)
        || CASE WHEN c_custkey % 2 = 0 THEN 'TYPE: FREE TEXT' || chr(10) ELSE '' END
        || CASE WHEN c_custkey % 3 = 0 THEN 'HELP-PROMPT: "Answer must be text"' || chr(10) ELSE '' END
        || '^DPT(' || CAST(c_custkey AS STRING) || ',"B")="' || c_mktsegment || '"',

@@ -66,6 +66,9 @@ def semantic_features(chunks: DataFrame) -> DataFrame:
 
 
 def term_vocabulary(chunks: DataFrame) -> DataFrame:
-    """Distinct terms and the chunks that hold them. Terms are distinct within a chunk first, then counted map-side."""
-    terms = F.array_distinct(F.regexp_extract_all(F.lower("text_content"), F.lit("[a-z]{4,}"), F.lit(0)))
-    return chunks.select("chunk_id", F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("chunks"))
+    """The technical terms, configuration concepts and infrastructure patterns found anywhere, with the chunks that hold them."""
+    found = semantic_features(chunks)
+    kinds = ("technical_terms", "configuration_concepts", "infrastructure_patterns")
+    named = [F.arrays_zip(F.array_repeat(F.lit(k), F.size(F.split(k, ","))).alias("kind"), F.split(k, ",").alias("term")) for k in kinds]
+    each = F.filter(F.concat(*named), lambda x: x["term"] != "")
+    return found.select(F.explode(each).alias("t")).groupBy("t.kind", "t.term").agg(F.count("*").alias("chunks"))

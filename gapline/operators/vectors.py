@@ -104,6 +104,7 @@ def embedding_stats(vectors: DataFrame, dims: int) -> DataFrame:
     return vectors.agg(
         F.count("*").alias("vectors"), F.count_distinct("chunk_id").alias("chunk_ids"), F.count_distinct("model").alias("models"), F.count_distinct("artifact_type").alias("types"),
         F.count_if(n == dims).alias("valid_dims"), F.count_if(n != dims).alias("invalid_dims"), F.round(F.avg(n), 6).alias("avg_dims"), F.round(F.sum(n) * 8 / 1048576, 6).alias("megabytes"),
+        F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"),
     )
 
 
@@ -156,9 +157,9 @@ def count_classes(vectors: DataFrame) -> DataFrame:
     return vectors.agg(F.count_if(kind.isin("fastapi", "cobol", "mumps")).alias("code"), F.count_if(kind.isin("irs")).alias("documentation"), F.count_if(~kind.isin("fastapi", "cobol", "mumps", "irs")).alias("other"))
 
 
-def similarity_correlation(before: DataFrame, after: DataFrame, sample: int = 300) -> DataFrame:
-    """Pearson correlation of pairwise cosines before and after a reduction, over pairs of at most ``sample`` vectors."""
-    some = before.select("chunk_id", F.col("embedding").alias("a")).join(after.select("chunk_id", F.col("embedding").alias("b")), "chunk_id").orderBy("chunk_id").limit(sample)
+def similarity_correlation(before: DataFrame, after: DataFrame, sample: int = 1000) -> DataFrame:
+    """Pearson correlation of pairwise cosines before and after a reduction, over pairs of at most ``sample`` vectors, drawn by a hash of the id."""
+    some = before.select("chunk_id", F.col("embedding").alias("a")).join(after.select("chunk_id", F.col("embedding").alias("b")), "chunk_id").orderBy(F.md5(F.col("chunk_id").cast("binary")), "chunk_id").limit(sample)
     x, y = some.alias("x"), some.alias("y")
     pairs = x.join(y, F.col("x.chunk_id") < F.col("y.chunk_id"))  # bounded: sample * sample / 2 pairs
 
@@ -185,15 +186,15 @@ def neighbor_preservation(before: DataFrame, after: DataFrame, probes: DataFrame
 
 def probe_index(text: Column, dims: int) -> Column:
     """Sum of the text's UTF-8 bytes modulo the dimension."""
-    hexed = F.hex(F.encode(text, "utf-8"))
-    bytes_ = F.transform(F.sequence(F.lit(0), F.octet_length(text) - 1), lambda i: F.conv(F.substr(hexed, 2 * i + 1, F.lit(2)), 16, 10).cast("long"))
-    return F.when(F.octet_length(text) > 0, F.pmod(F.aggregate(bytes_, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(dims))).otherwise(F.lit(0)).cast("int")
+    pairs = F.regexp_extract_all(F.hex(F.encode(F.coalesce(text, F.lit("")), "utf-8")), F.lit(".."), F.lit(0))
+    total = F.aggregate(pairs, F.lit(0).cast("long"), lambda a, x: a + F.conv(x, 16, 10).cast("long"))
+    return F.pmod(total, F.lit(dims)).cast("int")
 
 
 def text_probe_embedding(text: Column, dims: int = 768) -> Column:
     """A one-hot vector whose place is ``probe_index``: repeatable without any model."""
     at = probe_index(text, dims)
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.when(i == at, 1.0).otherwise(0.0))
+    return F.concat(F.array_repeat(F.lit(0.0), at), F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), dims - 1 - at))
 
 
 def search_text(vectors: DataFrame, text: str, k: int, dims: int) -> DataFrame:

@@ -67,15 +67,23 @@ def _(t):
     return N.cobol_syntax_check(rows)
 
 
+# Every other layout is written in small letters.
+LAYOUT = "CASE WHEN length(text_content) % 2 = 0 THEN lower(text_content) ELSE text_content END"
+
+
+def layouts(t):
+    return t.source_text.filter("artifact_type = 'irs'").select(F.col("chunk_id").alias("path"), F.expr(LAYOUT).alias("text"))
+
+
 IRS = rf"""
-im AS (SELECT chunk_id AS path, unnest(regexp_extract_all(text_content, '{q(N.IRS_FIELD)}', 0)) AS x FROM source_text WHERE artifact_type = 'irs'),
+im AS (SELECT chunk_id AS path, unnest(regexp_extract_all({LAYOUT}, '{q(N.IRS_FIELD)}', 0)) AS x FROM source_text WHERE artifact_type = 'irs'),
 ff AS (SELECT path, CAST(regexp_extract(x, '{q(N.IRS_FIELD)}', 1) AS INT) AS start_position, CAST(regexp_extract(x, '{q(N.IRS_FIELD)}', 2) AS INT) AS end_position, regexp_extract(x, '{q(N.IRS_FIELD)}', 3) AS field_name, regexp_extract(x, '{q(N.IRS_FIELD)}', 4) AS pic,
-  upper(regexp_extract(x, '{q(N.IRS_FIELD)}', 5)) AS data_type, regexp_extract(x, '{q(N.IRS_FIELD)}', 6) = 'Required' AS required, regexp_extract(x, '{q(N.IRS_FIELD)}', 7) AS section FROM im)"""
+  upper(regexp_extract(x, '{q(N.IRS_FIELD)}', 5)) AS data_type, regexp_extract(x, '{q(N.IRS_FIELD)}', 6) IN ('Required', 'required') AS required, regexp_extract(x, '{q(N.IRS_FIELD)}', 7) AS section FROM im)"""
 
 
 @query("irs_fields", f"WITH {IRS} SELECT *, end_position - start_position + 1 AS field_length FROM ff", "source_text")
 def _(t):
-    return N.irs_fields(files(t, "irs"))
+    return N.irs_fields(layouts(t))
 
 
 @query("irs_sections", rf"""
@@ -83,7 +91,7 @@ WITH {IRS}, t AS (SELECT *, end_position - start_position + 1 AS n, printf('%03d
 SELECT path, section, count(*) AS field_count, min(start_position) AS start_position, CAST(sum(n) AS BIGINT) AS total_length, CASE WHEN count(DISTINCT data_type) > 1 THEN 'MIXED' ELSE min(data_type) END AS data_type, 'Section: ' || section || chr(10) || chr(10) || string_agg(t, chr(10) ORDER BY start_position, t) AS content FROM t GROUP BY path, section
 """, "source_text")
 def _(t):
-    return N.irs_sections(N.irs_fields(files(t, "irs")))
+    return N.irs_sections(N.irs_fields(layouts(t)))
 
 
 SECTION = "CASE " + " ".join(f"WHEN regexp_matches(lower(n), '{w}') THEN '{s}'" for s, w in N.SECTIONS) + " ELSE 'GENERAL' END"
@@ -91,7 +99,7 @@ SECTION = "CASE " + " ".join(f"WHEN regexp_matches(lower(n), '{w}') THEN '{s}'"
 
 @query("irs_infer_section", f"SELECT n AS field_name, {SECTION} AS section FROM (SELECT DISTINCT field_name AS n FROM ff) UNION ALL SELECT n, {SECTION} FROM (SELECT p_name || ' ' || p_type AS n FROM part)".replace("SELECT n AS", f"WITH {IRS} SELECT n AS", 1), "source_text")
 def _(t):
-    names = N.irs_fields(files(t, "irs")).select("field_name").distinct().unionByName(t.part.select(F.concat_ws(" ", "p_name", "p_type").alias("field_name")))
+    names = N.irs_fields(layouts(t)).select("field_name").distinct().unionByName(t.part.select(F.concat_ws(" ", "p_name", "p_type").alias("field_name")))
     return names.select("field_name", N.irs_infer_section(F.col("field_name")).alias("section"))
 
 
@@ -155,24 +163,36 @@ def _(t):
     return N.k8s_section_chunks(rows)
 
 
-SPEC = """'{"openapi":"3.0.0","paths":{"/orders/{id}":{"get":{"operationId":"order_' || CAST(o_orderkey AS STRING) || '","responses":{"200":{"content":{"application/json":{"schema":{"$ref":"#/components/schemas/Order"}}}},"default":{"description":"x"},"404":{}}},"summary":{}},"/' || CAST(o_orderstatus AS STRING) || '":{"post":{"requestBody":{"content":{"application/json":{"schema":{"$ref":"#/New"}}}},"responses":{"201":{}}}}},"components":{"schemas":{"Order":{"type":"object","properties":{"id":{"type":"integer"},"priority":{"type":"string"}},"required":["id"]},"Any":{}}}}'"""
+JSON_SPEC = """'{"openapi":"3.0.0","paths":{"/orders/{id}":{"summary":"one order","parameters":[{"name":"id"}],"get":{"operationId":"order_' || CAST(o_orderkey AS STRING) || '",
+"responses":{"200":{"content":{"application/json":{"schema":{"$ref":"#/components/schemas/Order"}}}},"default":{"description":"x"},"404":{}}}},
+"/' || CAST(o_orderstatus AS STRING) || '":{"post":{"requestBody":{"content":{"application/json":{"schema":{"$ref":"#/New"}}}},"responses":{"201":{}}}}},
+"components":{"schemas":{"Order":{"type":"object","properties":{"id":{"type":"integer"},"priority":{"type":"string"}},"required":["id"]},"Any":{}}}}'"""
+YAML_SPEC = """concat('openapi: 3.0.0', chr(10), 'paths:', chr(10), '  /y/', o_orderstatus, ':', chr(10), '    summary: s', chr(10), '    get:', chr(10),
+'      responses: {200: {description: ok}}', chr(10), 'components: {schemas: {Kind: {properties: {a: {}}}}}')"""
 
 
 def specs(t):
-    return t.orders.select(F.col("o_orderkey").cast("string").alias("path"), F.expr(SPEC).alias("text"))
+    """JSON; YAML; what can't be read; what can be read and is no specification."""
+    text = f"CASE CAST(o_orderkey % 16 AS INT) WHEN 1 THEN {YAML_SPEC} WHEN 2 THEN '{{\"openapi\": [' WHEN 3 THEN 'plain: yaml' ELSE {JSON_SPEC} END"
+    return t.orders.select(F.col("o_orderkey").cast("string").alias("path"), F.expr(text).alias("text"))
 
 
 @query("ingest_openapi", """
-SELECT CAST(o_orderkey AS VARCHAR) AS path, '/orders/{id}' AS route, 'get' AS method, 'order_' || o_orderkey AS operation_id, '200,404' AS status_codes, NULL AS request_model, '#/components/schemas/Order' AS response_model FROM orders
-UNION ALL SELECT CAST(o_orderkey AS VARCHAR), '/' || o_orderstatus, 'post', 'post__' || o_orderstatus, '201', '#/New', NULL FROM orders
+WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS path, o_orderstatus AS st, o_orderkey % 16 AS k FROM orders)
+SELECT path, '/orders/{id}' AS route, 'get' AS method, 'order_' || path AS operation_id, '200,404' AS status_codes, NULL AS request_model, '#/components/schemas/Order' AS response_model, false AS failed FROM o WHERE k NOT IN (1, 2, 3)
+UNION ALL SELECT path, '/' || st, 'post', 'post__' || st, '201', '#/New', NULL, false FROM o WHERE k NOT IN (1, 2, 3)
+UNION ALL SELECT path, '/y/' || st, 'get', 'get__y_' || st, '200', NULL, NULL, false FROM o WHERE k = 1
+UNION ALL SELECT path, NULL, NULL, NULL, NULL, NULL, NULL, true FROM o WHERE k IN (2, 3)
 """)
 def _(t):
-    return N.ingest_openapi(specs(t)).withColumn("status_codes", F.array_join("status_codes", ","))
+    return N.ingest_openapi(specs(t)).withColumns({"status_codes": F.array_join("status_codes", ","), "failed": F.col("error").isNotNull()}).drop("error")
 
 
 @query("ingest_openapi_schemas", """
-SELECT CAST(o_orderkey AS VARCHAR) AS path, 'Order' AS schema_name, 'object' AS schema_type, 'id,priority' AS properties, 'id' AS required FROM orders
-UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'Any', 'object', '', '' FROM orders
+WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS path, o_orderkey % 16 AS k FROM orders)
+SELECT path, 'Order' AS schema_name, 'object' AS schema_type, 'id,priority' AS properties, 'id' AS required FROM o WHERE k NOT IN (1, 2, 3)
+UNION ALL SELECT path, 'Any', 'object', '', '' FROM o WHERE k NOT IN (1, 2, 3)
+UNION ALL SELECT path, 'Kind', 'object', 'a', '' FROM o WHERE k = 1
 """)
 def _(t):
     return N.ingest_openapi_schemas(specs(t)).withColumns({"properties": F.array_join("properties", ","), "required": F.array_join("required", ",")})

@@ -19,9 +19,11 @@ from gapline.streaming import requests as R
 def folder(t: Tables) -> str:
     """A new folder that driver and executors share."""
     base = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getCheckpointDir()
-    if not base:
+    if not base and t.spark.sparkContext.master.split("[")[0] == "local":
         base = tempfile.mkdtemp(prefix="gapline-")
         t.spark.conf.set("spark.checkpoint.dir", base)
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -34,27 +36,32 @@ def request_stream(t: Tables) -> DataFrame:
     )
 
 
-def through_stream(t: Tables, make) -> DataFrame:
+def through_stream(t: Tables, make, keys: list[str]) -> DataFrame:
     base = folder(t)
-    J.stream_to_table(make(request_stream(t)), f"{base}/out", f"{base}/checkpoint")
-    return t.spark.read.parquet(f"{base}/out")
+    J.stream_updates(make(request_stream(t)), f"{base}/out", f"{base}/checkpoint")
+    return J.latest_metrics(t.spark.read.parquet(f"{base}/out").drop("batch"), keys).drop("version")
 
 
 for _name, _every, _unit in (("request_counts_hourly", "1 hour", "hour"), ("request_counts_daily", "1 day", "day")):
 
     @query(_name, f"SELECT date_trunc('{_unit}', ts)::TIMESTAMP AS window_start, count(*) AS requests FROM requests GROUP BY 1", "requests")
     def _(t, every=_every):
-        return through_stream(t, lambda s: R.request_counts(s, every))
+        return through_stream(t, lambda s: R.request_counts(s, every), ["window_start"])
 
 
 @query("performance_alerts", "SELECT * FROM (SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, count(*) AS requests, count(*) FILTER (status_code >= 400) AS errors, round(count(*) FILTER (status_code >= 400)::DOUBLE / count(*), 6) AS error_rate FROM requests GROUP BY 1) WHERE error_rate > 0.25", "requests")
 def _(t):
-    return through_stream(t, lambda s: R.performance_alerts(s, limit=0.25))
+    return through_stream(t, lambda s: R.window_errors(s), ["window_start"]).filter("error_rate > 0.25")
 
 
 @query("error_rate", "SELECT endpoint, count(*) AS requests, count(*) FILTER (status_code >= 400) AS errors, round(count(*) FILTER (status_code >= 400)::DOUBLE / count(*), 6) AS error_rate FROM requests GROUP BY endpoint", "requests")
 def _(t):
-    return through_stream(t, R.error_rate)
+    return through_stream(t, R.error_rate, ["endpoint"])
+
+
+@query("requests_by_status", "SELECT status_code, count(*) AS requests, count(*) FILTER (status_code >= 400) AS errors FROM requests GROUP BY status_code", "requests")
+def _(t):
+    return through_stream(t, R.requests_by_status, ["status_code"])
 
 
 @query("endpoint_latency", "SELECT endpoint, count(*) AS requests, round(avg(duration_ms), 6) AS avg_ms, min(duration_ms) AS min_ms, max(duration_ms) AS max_ms, round(quantile_cont(duration_ms, 0.5), 6) AS median_ms FROM requests GROUP BY endpoint", "requests")
@@ -98,6 +105,14 @@ def _(t):
     return R.auth_outcomes(t.requests)
 
 
+REASON = "CASE WHEN CAST(client AS BIGINT) % 3 > 0 THEN concat('reason ', CAST(client AS BIGINT) % 3) END"
+
+
+@query("auth_failures", f"SELECT reason, count(*) AS failures FROM (SELECT status_code, {REASON} AS reason FROM requests) WHERE status_code >= 400 AND reason IS NOT NULL GROUP BY reason", "requests")
+def _(t):
+    return R.auth_failures(t.requests.withColumn("reason", F.expr(REASON)))
+
+
 @query("recent_errors", "SELECT request_id, endpoint, ts FROM requests WHERE status_code >= 400 ORDER BY ts DESC, request_id DESC LIMIT 50", "requests")
 def _(t):
     return R.recent_errors(t.requests, 50)

@@ -138,10 +138,10 @@ def _(t):
 @query("artifact_id", r"""
 SELECT chunk_id, CASE artifact_type WHEN 'kubernetes' THEN 'k8s://default/Deployment/' || s WHEN 'fastapi' THEN 'py://a/' || artifact_type || '_x.py#1-' || n WHEN 'cobol' THEN 'cobol://' || artifact_type || '_x/01-' || s
   WHEN 'irs' THEN 'irs://IMF/2024/' || s ELSE 'mumps://UNKNOWN/ROOT' END AS artifact_id
-FROM (SELECT chunk_id, artifact_type, len(string_split(text_content, chr(10))) AS n, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(substr(text_content, 1, 40), '[^A-Za-z0-9_\-.]+', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'unknown') AS s FROM source_text)
+FROM (SELECT chunk_id, artifact_type, len(string_split(text_content, chr(10))) AS n, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(text_content, '[^A-Za-z0-9_\-.]+', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'unknown') AS s FROM source_text)
 """, "source_text")
 def _(t):
-    part = F.substring("text_content", 1, 40)
+    part = F.col("text_content")
     rows = t.source_text.withColumn("path", F.concat(F.lit("/home\\me/src//./a/"), "artifact_type", F.lit("_x.py")))
     fields = {"name": part, "kind": F.lit("Deployment"), "structure": part, "section": part, "end_line": F.size(T.lines(F.col("text_content")))}
     return rows.select("chunk_id", T.artifact_id(F.col("artifact_type"), F.col("path"), fields).alias("artifact_id"))
@@ -241,17 +241,27 @@ def _(t):
 KEYS, IDEAS = ("[" + ", ".join(quoted(w)) + "]" for w in (K.KEYWORDS, K.CONCEPTS))
 
 
-@query("semantic_features", f"""
+FEATURES = f"""
 SELECT chunk_id, array_to_string([k FOR k IN {KEYS} IF contains(lower(x), k)], ',') AS technical_terms, array_to_string([k FOR k IN {IDEAS} IF contains(replace(lower(x), ' ', ''), replace(k, ' ', ''))], ',') AS configuration_concepts,
   concat_ws(',', CASE WHEN contains(x, 'replicas:') AND contains(lower(x), 'deployment') THEN 'multi-replica deployment' END, CASE WHEN contains(x, 'livenessProbe') AND contains(x, 'readinessProbe') THEN 'health monitoring' END,
   CASE WHEN contains(x, 'resources:') AND regexp_matches(lower(x), 'cpu|memory') THEN 'resource management' END, CASE WHEN contains(lower(x), 'autoscaling') THEN 'horizontal scaling' END) AS infrastructure_patterns
 FROM (SELECT chunk_id, text_content || CASE WHEN length(text_content) % 3 = 0 THEN chr(10) || 'replicas: 2, resources: memory, health  checks' ELSE '' END AS x FROM source_text)
-""", "source_text")
-def _(t):
+"""
+
+
+def featured(t):
     x = F.concat("text_content", F.when(F.length("text_content") % 3 == 0, "\nreplicas: 2, resources: memory, health  checks").otherwise(""))
-    return K.semantic_features(t.source_text.select("chunk_id", x.alias("text_content")))
+    return t.source_text.select("chunk_id", x.alias("text_content"))
+
+
+@query("semantic_features", FEATURES, "source_text")
+def _(t):
+    return K.semantic_features(featured(t))
+
+
+KINDS = ("technical_terms", "configuration_concepts", "infrastructure_patterns")
 
 
-@query("term_vocabulary", "SELECT term, count(DISTINCT chunk_id) AS chunks FROM (SELECT chunk_id, unnest(list_distinct(regexp_extract_all(lower(text_content), '[a-z]{4,}'))) AS term FROM chunks) GROUP BY term HAVING count(DISTINCT chunk_id) > 1", "chunks")
+@query("term_vocabulary", "SELECT kind, term, count(*) AS chunks FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, unnest(string_split({k}, ',')) AS term FROM ({FEATURES})" for k in KINDS) + ") WHERE term <> '' GROUP BY kind, term", "source_text")
 def _(t):
-    return K.term_vocabulary(t.chunks).filter("chunks > 1")
+    return K.term_vocabulary(featured(t))

@@ -85,14 +85,16 @@ def _(t):
     return v.select("chunk_id", F.round(F.element_at("embedding", 1).cast("float"), 6).alias("first_value"), F.round(F.element_at("embedding", 32).cast("float"), 6).alias("last_value")).join(wide.select("chunk_id", F.size("embedding").alias("dims")), "chunk_id")
 
 
-@query("validate_vectors", "SELECT chunk_id, len(embedding) = 64 AS right_size, true AS finite, len(embedding) = 64 AS valid FROM vectors", "vectors")
+@query("validate_vectors", "SELECT chunk_id, len(v) = 64 AS right_size, f AS finite, f AND len(v) = 64 AS valid FROM (SELECT *, len([x FOR x IN v IF x IS NULL OR isnan(x) OR isinf(x)]) = 0 AS f FROM (SELECT chunk_id, CASE CAST(chunk_id AS BIGINT) % 7 WHEN 1 THEN list_append(embedding[1:63], 'nan'::DOUBLE) WHEN 2 THEN list_append(embedding[1:63], NULL) WHEN 3 THEN embedding[1:60] ELSE embedding END AS v FROM vectors))", "vectors")
 def _(t):
-    return V.validate_vectors(t.vectors, 64)
+    own, short = F.col("chunk_id").cast("long") % 7, F.slice(V.doubles(F.col("embedding")), 1, 63)
+    changed = F.when(own == 1, F.array_append(short, F.lit(float("nan")))).when(own == 2, F.array_append(short, F.lit(None).cast("double"))).when(own == 3, F.slice(V.doubles(F.col("embedding")), 1, 60)).otherwise(V.doubles(F.col("embedding")))
+    return V.validate_vectors(t.vectors.withColumn("embedding", changed), 64)
 
 
-@query("embedding_stats", "SELECT count(*) AS vectors, count(DISTINCT chunk_id) AS chunk_ids, count(DISTINCT model) AS models, count(DISTINCT artifact_type) AS types, count(*) FILTER (len(embedding) = 64) AS valid_dims, count(*) FILTER (len(embedding) <> 64) AS invalid_dims, round(avg(len(embedding)), 6) AS avg_dims, round(sum(len(embedding)) * 8 / 1048576.0::DOUBLE, 6) AS megabytes FROM vectors", "vectors")
+@query("embedding_stats", "SELECT count(*) AS vectors, count(DISTINCT chunk_id) AS chunk_ids, count(DISTINCT model) AS models, count(DISTINCT artifact_type) AS types, count(*) FILTER (len(embedding) = 64) AS valid_dims, count(*) FILTER (len(embedding) <> 64) AS invalid_dims, round(avg(len(embedding)), 6) AS avg_dims, round(sum(len(embedding)) * 8 / 1048576.0::DOUBLE, 6) AS megabytes, min(made) AS first_at, max(made) AS last_at FROM (SELECT *, TIMESTAMP '2024-01-01 00:00:00' + CAST(chunk_id AS BIGINT) * INTERVAL '1' MINUTE AS made FROM vectors)", "vectors")
 def _(t):
-    return V.embedding_stats(t.vectors, 64)
+    return V.embedding_stats(t.vectors.withColumn("created_at", F.expr("TIMESTAMP '2024-01-01 00:00:00' + CAST(chunk_id AS BIGINT) * INTERVAL '1' MINUTE")), 64)
 
 
 @query("dims_histogram", "SELECT CAST(len(embedding) AS INT) AS dims, count(*) AS n FROM vectors GROUP BY 1", "vectors")
@@ -143,9 +145,9 @@ def s_cos(a: str, b: str) -> str:
     return f"{s_dot(a, b)} / ({s_norm(a)} * {s_norm(b)})"
 
 
-@query("similarity_correlation", f"WITH sm AS (SELECT chunk_id, embedding AS a, embedding[1:48] AS b FROM vectors ORDER BY chunk_id LIMIT 60) SELECT round(corr({s_cos('x.a', 'y.a')}, {s_cos('x.b', 'y.b')}), 6) AS correlation, count(*) AS pairs FROM sm x JOIN sm y ON x.chunk_id < y.chunk_id", "vectors")
+@query("similarity_correlation", f"WITH sm AS (SELECT chunk_id, embedding AS a, embedding[1:48] AS b FROM vectors ORDER BY md5(chunk_id), chunk_id LIMIT 1000) SELECT round(corr({s_cos('x.a', 'y.a')}, {s_cos('x.b', 'y.b')}), 6) AS correlation, count(*) AS pairs FROM sm x JOIN sm y ON x.chunk_id < y.chunk_id", "vectors")
 def _(t):
-    return V.similarity_correlation(t.vectors, V.coerce_dims(t.vectors, 48), 60)
+    return V.similarity_correlation(t.vectors, V.coerce_dims(t.vectors, 48))
 
 
 NEAR = "(SELECT rule_name, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY rule_name ORDER BY similarity DESC, chunk_id) AS n FROM (SELECT p.rule_name, v.chunk_id, round({0}, 6) AS similarity FROM vectors v, probes p JOIN embeddings e ON e.vec_id = p.vec_id)) WHERE n <= 10)"
@@ -157,9 +159,9 @@ def _(t):
     return V.neighbor_preservation(t.vectors, V.coerce_dims(t.vectors, 48), named)
 
 
-@query("text_probe_embedding", "SELECT chunk_id, CAST(list_sum([ascii_code FOR ascii_code IN [CAST('0x' || hex(encode(text_content))[2 * i + 1 : 2 * i + 2] AS BIGINT) FOR i IN range(0, strlen(text_content))]]) % 768 AS INT) AS place FROM (SELECT chunk_id, substr(text_content, 1, 60) AS text_content FROM chunks)", "chunks")
+@query("text_probe_embedding", "SELECT chunk_id, CAST(coalesce(list_sum([CAST('0x' || b AS BIGINT) FOR b IN regexp_extract_all(hex(encode(coalesce(text_content, ''))), '..')]), 0) % 768 AS INT) AS place FROM chunks", "chunks")
 def _(t):
-    v = V.text_probe_embedding(F.substring("text_content", 1, 60))
+    v = V.text_probe_embedding(F.coalesce("text_content", F.lit("")))
     return t.chunks.select("chunk_id", (F.array_position(v, F.lit(1.0)) - 1).cast("int").alias("place"))
 
 

@@ -18,13 +18,16 @@ def run_available(stream: DataFrame, handle: Batch, checkpoint: str, mode: str =
     stream.writeStream.outputMode(mode).foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def stream_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> None:
-    """The newest result of a streaming aggregate, written over the last one."""
+def stream_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """The groups of a streaming aggregate that each batch changed, in a folder of its own; readers take the newest of each key.
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    In update mode the watermark closes windows: their state goes, and rows that come later are dropped.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    run_available(stream, write, checkpoint, mode)
+    run_available(stream, write, checkpoint, "update")
 
 
 def stream_ingest(stream: DataFrame, path: str, checkpoint: str) -> None:

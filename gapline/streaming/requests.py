@@ -37,6 +37,11 @@ def error_rate(requests: DataFrame) -> DataFrame:
     return requests.groupBy("endpoint").agg(F.count("*").alias("requests"), F.count_if(F.col("status_code") >= 400).alias("errors"), F.round(F.try_divide(F.count_if(F.col("status_code") >= 400), F.count("*")), 6).alias("error_rate"))
 
 
+def requests_by_status(requests: DataFrame) -> DataFrame:
+    """Requests of each status code."""
+    return requests.groupBy("status_code").agg(F.count("*").alias("requests"), F.count_if(F.col("status_code") >= 400).alias("errors"))
+
+
 def peak_concurrency(requests: DataFrame, every: str = "1 hour", per_unit_ms: float = 1.0) -> DataFrame:
     """Most requests in flight at any moment of each window.
 
@@ -67,11 +72,20 @@ def auth_outcomes(requests: DataFrame) -> DataFrame:
     return requests.groupBy("user_agent").agg(F.count("*").alias("attempts"), F.count_if(F.col("status_code") < 400).alias("successes"), F.round(F.count_if(F.col("status_code") < 400) / F.count("*"), 6).alias("success_rate"))
 
 
+def auth_failures(requests: DataFrame) -> DataFrame:
+    """Failures by ``reason``; those without one are not listed."""
+    return requests.filter("status_code >= 400 and reason is not null").groupBy("reason").agg(F.count("*").alias("failures"))
+
+
 def recent_errors(requests: DataFrame, n: int) -> DataFrame:
     return requests.filter("status_code >= 400").select("request_id", "endpoint", "ts").orderBy(F.desc("ts"), F.desc("request_id")).limit(n)
 
 
 def performance_alerts(requests: DataFrame, every: str = "1 hour", limit: float = 0.05) -> DataFrame:
-    """Windows whose error rate is above the limit."""
+    """Windows whose error rate is above the limit. On a stream filter the latest ``window_errors``: a window may fall below it again."""
+    return window_errors(requests, every).filter(F.col("error_rate") > limit)
+
+
+def window_errors(requests: DataFrame, every: str = "1 hour") -> DataFrame:
     rows = marked(requests).groupBy(F.window("ts", every)).agg(F.count("*").alias("requests"), F.count_if(F.col("status_code") >= 400).alias("errors"))
-    return rows.select(F.col("window.start").alias("window_start"), "requests", "errors", F.round(F.col("errors") / F.col("requests"), 6).alias("error_rate")).filter(F.col("error_rate") > limit)
+    return rows.select(F.col("window.start").alias("window_start"), "requests", "errors", F.round(F.col("errors") / F.col("requests"), 6).alias("error_rate"))

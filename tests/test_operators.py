@@ -14,6 +14,7 @@ from gapline.sources import files as P
 from gapline.sources import ingest as N
 from gapline.sources import tables as S
 from gapline.streaming import jobs as J
+from gapline.streaming import requests as R
 
 
 def score(spark, base, similarity, passed=True, weight=0.25):
@@ -185,3 +186,40 @@ def test_ndjson_keeps_corrupt_lines(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"a": 1}\nnot json\n{"a": "x"}\n')
     rows = S.load_ndjson(spark, f"file://{tmp_path}/a.json", "a bigint").cache().collect()
     assert sorted((r["a"] is None, r["_corrupt_record"] is None) for r in rows) == [(False, True), (True, False), (True, False)]
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "2024-01-01 00:10:00"), (2, "2024-01-01 05:00:00")], "request_id long, t string")
+    late = spark.createDataFrame([(3, "2024-01-01 00:20:00"), (4, "2024-01-01 05:10:00")], "request_id long, t string")
+    path = f"file://{tmp_path}"
+
+    def counted():
+        stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in").select("request_id", F.to_timestamp("t").alias("ts"))
+        J.stream_updates(R.request_counts(stream), f"{path}/out", f"{path}/checkpoint")
+        return {str(r["window_start"])[11:13]: r["requests"] for r in J.latest_metrics(spark.read.parquet(f"{path}/out").drop("batch"), ["window_start"]).collect()}
+
+    rows.write.mode("append").parquet(f"{path}/in")
+    assert counted() == {"00": 1, "05": 1}
+    late.write.mode("append").parquet(f"{path}/in")
+    assert counted() == {"00": 1, "05": 2}
+
+
+def test_specifications_of_all_kinds(spark):
+    texts = {
+        "json": '{"openapi": "3.0.0", "paths": {"/a": {"summary": "s", "parameters": [{"name": "x"}], "GET": {"responses": {"200": {}}}, "post": null}}}',
+        "yaml": "openapi: 3.0.0\npaths:\n  /b:\n    parameters: [{name: x}]\n    put:\n      operationId: p\n      responses: {default: {}, 204: {}}\n  /c: nothing\n",
+        "flow": "{openapi: 3.0.0, paths: {/d: {delete: {}}}}",
+        "broken": '{"openapi": [',
+        "other": "just text",
+        "none": None,
+    }
+    got = N.ingest_openapi(spark.createDataFrame(list(texts.items()), "path string, text string")).collect()
+    fine = sorted((r["path"], r["route"], r["method"], r["operation_id"], r["status_codes"]) for r in got if r["error"] is None)
+    assert fine == [("flow", "/d", "delete", "delete__d", []), ("json", "/a", "get", "get__a", [200]), ("json", "/a", "post", "post__a", []), ("yaml", "/b", "put", "p", [204])]
+    assert sorted(r["path"] for r in got if r["error"]) == ["broken", "none", "other"]
+
+
+def test_layouts_in_any_case(spark):
+    text = "001-009  social security number  pic 9(09)  numeric  required  section: identity\n010-012 Code (A/B-1.)  PIC X(3)  Alpha  Optional  Section: TAX_INFO"
+    got = sorted(tuple(r) for r in N.irs_fields(spark.createDataFrame([("f", text)], "path string, text string")).collect())
+    assert got == [("f", 1, 9, 9, "social security number", "9(09)", "NUMERIC", True, "identity"), ("f", 10, 12, 3, "Code (A/B-1.)", "X(3)", "ALPHA", False, "TAX_INFO")]
