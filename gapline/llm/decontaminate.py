@@ -8,7 +8,8 @@ all training texts; around each hit the whole item is laid over the text on the
 counted.
 
 Defined cases: a null, empty or blank text has no seeds and is never contaminated; items shorter than a window are compared
-as a whole, with the same tolerance; items of fewer than ``LEAST_WORDS`` words, which occur by chance, match nothing; repeated benchmark rows count once; repeated
+as a whole, with the same tolerance; items of less than ``least_words`` words (1: none) match nothing, which spares
+short ones that occur by chance; very long texts are read whole; of equal hits each is a row; repeated benchmark rows count once; repeated
 documents are reported under their id once; other columns are ignored.
 """
 
@@ -25,15 +26,18 @@ from gapline.llm.common import Scratch, words
 
 #: An item is found in a text if, within ``WINDOW`` successive words (or the whole item if it is shorter), this share agrees.
 WINDOW, AGREE = 13, 0.75
-LEAST_WORDS = 5
+#: No item is left out by default.
+LEAST_WORDS = 1
 #: Masks for each size of window at ``AGREE``. They begin and end with a hashed word, so that what lies under a hit is in the text.
 MASKS = {
     5: ("1111", "11101", "11011", "10111"), 6: ("1111", "11011"), 7: ("11011",), 8: ("11011", "1111", "1100011"),
     9: ("111011", "1001111", "11010011", "111101"), 10: ("111011", "11010011", "11111"), 11: ("1101011", "1110011"),
     12: ("111011", "110100011", "11001011", "110111"), 13: ("111011", "1100001011", "110111"),
 }
-#: Rows (seeds, hits, items) up to which one side is broadcast; more are joined by a shuffle.
+#: Rows (seeds, hits, items) up to which one side is broadcast; more are joined by a shuffle. Text seeds are then first looked up in a
+#: bitmap of the benchmark's seeds with so many bits for each (up to ``MOST_BITS``, 64 MB), so that few of them are shuffled.
 BROADCAST_ROWS = 500_000
+BITS, MOST_BITS = 16, 1 << 29
 
 
 def normal_words(text: Column) -> Column:
@@ -74,12 +78,23 @@ def seeds(rows: DataFrame, masks: dict[str, int]) -> DataFrame:
     return at.select(*others, "pos", "seed.mask", "seed.h")
 
 
+def maybe(asked: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
+    """The rows whose ``h`` has its bit set in the bitmap of ``wanted``: all that are in it, and few others."""
+    place = F.pmod("h", F.lit(bits)).cast("bigint")
+    maps = wanted.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("map"))
+    rows = asked.withColumn("p", place).join(F.broadcast(maps), F.bitmap_bucket_number("p") == F.col("bucket"))
+    byte = F.conv(F.hex(F.substr("map", F.floor(F.bitmap_bit_position("p") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(p) % 8 as int))")) != 0
+    return rows.filter(is_set).select(*asked.columns)
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
     window: int = WINDOW,
     agree: float = AGREE,
     broadcast_rows: int = BROADCAST_ROWS,
+    least_words: int = LEAST_WORDS,
 ) -> DataFrame:
     """Rows (doc_id, item_id, start, matched, item_words): each place where an item is found in a document.
 
@@ -92,7 +107,7 @@ def contaminated(
         """Broadcast what was counted to be small; what is larger is joined by a shuffle."""
         return F.broadcast(df) if df.count() <= broadcast_rows else df
 
-    items = benchmark.select("item_id", normal_words(F.col("text")).alias("w")).filter(F.size("w") >= LEAST_WORDS).distinct()
+    items = benchmark.select("item_id", normal_words(F.col("text")).alias("w")).filter(F.size("w") >= max(1, least_words)).distinct()
     items = scratch.save(items.withColumn("item", F.xxhash64("item_id", "w")).withColumn("n", F.size("w")))
     size = F.least(F.col("n"), F.lit(window))
     sizes = sorted(r["size"] for r in items.select(size.alias("size")).distinct().collect()) or [window]  # not more than ``window``
@@ -100,7 +115,10 @@ def contaminated(
     parts = [seeds(items.filter(size == k).select("item", "n", "w"), {m: numbers[m] for m in masks_for(k, agree)}) for k in sizes]
     wanted = scratch.save(functools.reduce(DataFrame.unionByName, parts).withColumnRenamed("pos", "item_pos"))
     texts = docs.select("doc_id", F.xxhash64("text").alias("row"), normal_words(F.col("text")).alias("w"))
-    found = seeds(texts, numbers).join(sized(wanted), ["mask", "h"]).select("doc_id", "row", "item", "n", (F.col("pos") - F.col("item_pos")).alias("start"))
+    asked = seeds(texts, numbers)
+    if (known := wanted.count()) > broadcast_rows:
+        asked = maybe(asked, wanted, min(MOST_BITS, 1 << max(15, (known * BITS).bit_length())))
+    found = asked.join(F.broadcast(wanted) if known <= broadcast_rows else wanted, ["mask", "h"]).select("doc_id", "row", "item", "n", (F.col("pos") - F.col("item_pos")).alias("start"))
     hits = scratch.save(found.distinct())
     by_doc = hits.groupBy("doc_id", "row").agg(F.collect_list(F.struct("item", "n", "start")).alias("hits")).withColumnRenamed("doc_id", "of").withColumnRenamed("row", "of_row")
     by_doc = sized(scratch.save(by_doc))

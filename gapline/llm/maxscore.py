@@ -7,12 +7,14 @@ most that absence from all postings allows, stay below the query's current k-th
 terms are traversed. Found candidates are probed for the other terms, the highest bound first, while the rest of the bounds can
 still lift them to the k-th score. Survivors have their whole score.
 
-Queries are broadcast in blocks of ``QUERY_BLOCK`` rows (a few MB each, whatever the table's size); each task walks its shard
-of candidates once for each block with the k best of each query in hand, and the shards' lists are merged by key.
+Candidates are packed into blocks and dealt to shards of bounded size; queries are packed into blocks as well, and each block goes to
+every shard, by the shuffle. A task holds one shard at a time and reads the query blocks one after the other; the k best of each
+query and shard are merged by key. No query passes through the driver, and nothing is broadcast.
 
 Defined cases: vectors that are null, empty or hold a null or non-finite component take no part, as query or candidate; missing
-dimensions of a shorter vector count as 0; a repeated row is a candidate of its own except for queries of its own id; rows
-without an id take no part; other columns are ignored.
+dimensions of a shorter vector count as 0; very long vectors make smaller shards; a repeated row is a candidate of its own except for
+queries of its own id; rows without an id take no part; an empty table gives an empty result; other columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,8 +31,8 @@ from pyspark.sql import functions as F
 from gapline.llm.common import Scratch
 
 SCALE = 1024
-#: Query rows broadcast at a time, candidates of a block.
-QUERY_BLOCK, CANDIDATES = 8192, 4096
+#: Queries of a block, candidates of a block, and numbers of the vectors of a shard.
+QUERY_BLOCK, CANDIDATES, SHARD = 1024, 4096, 1 << 23
 
 
 def whole(embedding: Column) -> Column:
@@ -95,50 +98,52 @@ class Block:
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates of each query, ties to the smaller id."""
-    spark = vectors.sparkSession
-    scratch = Scratch(spark, "maxscore")
-    usable = vectors.filter(is_query | F.lit(True)).select(F.col(id_col).cast("long").alias("vec_id"), whole(F.col(vector_col)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).filter("v is not null and vec_id is not null")
-    usable = scratch.save(usable)
-    queries = usable.filter("asks").select("vec_id", "v").distinct()
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    width = usable.agg(F.max(F.size("v"))).first()[0] or 0
-
-    def matrix(batch: pa.RecordBatch) -> np.ndarray:
-        column = batch.column("v")
-        lengths = np.diff(column.offsets.to_numpy())
-        flat = column.flatten().to_numpy(zero_copy_only=False)
-        if (lengths == width).all():
-            return flat.reshape(-1, width)
-        out = np.zeros((len(lengths), width), np.int64)
-        out[np.arange(width)[None, :] < lengths[:, None]] = flat
-        return out
-
-    found = None
-    for b in range(blocks):
-        some = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()  # one block
-        if not some:
-            continue
-        asked = np.zeros((len(some), width), np.int64)
-        for row, r in zip(asked, some, strict=True):
-            row[: len(r["v"])] = r["v"]
-        shared = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in some]), asked))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            owners, asked = shared.value
-            best: list[list[tuple[int, int]]] = [[] for _ in owners]
+    scratch = Scratch(vectors.sparkSession, "maxscore")
+    usable = vectors.select(F.col(id_col).cast("long").alias("vec_id"), whole(F.col(vector_col)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    usable = scratch.save(usable.filter("v is not null and vec_id is not null"))
+    count, width = usable.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    shards = max(1, -(-count * width // SHARD))
+
+    def packed(rows: DataFrame, most: int) -> DataFrame:
+        """(ids, v) of up to so many rows in one."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids, values = batch.column("vec_id").to_numpy(), matrix(batch)
-                for a in range(0, len(ids), CANDIDATES):
-                    block = Block(ids[a : a + CANDIDATES], values[a : a + CANDIDATES])
-                    for j, own in enumerate(owners.tolist()):
-                        best[j] = block.search(own, asked[j], k, best[j])
-            rows = [(own, i, -s) for own, mine in zip(owners.tolist(), best, strict=True) for s, i in mine]
-            for a in range(0, len(rows), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[a : a + 50_000], strict=True)], ["query_id", "vec_id", "score"])
-
-        part = usable.select("vec_id", "v").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], "query_id bigint, vec_id bigint, score bigint")
+                for at in range(0, batch.num_rows, most):
+                    part = batch.slice(at, most)
+                    column = part.column("v")
+                    lengths = pc.list_value_length(column).to_numpy()
+                    full = np.zeros((len(lengths), width), np.int64)
+                    full[np.arange(width)[None, :] < lengths[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+                    ids = np.ascontiguousarray(part.column("vec_id").to_numpy())
+                    yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([full.tobytes()], pa.binary())], ["ids", "v"])
+
+        return rows.select("vec_id", "v").mapInArrow(run, "ids binary, v binary")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blocks = None, []
+        for batch in batches:
+            for shard, asks, ids, v in zip(*(batch.column(c).to_pylist() for c in ("shard", "asks", "ids", "v")), strict=True):
+                if shard != now:
+                    now, blocks = shard, []
+                ids = np.frombuffer(ids, np.int64)
+                v = np.frombuffer(v, np.int64).reshape(len(ids), width)
+                if not asks:
+                    blocks.append(Block(ids, v))
+                    continue
+                rows = []
+                for own, q in zip(ids.tolist(), v, strict=True):
+                    best: list[tuple[int, int]] = []
+                    for block in blocks:
+                        best = block.search(own, q, k, best)
+                    rows += [(own, i, -s) for s, i in best]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["query_id", "vec_id", "score"])
+
+    dealt = packed(usable, CANDIDATES).select(F.pmod(F.xxhash64("ids"), F.lit(shards)).alias("shard"), F.lit(False).alias("asks"), "ids", "v")
+    asked = packed(usable.filter("asks").select("vec_id", "v").distinct(), QUERY_BLOCK)
+    asked = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(True).alias("asks"), "ids", "v")
+    met = dealt.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "asks")
+    found = met.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

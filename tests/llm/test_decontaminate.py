@@ -15,7 +15,7 @@ def brute(docs, items, window=dec.WINDOW, agree=dec.AGREE):
     out = set()
     for item_id, item in items:
         w = (item or "").lower().split()
-        if len(w) < dec.LEAST_WORDS:
+        if not w:
             continue
         size = min(window, len(w))
         for doc_id, text in docs:
@@ -55,7 +55,11 @@ def test_edges(spark):
     docs = [(1, None), (2, ""), (None, ITEM), (3, "one two three four five six"), (3, "one two three four five six"), (4, "w " * 60_000 + ITEM)]
     items = [(1, ITEM), (2, "two three four five six"), (3, "one two"), (4, None), (5, " ")]
     d, b = frames(spark, docs, items)
-    assert shown(dec.contaminated(d, b)) == {("None", 1, 0), ("3", 2, 1), ("4", 1, 60_000)}
+    want = {("None", 1, 0), ("3", 2, 1), ("4", 1, 60_000)}
+    assert shown(dec.contaminated(d, b, least_words=5)) == want
+    # All items without the bound; with and without the bitmap.
+    every = want | {("3", 3, 0)}
+    assert shown(dec.contaminated(d, b)) == shown(dec.contaminated(d, b, broadcast_rows=0)) == every
     assert dec.contaminated(d.limit(0), b).count() == 0 == dec.contaminated(d, b.limit(0)).count()
     assert dec.decontaminate(d, b).columns == d.columns and dec.decontaminate(d, b).count() == 2
 
@@ -70,7 +74,7 @@ def test_planted_leaks(spark, sf):
 
 def test_every_pattern_within_the_tolerance_is_found(spark):
     docs, items, want = [], [], set()
-    for n in [*range(dec.LEAST_WORDS, 14), 16]:
+    for n in [*range(1, 14), 16]:
         item = [f"n{n}w{k}" for k in range(n)]
         size = min(dec.WINDOW, n)
         need = math.ceil(size * dec.AGREE)
@@ -84,6 +88,7 @@ def test_every_pattern_within_the_tolerance_is_found(spark):
                     want.add((str(len(docs) - 1), n, 2))
         docs += [(len(docs), " ".join(item[n - need :])), (len(docs) + 1, " ".join(item[:need]))]
         want |= {(str(len(docs) - 2), n, need - n), (str(len(docs) - 1), n, 0)}
+    assert shown(dec.contaminated(*frames(spark, docs, items), broadcast_rows=0)) == want
     assert shown(dec.contaminated(*frames(spark, docs, items))) == want
     assert all(dec.covers(m, n, n - math.ceil(n * dec.AGREE)) for n, m in dec.MASKS.items())
     assert dec.masks_for(20, 0.5) == ("1",) and dec.masks_for(13, 1.0) == dec.MASKS[13]

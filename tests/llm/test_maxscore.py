@@ -31,6 +31,7 @@ def test_blocks_and_pruning(spark, monkeypatch):
     rows = [(i, x.tolist()) for i, x in enumerate(v)]
     monkeypatch.setattr(maxscore, "QUERY_BLOCK", 7)
     monkeypatch.setattr(maxscore, "CANDIDATES", 32)
+    monkeypatch.setattr(maxscore, "SHARD", 700)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
     assert shown(maxscore.top_k(df, F.col("vec_id") % 10 == 0)) == brute(rows, every=10)
 
