@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Labelled documents of each language that are learned, and characters that each of these has at most.
-DOCS, LONGEST = 32, 8192
+DOCS, LONGEST = 16, 8192
 #: Symbols of a stretch, and of its beginning that is read first when a state is carried into it.
 STRETCH, SETTLED = 1024, 96
 #: Symbols parsed together.

@@ -401,6 +401,8 @@ def similar_lines(docs: DataFrame, count: int, similar: float, scratch: Scratch)
         more = scratch.save(rest_of_frequent(hot, wanted, roots, scratch))
         if more.limit(1).count():
             late = scratch.save(line_links(more, texts, similar))
+            if not late.limit(1).count():
+                return wanted.join(roots, F.col("id") == F.col("node")).select("k", "k2", "id", "root")
             roots = connected_components(roots.select(F.col("node").alias("hi"), F.col("root").alias("lo")).unionByName(late), scratch)
     return wanted.join(roots, F.col("id") == F.col("node")).select("k", "k2", "id", "root")
 

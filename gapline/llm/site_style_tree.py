@@ -8,9 +8,11 @@ and reads the same on all pages is template, one that differs from page to page
 * presentation node: the entropy to the base ``m`` of the ways in which its children are laid out, mixed with the importance of
   the content below it (``(1 - g**l) * layout + g**l * content`` for ``l`` layouts).
 
-Nodes under the threshold, seen on enough pages, without any node of content over it below them are removed from each page with
-all that is below them, as are elements that say themselves that they are no article (``nav``, ``aside``, ``class="ad"`` and so on).
-Classes, ids and forms are only evidence: such an element stays if it holds the page's main heading, or, for words that also name
+All elements go into the tree. Nodes under the threshold, seen on enough pages, without any node of content over it below them are
+removed from each page with all that is below them. The importance of elements that say themselves that they are no article (``nav``,
+``aside``, ``class="ad"`` and so on) is taken to be less by ``PRIOR``: comments and adverts differ from page to page, so their entropy
+alone would keep them. Hosts with fewer pages than the tree needs are judged by this evidence alone. Classes, ids and forms are
+weighed first: such an element stays if it holds the page's main heading, or, for words that also name
 wrappers of articles (``LOOSE``, forms), if elements of its kind hold most of the text that the tree leaves. If a page has ``article`` or ``main``
 elements only these are read. However much of a page is template, what is left is its text; only if the tree leaves no content
 (fewer than ``LEAST_LEFT`` letters and digits) the page is read without it: pages of a host that only holds copies would look like
@@ -19,7 +21,7 @@ templates.
 Statistics are sums over (host, node, feature), added up in each batch first, so a host with a third of all pages is a few rows for
 each task. Exact copies of a page on the same host count once.
 
-Defined cases: null or empty html gives an empty text; null urls and urls without a host are judged by their own elements alone;
+Defined cases: null or empty html gives an empty text; very long pages are read whole, each tag once; null urls and urls without a host are judged by their own elements alone;
 repeated rows give a row each; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -38,6 +40,10 @@ from pyspark.sql import functions as F
 from gapline.llm.common import Scratch
 
 LEAST_IMPORTANCE, LEAST_PAGES, DECAY = 0.2, 5, 0.9
+#: What is taken off the importance of nodes that call themselves no article.
+PRIOR = 1.0
+#: The doubt about elements that are no article whatever they hold.
+CERTAIN = ("", False)
 #: Fewer letters and digits than these, on the whole page, are no content (a counter, a page number, a mark).
 LEAST_LEFT = 10
 #: Rows of low nodes (with their host) up to which they are broadcast.
@@ -124,22 +130,22 @@ Block = tuple[str, tuple[int, ...], bool, tuple[tuple[str, bool], ...]]
 
 
 def parse(page: str) -> tuple[list[Block], dict[int, list[str]], set[str]]:
-    """Blocks (text, path from the root, in an article, doubts) in page order without those that are noise for certain, the layouts of
-    each style node, and the doubtful kinds of elements that hold the main heading.
+    """Blocks (text, path from the root, in an article, doubts) in page order, the layouts of each style node, and the doubtful kinds of elements that hold the main heading.
     """
     blocks: list[Block] = []
     heads: list[tuple[tuple[str, bool], ...]] = []
     layouts: dict[int, list[str]] = {}
     root = Node("html", "", None, False)
-    stack, buffer = [root], []
+    stack, buffer, aside = [root], [], []
     at, skip = 0, None
 
     def flush() -> None:
-        if buffer:
-            text = " ".join(entities.unescape("".join(buffer)).split())
-            buffer.clear()
-            if text:
-                blocks.append((text, stack[-1].parents, stack[-1].article, stack[-1].doubts))
+        for held, more in ((buffer, ()), (aside, (CERTAIN,))):
+            if held:
+                text = " ".join(entities.unescape("".join(held)).split())
+                held.clear()
+                if text:
+                    blocks.append((text, stack[-1].parents, stack[-1].article, (*stack[-1].doubts, *more)))
 
     def pop() -> None:
         node = stack.pop()
@@ -150,8 +156,8 @@ def parse(page: str) -> tuple[list[Block], dict[int, list[str]], set[str]]:
     for m in TOKEN.finditer(page, 0, page.rfind(">") + 1):
         if m.start() < at:
             continue
-        if m.start() > at and not stack[-1].noise:
-            buffer.append(page[at : m.start()])
+        if m.start() > at:
+            (aside if stack[-1].noise else buffer).append(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             if m[0].startswith("<!--") and not m[0].endswith("-->"):
@@ -200,8 +206,8 @@ def parse(page: str) -> tuple[list[Block], dict[int, list[str]], set[str]]:
                     break
                 if tag in INLINE and not stack[k].inline:
                     break
-    if at < len(page) and not stack[-1].noise:
-        buffer.append(page[at:])
+    if at < len(page):
+        (aside if stack[-1].noise else buffer).append(page[at:])
     flush()
     while stack:
         pop()
@@ -255,19 +261,21 @@ def without_noise(blocks: list[Block], heading: set[str]) -> list[Block]:
     sizes: Counter = Counter()
     total = 0
     for text, _, _, doubts in blocks:
-        if all(loose or kind in heading for kind, loose in doubts):
+        if CERTAIN not in doubts and all(loose or kind in heading for kind, loose in doubts):
             total += len(text)
             sizes.update(dict.fromkeys((kind for kind, _ in doubts), len(text)))
     fine = heading | {kind for kind, n in sizes.items() if 2 * n > total}
-    kept = [b for b in blocks if all(kind in fine for kind, _ in b[3])]
+    kept = [b for b in blocks if all(kind in fine for kind, _ in b[3]) and CERTAIN not in b[3]]
     return [b for b in kept if b[2]] or kept
 
 
-def text_of(page: str | None, low: set[int]) -> str:
-    """The main text of one page, given the low nodes of its host."""
+def text_of(page: str | None, low: set[int], sure: set[int] = frozenset()) -> str:
+    """The main text of one page, given the low nodes of its host and those that are above all doubts."""
     if not page:
         return ""
     blocks, _, heading = parse(page)
+    if sure:
+        blocks = [(text, path, article, () if path[-1] in sure else doubts) for text, path, article, doubts in blocks]
     kept = without_noise([b for b in blocks if low.isdisjoint(b[1])], heading)
     if sum(c.isalnum() for t, *_ in kept for c in t) < LEAST_LEFT:
         kept = without_noise(blocks, heading)
@@ -291,14 +299,17 @@ def main_text(pages: DataFrame, least_importance: float = LEAST_IMPORTANCE, leas
     # A template that holds content is no noise as a whole: what is below it is judged node by node.
     worthy = judged.filter(F.col("importance") >= least_importance).select("host", "node")
     holders = found.filter(F.col("kind") == BELOW).select("host", "node", F.col("feature").alias("up")).join(worthy, ["host", "node"]).select("host", F.col("up").alias("node"))
-    low = scratch.save(judged.filter(F.col("importance") < least_importance).select("host", "node").join(holders, ["host", "node"], "left_anti"))
-    some = low.count() <= BROADCAST_ROWS
-    lists = low.groupBy(F.col("host").alias("of")).agg(F.collect_list("node").alias("low"))
-    joined = read.join(F.broadcast(lists) if some else lists, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "low")
+    low = judged.filter(F.col("importance") < least_importance).select("host", "node", F.lit(True).alias("is_low")).join(holders, ["host", "node"], "left_anti")
+    sure = judged.filter(F.col("importance") >= least_importance + PRIOR).select("host", "node", F.lit(False).alias("is_low"))
+    told = scratch.save(low.unionByName(sure))
+    some = told.count() <= BROADCAST_ROWS
+    lists = told.groupBy(F.col("host").alias("of")).agg(F.collect_list(F.when(F.col("is_low"), F.col("node"))).alias("low"), F.collect_list(F.when(~F.col("is_low"), F.col("node"))).alias("sure"))
+    joined = read.join(F.broadcast(lists) if some else lists, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "low", "sure")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [text_of(page, set(low or ())) for page, low in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist(), strict=True)]
+            rows = zip(*(batch.column(c).to_pylist() for c in ("html", "low", "sure")), strict=True)
+            texts = [text_of(page, set(low or ()), set(sure or ())) for page, low, sure in rows]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}

@@ -1,6 +1,7 @@
 import math
 import re
 import time
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -93,3 +94,51 @@ def test_edges(spark):
     assert by[1] == "a" and by[2] == by[3] == "" and by[None] == "b" and by[5] == ""
     assert all("the same words" in by[10 + k] and "the same words" in by[30 + k] for k in range(8))
     assert st.main_text(pages.limit(0)).count() == 0
+
+
+def brute_importance(pages):
+    """Importance of each node of one host, from the formulas, with the number of its pages."""
+    parsed = [st.parse(p)[:2] for p in sorted(set(pages))]
+    layouts, texts, below = defaultdict(list), defaultdict(Counter), defaultdict(set)
+    for blocks, ways in parsed:
+        for node, seen in ways.items():
+            layouts[node].append("|".join(sorted(set(seen))))
+        for node, text in {(path[-1], text) for text, path, _, _ in blocks}:
+            texts[node][text] += 1
+        for _, path, _, _ in blocks:
+            for up in path:
+                below[up].add(path[-1])
+    out = {}
+    for node, leaves in below.items():
+        worth = [1 - (math.log(n) / math.log(len(layouts[leaf])) if len(layouts[leaf]) > 1 else 0) for leaf in leaves for n in texts[leaf].values()]
+        content, m = sum(worth) / len(worth), len(layouts[node])
+        ways = Counter(layouts[node])
+        entropy = -sum(n / m * math.log(n / m) for n in ways.values()) / math.log(m) if m > 1 else 1
+        share = st.DECAY ** min(len(ways), 100)
+        out[node] = (m, (1 - share) * entropy + share * content if leaves - {node} else content)
+    return out
+
+
+def test_importance_matches_brute_force(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select(F.regexp_extract("url", "://([^/]+)", 1).alias("host"), "html").filter("html is not null").distinct()
+    hosts = defaultdict(list)
+    for r in pages.collect():
+        hosts[r["host"]].append(r["html"])
+    got = defaultdict(dict)
+    for r in st.importance(st.features(pages), Scratch(spark, "t")).collect():
+        got[r["host"]][r["node"]] = (r["pages"], r["importance"])
+    for host, some in hosts.items():
+        want = brute_importance(some)
+        assert want.keys() == got[host].keys()
+        assert all(w[0] == got[host][n][0] and math.isclose(w[1], got[host][n][1], abs_tol=1e-9) for n, w in want.items())
+
+
+def test_tree_decides(spark):
+    """Without the tree nothing is taken from pages of a host that it has seen, not even what calls itself a menu."""
+    rows = [(k, f"http://h.example/{k}", page(k, f"<nav>menu</nav><div class='body'><div class='post-share-prices'><p>Text number {k} of its own, long enough to count</p></div></div>")) for k in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    off = {r["page_id"]: r["text"].split("\n") for r in st.main_text(pages, least_importance=-1).collect()}
+    on = {r["page_id"]: r["text"] for r in st.main_text(pages).collect()}
+    for k in range(12):
+        text = f"Text number {k} of its own, long enough to count"
+        assert on[k] == text and off[k] == ["All about us on one line", "menu", text, "Made by the same people"]
