@@ -102,7 +102,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     usable = vectors.select(F.col(id_col).cast("long").alias("vec_id"), whole(F.col(vector_col)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     usable = scratch.save(usable.filter("v is not null and vec_id is not null"))
     count, width = usable.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    shards = max(1, -(-count * width // SHARD))
+    # As many as memory needs, and enough to keep the cores busy as long as each has a block of candidates.
+    shards = max(1, -(-count * width // SHARD), min(vectors.sparkSession.sparkContext.defaultParallelism, -(-count // CANDIDATES)))
 
     def packed(rows: DataFrame, most: int) -> DataFrame:
         """(ids, v) of up to so many rows in one."""
