@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, HashingTF, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gapline.functions import text as T
@@ -17,6 +21,8 @@ from gapline.operators.vectors import doubles, dot, norm, semantic_candidates
 FIT_ROWS = 100_000
 #: Cells, and cells that a query looks into. Vectors without clusters need most cells for a recall of 0.9 (see ``recall``).
 CELLS, PROBED = 16, 13
+#: Bits of a sign code, the share of all vectors whose codes are nearest that is compared in full, and the least number of them.
+BITS, SHARE, LEAST = 256, 0.1, 200
 
 
 def as_vectors(vectors: DataFrame) -> DataFrame:
@@ -54,8 +60,6 @@ def search_cells(vectors: DataFrame, centres: list[list[float]], queries: list[t
     asked = with_cells(asked.withColumnRenamed("probe", "embedding"), centres, probed).withColumnRenamed("embedding", "probe")
     pairs = with_cells(vectors, centres).join(asked, "cell")
     similar = pairs.select("rule_name", "chunk_id", F.round(dot(F.col("embedding"), F.col("probe")) / (norm(F.col("embedding")) * norm(F.col("probe"))), 6).alias("similarity"))
-    from pyspark.sql import Window as W
-
     rank = F.row_number().over(W.partitionBy("rule_name").orderBy(F.desc("similarity"), "chunk_id"))
     return similar.withColumn("neighbor_rank", rank).filter(F.col("neighbor_rank") <= k)
 
@@ -67,6 +71,69 @@ def recall(vectors: DataFrame, probes: DataFrame, k: int, cells: int, probed: in
     return exact.join(found, ["rule_name", "chunk_id"], "left").agg(F.round(F.count("hit") / F.count("*"), 6).alias("recall"), F.count("*").alias("exact"))
 
 
+def sign_codes(embedding: Column, bits: int = BITS, seed: int = 7) -> Column:
+    """array<bigint>: on which side of ``bits`` random planes a vector lies; null for a null vector or one with nulls or NaN.
+
+    The planes follow from the seed and the width alone, so every task and every later query makes the same ones.
+    """
+
+    @F.pandas_udf("array<bigint>")
+    def code(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        planes: dict[int, np.ndarray] = {}
+        for vectors in parts:
+            out: list[np.ndarray | None] = []
+            for v in vectors:
+                x = None if v is None else np.asarray(v, np.float64)
+                if x is None or np.isnan(x).any():
+                    out.append(None)
+                    continue
+                if len(x) not in planes:
+                    planes[len(x)] = np.random.default_rng(seed).standard_normal((bits, len(x)))
+                out.append(np.packbits(planes[len(x)] @ x > 0).view(np.int64))
+            yield pd.Series(out)
+
+    return code(embedding)
+
+
+def write_index(vectors: DataFrame, path: str, bits: int = BITS) -> DataFrame:
+    """The search index of ``vectors(chunk_id, embedding)``: a table, made once, that holds the code and length of each vector.
+
+    Returns the table; later jobs read it from its path.
+    """
+    if bits % 64:
+        raise ValueError("bits come in multiples of 64")
+    rows = vectors.select("chunk_id", "embedding", sign_codes(F.col("embedding"), bits).alias("code"), norm(F.col("embedding")).alias("length"))
+    rows.filter("code is not null").write.mode("overwrite").parquet(path)
+    return vectors.sparkSession.read.parquet(path)
+
+
+def search_index(index: DataFrame, probes: DataFrame, k: int, share: float = SHARE, least: int = LEAST, bits: int = BITS) -> DataFrame:
+    """Approximate top-k of each probe(rule_name, probe): rule_name, chunk_id, similarity, neighbor_rank.
+
+    Codes are compared by their differing bits, in the JVM. How many vectors lie at each number of bits is counted first (a few
+    hundred rows for each probe, and only the codes are read); from it follows the distance within which ``share`` of all vectors
+    lie, at least ``least`` of them, and those are compared in full. ``probes`` is a stated set of queries, broadcast to the index.
+    """
+    asked = probes.select("rule_name", "probe", sign_codes(F.col("probe"), bits).alias("asked"), norm(F.col("probe")).alias("asked_length")).filter("asked is not null")
+    apart = F.aggregate(F.zip_with("code", "asked", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
+    counted = index.select("code").join(F.broadcast(asked.select("rule_name", "asked"))).groupBy("rule_name", apart.alias("apart")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(W.partitionBy("rule_name").orderBy("apart"))
+    counted = counted.withColumns({"upto": upto, "all": F.sum("n").over(W.partitionBy("rule_name"))})
+    enough = F.col("upto") >= F.least("all", F.greatest(F.lit(max(least, k)), F.col("all") * share))
+    edges = counted.filter(enough).groupBy("rule_name").agg(F.min("apart").alias("edge"))
+    near = index.join(F.broadcast(asked.join(edges, "rule_name")), apart <= F.col("edge"))
+    similar = near.select("rule_name", "chunk_id", F.round(dot(F.col("embedding"), F.col("probe")) / (F.col("length") * F.col("asked_length")), 6).alias("similarity"))
+    rank = F.row_number().over(W.partitionBy("rule_name").orderBy(F.desc("similarity"), "chunk_id"))
+    return similar.withColumn("neighbor_rank", rank).filter(F.col("neighbor_rank") <= k)
+
+
+def index_recall(vectors: DataFrame, index: DataFrame, probes: DataFrame, k: int, share: float = SHARE, least: int = LEAST) -> DataFrame:
+    """Share of the exact k nearest that ``search_index`` finds."""
+    exact = semantic_candidates(vectors, probes, k, -2.0).select("rule_name", "chunk_id")
+    found = search_index(index, probes, k, share, least).select("rule_name", "chunk_id", F.lit(1).alias("hit"))
+    return exact.join(found, ["rule_name", "chunk_id"], "left").agg(F.round(F.count("hit") / F.count("*"), 6).alias("recall"), F.count("*").alias("exact"))
+
+
 def scale_vectors(vectors: DataFrame) -> DataFrame:
     """Mean 0 and (sample) standard deviation 1 in each dimension."""
     rows = as_vectors(vectors)

@@ -16,7 +16,7 @@ from gapline.streaming import jobs as J
 from gapline.streaming import requests as R
 
 
-def folder(t: Tables) -> str:
+def folder(t: Tables, name: str = "stream") -> str:
     """A new folder that driver and executors share."""
     base = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getCheckpointDir()
     if not base and t.spark.sparkContext.master.split("[")[0] == "local":
@@ -24,7 +24,7 @@ def folder(t: Tables) -> str:
         t.spark.conf.set("spark.checkpoint.dir", base)
     if not base:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def request_stream(t: Tables) -> DataFrame:

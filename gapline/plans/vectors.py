@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gapline.operators import ml as M
 from gapline.operators import vectors as V
+from gapline.plans.streaming import folder
 from gapline.registry import query
 
 #: A fixed unit query of the test vectors' width.
@@ -70,12 +71,13 @@ def _(t):
 
 @query("vector_search_ann")
 def _(t):
-    return M.search_cells(t.vectors, M.fit_cells(t.vectors, M.CELLS), [("q", Q)], 10, M.PROBED)
+    asked = t.spark.createDataFrame([("q", Q)], "rule_name string, probe array<double>")
+    return M.search_index(M.write_index(t.vectors, folder(t, "vector-index")), asked, 10)
 
 
 @query("ann_recall")
 def _(t):
-    return M.recall(t.vectors, probes(t), 10, M.CELLS, M.PROBED)
+    return M.index_recall(t.vectors, M.write_index(t.vectors, folder(t, "vector-index")), probes(t), 10)
 
 
 @query("coerce_dims", "SELECT chunk_id, CAST(len(embedding) AS INT) AS dims, round(embedding[1], 6) AS first_value, round(embedding[32], 6) AS last_value FROM vectors", "vectors")

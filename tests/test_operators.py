@@ -136,6 +136,15 @@ def test_not_in_with_nulls(spark):
     assert U.not_in_cleanup(rows, spark.createDataFrame([], "chunk_id string")).count() == 3
 
 
+def test_index_recall_and_share(spark):
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
+    bad = spark.createDataFrame([("none", None), ("nan", [float("nan")] * 64), ("zero", [0.0] * 64)], "chunk_id string, embedding array<float>")
+    index = ml.write_index(v.unionByName(bad), f"{spark.conf.get('spark.checkpoint.dir')}/index-share-test")
+    assert index.filter("chunk_id in ('none', 'nan')").count() == 0 and index.filter("chunk_id = 'zero'").count() == 1
+    probes = v.filter("cast(chunk_id as int) % 40 = 0").select(F.col("chunk_id").alias("rule_name"), F.col("embedding").alias("probe"))
+    assert ml.index_recall(v, index, probes, 10).first()["recall"] >= 0.9
+
+
 def test_search_checks(spark):
     v = spark.createDataFrame([("a", "x", [0.0, 0.0]), ("b", "x", [1.0, 0.0])], "chunk_id string, artifact_type string, embedding array<double>")
     assert [r["chunk_id"] for r in V.vector_search(v, [2.0, 0.0], 2).collect()] == ["b", "a"]
@@ -151,6 +160,10 @@ def test_approximate_search_and_reduction(spark):
     probes = v.limit(20).select(F.col("chunk_id").alias("rule_name"), F.col("embedding").alias("probe"))
     assert ml.recall(v, probes, 10, ml.CELLS, ml.PROBED).first()["recall"] >= 0.9
     assert ml.recall(v, probes, 10, 8, 8).first()["recall"] == 1.0
+    folder = f"{spark.conf.get('spark.checkpoint.dir')}/index-test"
+    index = ml.write_index(v, folder)
+    assert ml.index_recall(v, index, probes, 10).first()["recall"] >= 0.9
+    assert ml.index_recall(v, spark.read.parquet(folder), probes, 10, share=1.0).first()["recall"] == 1.0
     full, some = ml.fit_pca(v, 64, 2.0), ml.fit_pca(v, 16, 2.0)
     assert ml.reconstruction_error(v, full).first()["mean_squared_error"] < 1e-6 < ml.reconstruction_error(v, some).first()["mean_squared_error"]
     assert len(ml.fit_pca(v, 64, 0.5).components) < 64
