@@ -13,7 +13,7 @@ the stretch is run again), so phrases go on over the borders and their number is
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; texts of unknown letters tie, and ties go to the
 language that sorts first, with score 0; without any labelled text everything is ``und``; an empty table gives an empty result;
-repeated rows are judged each; other columns are ignored; rows without an id are judged but never learned from.
+very long texts are read whole, in stretches; repeated rows are judged each; other columns are ignored; rows without an id are judged but never learned from.
 """
 
 from __future__ import annotations

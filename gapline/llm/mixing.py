@@ -5,10 +5,12 @@ weighted sample without replacement. Each source's budget of words is its share
 ``most_epochs`` times its size, with the excess shared again by weight. A budget is filled by complete epochs first; the
 rest is taken in key order until the running sum of sizes reaches it (the document on the edge is taken if that brings the sum
 nearer). Running sums are taken over buckets of ln(key), of which the fullest holds less than ``1 / BUCKETS`` of a source
-whatever its weights are; only the bucket on the edge is sorted, so no task ever holds a source.
+whatever its weights are; only the bucket on the edge is sorted, so no task ever holds a source. One row for each source, and no
+more, goes through the windows that find the targets.
 
 Defined cases: null, empty and blank texts have size 0 and are taken as often as their key falls below the edge; null sources
-are one source, ordered last; repeated rows are documents of their own; an empty table gives an empty result; if all sizes are
+are one source, ordered last; very long texts are counted whole; equal keys are taken in order of id and size; repeated rows are
+documents of their own; an empty table gives an empty result; if all sizes are
 0, all targets are 0. Other columns are ignored.
 """
 

@@ -6,8 +6,9 @@ threshold (possibly none) by dynamic programming over estimated candidate counts
 By the generalised pigeonhole principle thresholds ``t_i`` find every pair within ``radius`` bits if
 ``sum(t_i + 1) = radius + 1``; the join verifies the whole fingerprint, so results are exact.
 
-Defined cases: null, empty and blank texts have fingerprint 0 and are linked like any others; repeated rows (even of one
-id) are rows of their own; an empty table gives an empty result; other columns are ignored.
+Defined cases: null, empty and blank texts have fingerprint 0 and are linked like any others; very long texts are read whole, in
+blocks; equal fingerprints are one node of the search; repeated rows (even of one id) are rows of their own; an empty table gives
+an empty result; other columns are ignored by ``near_duplicates`` and pass through ``keep_one`` whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapline.llm.common import Scratch, connected_components, slices
+from gapline.llm.common import Scratch, connected_components, free_name, slices
 
 SEED = 42
 #: Shingles hashed at a time, so that a very long text takes bounded memory.
@@ -188,11 +189,12 @@ def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
 
     Rows without an id can't be cited as a copy and stay.
     """
+    copy, copy_row, of_row = (free_name(docs, x) for x in ("copy", "copy_row", "of_row"))
     row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("row")))
     found = near_duplicates(docs.select(row.alias("doc_id"), "text"), radius).filter("doc_id is not null")
-    copies = found.filter("component_id is null or doc_id <> component_id").select(F.col("doc_id.doc_id").alias("copy"), F.col("doc_id.row").alias("copy_row"))
-    kept = docs.join(copies, (docs["doc_id"] == F.col("copy")) & (F.xxhash64(docs["text"]) == F.col("copy_row")), "left_anti").select(*docs.columns)
+    copies = found.filter("component_id is null or doc_id <> component_id").select(F.col("doc_id.doc_id").alias(copy), F.col("doc_id.row").alias(copy_row))
+    kept = docs.join(copies, (docs["doc_id"] == F.col(copy)) & (F.xxhash64(docs["text"]) == F.col(copy_row)), "left_anti").select(*docs.columns)
     if found.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        once = kept.filter("doc_id is not null").withColumn("gapline_row", F.xxhash64("text")).dropDuplicates(["doc_id", "gapline_row"]).drop("gapline_row")
+        once = kept.filter("doc_id is not null").withColumn(of_row, F.xxhash64("text")).dropDuplicates(["doc_id", of_row]).drop(of_row)
         kept = once.unionByName(kept.filter("doc_id is null"))
     return kept

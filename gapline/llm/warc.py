@@ -9,7 +9,7 @@ Of records with equal payloads of at least ``REVISIT_BYTES`` bytes, the one with
 others are ``revisit`` records without a body that refer to it.
 
 Defined cases: null html is an empty payload, null url an empty target; rows that repeat page_id and payload are written each and
-share their type; rows without an id are responses; an empty table writes no archive; other columns are ignored. Where an
+share their type; rows without an id are responses; very long payloads are one record each, whole; an empty table writes no archive; other columns are ignored. Where an
 archive's records are too few or too alike to build a dictionary, it has no leading frame.
 """
 
@@ -129,8 +129,9 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["frame"])
 
     frames = joined.mapInArrow(pack, "frame binary")
-    # A cast from binary to string keeps the bytes as they are, and the text writer writes them so.
-    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR.decode("ascii")).text(path)
+    # A cast from binary to string keeps the bytes as they are, and the text writer writes them so. A session's limit on the rows of
+    # a file would part an archive from its dictionary.
+    frames.select(F.col("frame").cast("string").alias("value")).write.option("maxRecordsPerFile", 0).option("lineSep", SEPARATOR.decode("ascii")).text(path)
 
 
 def frame_end(data: memoryview, at: int) -> int:

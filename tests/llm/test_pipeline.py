@@ -48,3 +48,40 @@ def simhash_rows(texts):
 def test_run_on_tables(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert {"doc_id", "taken"} <= set(out.columns) and out.count() > 50
+
+
+def test_rows_at_the_edges(spark):
+    en = "the quick brown fox jumps over the lazy dog near the quiet river bank while {} small birds sing above the old stone bridge"
+    de = "der schnelle braune Fuchs springt über den faulen Hund am stillen Fluss während {} kleine Vögel über der alten Brücke singen"
+    names = "doc_id bigint, text string, lang string, source string, n_chars bigint, gapline_row string, of string, copy string, k bigint, root bigint, size bigint"
+
+    def row(i, text, lang, source="a"):
+        return (i, text, lang, source, None if text is None else len(text), "x", "y", "z", 1, 2, 3)
+
+    long = " ".join(f"word{k} stands here for number {k * k}" for k in range(60_000))
+    rows = [row(i, en.format(f"{i} and {i * 7919}"), "en") for i in range(1, 9)] + [row(i, de.format(f"{i} und {i * 7919}"), "de", None) for i in range(11, 19)]
+    rows += [row(20, None, "en"), row(21, "", None), row(22, "12 34", None), row(None, "a document without an id that says nothing else", "en"), row(23, long, "en")]
+    rows += [row(24, "two texts have one id and this is the first of them", "en"), row(24, "andere Worte stehen im zweiten Text mit derselben Nummer", "de")]
+    rows += [row(25, "this row stands here twice and counts once only", "en")] * 2 + [row(26, "one line\n\none line\nand another", None, None)]
+    docs = spark.createDataFrame(rows, names)
+    now, seen = docs, {}
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, "/root/testdata/sf0.001")
+        path = f"{spark.conf.get('spark.checkpoint.dir')}/pipeline-edges-{name}"
+        now.write.parquet(path)
+        now = spark.read.parquet(path)
+        seen[name] = now.collect()
+        if name != "mixing":
+            assert now.columns == docs.columns
+            assert all(r["gapline_row"] == "x" and r["of"] == "y" and r["copy"] == "z" and r["k"] == 1 and r["root"] == 2 and r["size"] == 3 for r in seen[name])
+    assert {20, 21, 22}.isdisjoint(r["doc_id"] for r in seen["language_id"])
+    assert len(seen["language_id"]) == len(rows) - 3
+    lines = {(r["doc_id"], r["text"]) for r in seen["line_dedup"]}
+    assert (23, long) in lines and (26, "one line\n\nand another") in lines
+    kept = [(r["doc_id"], r["text"]) for r in seen["near_duplicates"]]
+    assert len(kept) == len(set(kept)) and {d for d, _ in kept} >= {None, 23, 26} and len([d for d, _ in kept if d == 24]) == 2 and len([d for d, _ in kept if d == 25]) == 1
+    assert all(r["taken"] > 0 for r in seen["mixing"])
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, "/root/testdata/sf0.001")
+        assert empty.count() == 0
