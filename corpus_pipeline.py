@@ -3,6 +3,11 @@
 Each stage reads what its predecessor kept. A document that language ID calls ``und`` goes; repeated lines go; of each group of
 near duplicates the document with the smallest id stays; documents with a benchmark item go; the last stage returns what the mix
 takes of each document that it takes at all.
+
+Defined cases: documents with null text, or without a letter, go with the first stage; those without an id are judged like others
+and never removed as copies; rows that share an id but not a text are told apart by their text; a document that lost all its lines
+goes on with an empty text and is taken with 0 words, so it is not in the result; very long texts are read whole; an empty table
+gives an empty result; other columns pass through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
