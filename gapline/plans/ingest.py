@@ -24,21 +24,28 @@ def _(t):
 
 
 # COBOL. The parsing query is shared by its readers.
-COBOL = rf"""
+COBOL = r"""
 ln AS (SELECT chunk_id AS path, string_split(text_content, chr(10)) AS a FROM source_text WHERE artifact_type = 'cobol'),
-l1 AS (SELECT path, unnest(range(0, len(a))) AS line, unnest(a) AS x FROM ln),
-fl AS (SELECT path, CAST(line AS INT) AS line, CAST(regexp_extract(x, '{q(N.COBOL_FIELD)}', 1) AS INT) AS level, regexp_extract(x, '{q(N.COBOL_FIELD)}', 2) AS name, regexp_extract(x, '{q(N.COBOL_FIELD)}', 3) AS rest FROM l1 WHERE regexp_matches(x, '{q(N.COBOL_FIELD)}'))"""
+l1 AS (SELECT path, unnest(range(0, len(a))) AS line, trim(regexp_replace(rtrim(unnest(a)), '\.$', '')) AS x FROM ln),
+l2 AS (SELECT *, string_split_regex(x, ' +') AS w FROM l1),
+fl AS (SELECT path, CAST(line AS INT) AS line, CAST(w[1] AS INT) AS level, w[2] AS name, w[3:] AS w, [upper(y) FOR y IN w[3:]] AS u, upper(x) AS x, trim(split_part(array_to_string(w[3:], ' '), 'VALUE ', 2)) AS v
+  FROM l2 WHERE len(w) >= 2 AND regexp_full_match(w[1], '[0-9][0-9]') AND regexp_full_match(w[2], '[A-Z0-9_-]+'))"""
+
+
+def behind(word: str) -> str:
+    """The word behind a keyword."""
+    return f"CASE WHEN list_contains(u, '{word}') THEN w[list_position(u, '{word}') + 1] END"
 
 
 @query("cobol_fields", rf"""
-WITH {COBOL} SELECT path, line, level, name, nullif(regexp_extract(rest, '{q(N.CLAUSES["pic"])}', 1), '') AS pic, CAST(nullif(regexp_extract(rest, '{q(N.CLAUSES["occurs"])}', 1), '') AS INT) AS occurs, nullif(regexp_extract(rest, '{q(N.CLAUSES["redefines"])}', 1), '') AS redefines,
-  trim(nullif(regexp_extract(rest, '{q(N.CLAUSES["field_value"])}', 1), ''), ' "''') AS field_value, CASE WHEN contains(upper(rest), 'COMP-3') THEN 'COMP-3' WHEN contains(upper(rest), 'COMP') THEN 'COMP' WHEN contains(upper(rest), 'BINARY') THEN 'BINARY' END AS usage FROM fl
+WITH {COBOL} SELECT path, line, level, name, {behind('PIC')} AS pic, CASE WHEN list_contains(u, 'TIMES') THEN TRY_CAST({behind('OCCURS')} AS INT) END AS occurs, {behind('REDEFINES')} AS redefines,
+  nullif(trim(split_part(v, '.', 1), ' "'''), '') AS field_value, CASE WHEN contains(x, 'COMP-3') THEN 'COMP-3' WHEN contains(x, 'COMP') THEN 'COMP' WHEN contains(x, 'BINARY') THEN 'BINARY' END AS usage FROM fl
 """, "source_text")
 def _(t):
     return N.cobol_fields(files(t, "cobol"))
 
 
-@query("cobol_conditions", rf"WITH {COBOL}, w AS (SELECT *, last_value(CASE WHEN level <> 88 THEN name END IGNORE NULLS) OVER (PARTITION BY path ORDER BY line) AS field FROM fl) SELECT path, line, name AS condition, trim(regexp_extract(rest, '(?i)VALUE\s+(.+)', 1), ' \"''') AS condition_value, field FROM w WHERE level = 88", "source_text")
+@query("cobol_conditions", rf"WITH {COBOL}, w AS (SELECT *, last_value(CASE WHEN level <> 88 THEN name END IGNORE NULLS) OVER (PARTITION BY path ORDER BY line) AS field FROM fl) SELECT path, line, name AS condition, trim(v, ' \"''') AS condition_value, field FROM w WHERE level = 88", "source_text")
 def _(t):
     return N.cobol_conditions(files(t, "cobol"))
 
@@ -103,10 +110,14 @@ def _(t):
     return names.select("field_name", N.irs_infer_section(F.col("field_name")).alias("section"))
 
 
-MUMPS = rf"""
-mf AS (SELECT chunk_id AS path, [x FOR x IN string_split(text_content, chr(10)) IF regexp_matches(x, '{q(N.DD_LINE)}')] AS dd, [x FOR x IN string_split(text_content, chr(10)) IF regexp_matches(x, '{q(N.GLOBAL_LINE)}')] AS gl FROM (SELECT chunk_id, CASE WHEN length(text_content) % 3 = 0 THEN replace(text_content, '^DD(', '^DDX') ELSE text_content END AS text_content FROM source_text WHERE artifact_type = 'mumps')),
-mc AS (SELECT path, CASE WHEN len(dd) > 0 THEN dd ELSE gl END AS c FROM mf),
-me AS (SELECT path, CAST(unnest(range(0, len(c))) AS INT) AS entry_no, unnest(c) AS content FROM mc)"""
+NODE = "(starts_with(x, '^') AND regexp_full_match(split_part(split_part(x, ')', 1), '(', 1), '.[A-Z0-9_]+') AND contains(split_part(x, ')', 1), '(') AND starts_with(substr(x, length(split_part(x, ')', 1)) + 1), ')='))"
+DD = "(split_part(x, '(', 1) IN ('^DD', '^DDD') AND len(string_split(split_part(x, ')', 1), ',')) >= 3)"
+MUMPS = f"""
+mf AS (SELECT chunk_id AS path, [x FOR x IN string_split(text_content, chr(10)) IF {NODE}] AS gl FROM (SELECT chunk_id, CASE WHEN length(text_content) % 3 = 0 THEN replace(text_content, '^DD(', '^DDX') ELSE text_content END AS text_content FROM source_text WHERE artifact_type = 'mumps')),
+md AS (SELECT *, [x FOR x IN gl IF {DD}] AS dd FROM mf),
+mc AS (SELECT path, CASE WHEN len(dd) > 0 THEN dd ELSE gl END AS c FROM md),
+mx AS (SELECT path, CAST(unnest(range(0, len(c))) AS INT) AS entry_no, unnest(c) AS x FROM mc),
+me AS (SELECT path, entry_no, x AS content, {DD} AS is_dd, substr(split_part(x, '(', 1), 2) AS global_name, substr(split_part(x, ')', 1), length(split_part(x, '(', 1)) + 2) AS subs, nullif(substr(x, length(split_part(x, ')', 1)) + 3), '') AS entry_value FROM mx)"""
 
 
 def mumps(t):
@@ -114,28 +125,23 @@ def mumps(t):
     return files(t, "mumps").withColumn("text", x)
 
 
-def dd(k: int) -> str:
-    return f"nullif(regexp_extract(content, '{q(N.DD_LINE)}', {k}), '')"
-
-
-def gl(k: int) -> str:
-    return f"nullif(regexp_extract(content, '{q(N.GLOBAL_LINE)}', {k}), '')"
+PARTS = ", ".join(f"CASE WHEN is_dd THEN split_part(subs, ',', {k}) END AS {n}" for k, n in ((1, "file_no"), (2, "field_no"), (3, "attribute")))
 
 
-@query("ingest_mumps", f"WITH {MUMPS} SELECT path, entry_no, content, coalesce({dd(1)}, {gl(1)}) AS global_name, {dd(2)} AS file_no, {dd(3)} AS field_no, {dd(4)} AS attribute, coalesce({dd(5)}, {gl(3)}) AS entry_value FROM me", "source_text")
+@query("ingest_mumps", f"WITH {MUMPS} SELECT path, entry_no, content, global_name, {PARTS}, entry_value FROM me", "source_text")
 def _(t):
     return N.ingest_mumps(mumps(t)).drop("subscripts")
 
 
 @query("mumps_nodes", rf"""
-WITH {MUMPS}, ms AS (SELECT *, coalesce({dd(5)}, {gl(3)}) AS v, CASE WHEN {dd(1)} IS NULL THEN regexp_extract(content, '{q(N.GLOBAL_LINE)}', 2) ELSE {dd(2)} || ',' || {dd(3)} || ',' || {dd(4)} END AS s FROM me)
+WITH {MUMPS}, ms AS (SELECT *, entry_value AS v, subs AS s FROM me)
 SELECT path, entry_no, CASE WHEN s = '' THEN 'ROOT' ELSE regexp_replace(regexp_replace(s, '["'']', '', 'g'), '\s*,\s*', '/', 'g') END AS node_path, nullif(regexp_extract(content, '^\^[A-Z0-9_]+\([^,]*,"([A-Z0-9_]+)"', 1), '') AS xref, nullif(regexp_extract(v, '{q(N.TRANSFORM)}', 0), '') AS input_transform FROM ms
 """, "source_text")
 def _(t):
     return N.mumps_nodes(N.ingest_mumps(mumps(t)))
 
 
-VALID = rf"""CASE kind WHEN 'mumps' THEN len([x FOR x IN full_lines IF regexp_matches(x, '{q(N.DD_LINE)}|{q(N.GLOBAL_LINE)}')]) >= len(full_lines) * 0.5 AND len(full_lines) > 0
+VALID = rf"""CASE kind WHEN 'mumps' THEN len([x FOR x IN full_lines IF {NODE}]) >= len(full_lines) * 0.5 AND len(full_lines) > 0
   WHEN 'cobol' THEN regexp_matches(text, '(?m)^[ \t]*(?:01|05|10|15|20|25|30|35|40|45|49|77|88)[ \t]+[A-Z0-9_-]+|(?i:PIC(?:TURE)?\s+[A-Z0-9()V+\-.$,]+)')
   WHEN 'irs' THEN regexp_matches(text, '(?i)IRS\s+.*Layout') AND regexp_matches(text, '(?i)Field\s+(?:Positions\s+and\s+)?Definitions:') AND len([x FOR x IN regexp_extract_all(text, '\d{{3}}-\d{{3}}') IF substr(x, 1, 3) > substr(x, 5, 3)]) = 0
   WHEN 'fastapi' THEN regexp_matches(text, 'from fastapi import|import fastapi|@app\.|@router\.|FastAPI\(|APIRouter\(|BaseModel') ELSE regexp_matches(text, '(?m)^apiVersion:') AND regexp_matches(text, '(?m)^kind:') END"""
