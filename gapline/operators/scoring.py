@@ -150,7 +150,7 @@ def remediate_nulls(rows: DataFrame, fills: dict[str, Column]) -> DataFrame:
 
 def retention_by_rule(metrics: DataFrame, policy: DataFrame, as_of: str, versions: int = 5) -> DataFrame:
     """Rows inside their class's retention and among the newest versions; ``policy(severity_class, keep_days)``."""
-    kept = metrics.join(F.broadcast(policy), "severity_class").filter(F.to_date("status_at") >= F.date_sub(F.lit(as_of).cast("date"), F.col("keep_days")))
+    kept = metrics.join(policy, "severity_class").filter(F.to_date("status_at") >= F.date_sub(F.lit(as_of).cast("date"), F.col("keep_days")))
     # Versions of a rule are few; they are ranked once for each rule and joined back.
     ranked = kept.select("rule_id", "version").distinct().withColumn("n", F.dense_rank().over(W.partitionBy("rule_id").orderBy(F.desc("version")))).filter(F.col("n") <= versions)
     return kept.join(ranked.drop("n"), ["rule_id", "version"], "left_semi")

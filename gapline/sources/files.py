@@ -12,11 +12,12 @@ EXCLUDED = (".git", "node_modules", "__pycache__", "venv", "dist", "build")
 
 def scan_corpus(spark: SparkSession, path: str, extensions: tuple[str, ...], exclude: tuple[str, ...] = EXCLUDED, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(path, length, content) of files with these endings, without excluded and hidden folders, large and binary files."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    inside = F.regexp_replace("path", "^.*?" + path.replace("file://", "").rstrip("/").replace(".", r"\."), "")
-    ends = "|".join(e.replace(".", r"\.") for e in extensions)
-    parts = "|".join(e.replace(".", r"\.") for e in exclude)
-    kept = rows.filter(F.lower("path").rlike(f"(?:{ends})$") & ~inside.rlike(rf"/(?:{parts})/|/\.[^/]") & (F.col("length") <= most_bytes))
+    # The listing drops other names, so their content is never read; letters match in either case.
+    ends = ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions)
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{{{ends}}}").load(path)
+    inside = F.regexp_replace("path", rf"^.*?\Q{path.removeprefix('file://').rstrip('/')}\E", "")
+    parts = "|".join(rf"\Q{e}\E" for e in exclude)
+    kept = rows.filter(~inside.rlike(rf"/(?:{parts})/|/\.[^/]") & (F.col("length") <= most_bytes))
     return kept.filter(~F.hex(F.substring("content", 1, 1024)).rlike("^(?:..)*?00")).select("path", "length", "content")
 
 

@@ -80,6 +80,29 @@ def test_scan_folder(spark, tmp_path):
     assert read == {"a.py": ("print(1)", "utf-8", None), "b.md": ("café", "cp1252", None), "h.md": (None, None, "undecodable")}
 
 
+def test_scan_of_odd_folders(spark, tmp_path):
+    root = tmp_path / "a+b (c)"
+    for name in ("x.PY", "x.pyc", "build/y.py", "rebuild/z.py", ".hid/w.py"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("x = 1")
+    got = P.scan_corpus(spark, f"file://{root}", (".py",))
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in got.select("path").collect()) == ["x.PY", "z.py"]
+
+
+def test_entries_and_nodes_at_the_edges(spark):
+    text = "05  A PIC IS 9(3).\n  05 B PIC X VALUE IS 'a  b'.\r\n5 C PIC X.\n05 D. more\n05 e PIC X.\n05\n10 F PICTURE X OCCURS 1 TO 5 TIMES USAGE IS INDEX.\n88 G VALUE \"x\"."
+    files = spark.createDataFrame([("f", text), ("n", None), ("e", "")], "path string, text string")
+    got = [tuple(r)[2:] for r in N.cobol_fields(files).orderBy("line").collect()]
+    assert got == [(5, "A", "9(3)", None, None, None, None), (5, "B", "X", None, None, "a  b", None), (10, "F", "X", 1, None, None, "INDEX"), (88, "G", None, None, None, "x", None)]
+    assert [r["condition_value"] for r in N.cobol_conditions(files).collect()] == ["x"]
+    lines = ["^DD(2,.01,0)=NAME", "^DD(2,,0)=no file", "^DD(1,2,3,4)=S X=1", "^X()=1", "x^A(1)=2", "^A(1)2", "^a(1)=2", "^B(1,(2)="]
+    files = spark.createDataFrame([("d", "\n".join(lines)), ("g", "\n".join(lines[3:])), ("n", None)], "path string, text string")
+    got = {(r["path"], r["content"]): (r["global_name"], r["attribute"], r["subscripts"], r["entry_value"]) for r in N.ingest_mumps(files).collect()}
+    assert got == {
+        ("d", lines[0]): ("DD", "0", None, "NAME"), ("d", lines[2]): ("DD", "3,4", None, "S X=1"), ("g", lines[3]): ("X", None, "", "1"), ("g", lines[7]): ("B", None, "1,(2", None),
+    }
+
+
 def test_kubernetes(spark):
     text = "apiVersion: v1\nkind: Pod\nmetadata:\n  name: p\n  labels: {app: x}\n---\n---\napiVersion: x/v1\nkind: Odd\n---\nkind: Service\n"
     rows = N.ingest_k8s(spark.createDataFrame([("a.yaml", text), ("b.yaml", "a: [1"), ("c", None)], "path string, text string"))
