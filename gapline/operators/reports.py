@@ -10,8 +10,8 @@ DECIMALS = 6
 
 
 def r(x: Column, digits: int = DECIMALS) -> Column:
-    """Rounded; to few digits by way of ten, so that a tie does not hang on the order of a sum."""
-    return F.round(x, digits) if digits >= DECIMALS else F.round(F.round(x, 10), digits)
+    """Rounded by way of ten digits, so that a tie does not hang on the order of a sum."""
+    return F.round(F.round(x, 10), digits)
 
 
 def count_if(c: Column) -> Column:

@@ -18,7 +18,7 @@ WITH {CHUNKS}, j AS (SELECT m.analysis_id, c.artifact_type, m.rule_name, m.metri
 s AS (SELECT analysis_id, artifact_type, rule_name, string_agg(chunk_id, ',' ORDER BY chunk_id) AS sample_chunks FROM (
   SELECT *, row_number() OVER (PARTITION BY analysis_id, artifact_type, rule_name ORDER BY chunk_id) AS n FROM (SELECT DISTINCT analysis_id, artifact_type, rule_name, chunk_id FROM j)) WHERE n <= 3 GROUP BY ALL)
 SELECT j.analysis_id, j.artifact_type, j.rule_name, count(*) FILTER (metric_value >= 0.5) AS count_passed, count(*) FILTER (metric_value < 0.5) AS count_failed, count(*) AS total_chunks,
-  round(avg(metric_value), 6) AS avg_confidence, min(metric_value) AS min_confidence, max(metric_value) AS max_confidence, round(stddev_samp(metric_value), 6) AS confidence_stddev, any_value(s.sample_chunks) AS sample_chunks,
+  round(round(avg(metric_value), 10), 6) AS avg_confidence, min(metric_value) AS min_confidence, max(metric_value) AS max_confidence, round(stddev_samp(metric_value), 6) AS confidence_stddev, any_value(s.sample_chunks) AS sample_chunks,
   round(count(*) FILTER (metric_value >= 0.5) * 100.0::DOUBLE / count(*), 6) AS pass_rate_percent
 FROM j JOIN s USING (analysis_id, artifact_type, rule_name) GROUP BY j.analysis_id, j.artifact_type, j.rule_name
 """, "gap_metrics")
@@ -148,12 +148,12 @@ def _(t):
     return R.gap_pivot(t.gap_metrics, RULES)
 
 
-@query("gap_totals", "SELECT artifact_type, count(*) AS total, count(*) FILTER (NOT passed) AS failed, round(avg(metric_value), 6) AS mean_confidence, round(count(*) FILTER (passed) * 100.0::DOUBLE / count(*), 6) AS pass_rate FROM gap_metrics GROUP BY ROLLUP (artifact_type)", "gap_metrics")
+@query("gap_totals", "SELECT artifact_type, count(*) AS total, count(*) FILTER (NOT passed) AS failed, round(round(avg(metric_value), 10), 6) AS mean_confidence, round(count(*) FILTER (passed) * 100.0::DOUBLE / count(*), 6) AS pass_rate FROM gap_metrics GROUP BY ROLLUP (artifact_type)", "gap_metrics")
 def _(t):
     return R.gap_totals(t.gap_metrics)
 
 
-@query("monthly_trend", "SELECT strftime(created_at, '%Y-%m') AS month, count(*) FILTER (passed) AS passed_count, count(*) FILTER (NOT passed) AS failed_count, round(avg(metric_value), 6) AS avg_confidence FROM gap_metrics GROUP BY 1", "gap_metrics")
+@query("monthly_trend", "SELECT strftime(created_at, '%Y-%m') AS month, count(*) FILTER (passed) AS passed_count, count(*) FILTER (NOT passed) AS failed_count, round(round(avg(metric_value), 10), 6) AS avg_confidence FROM gap_metrics GROUP BY 1", "gap_metrics")
 def _(t):
     return R.monthly_trend(t.gap_metrics)
 
@@ -163,12 +163,12 @@ def _(t):
     return R.severity_share(t.gap_metrics)
 
 
-@query("escalation_audit", "SELECT rule_name, round(avg(severity), 6) AS avg_severity, round(avg(metric_value), 6) AS avg_confidence FROM gap_metrics WHERE metric_value < 0.2 GROUP BY rule_name HAVING round(avg(severity), 6) < 4.0", "gap_metrics")
+@query("escalation_audit", "SELECT rule_name, round(avg(severity), 6) AS avg_severity, round(round(avg(metric_value), 10), 6) AS avg_confidence FROM gap_metrics WHERE metric_value < 0.2 GROUP BY rule_name HAVING round(avg(severity), 6) < 4.0", "gap_metrics")
 def _(t):
     return R.escalation_audit(t.gap_metrics)
 
 
-@query("severity_consistency", "SELECT rule_name, severity, count(*) AS n, round(avg(metric_value), 6) AS avg_confidence FROM gap_metrics WHERE severity >= 4 AND metric_value > 0.8 GROUP BY ALL", "gap_metrics")
+@query("severity_consistency", "SELECT rule_name, severity, count(*) AS n, round(round(avg(metric_value), 10), 6) AS avg_confidence FROM gap_metrics WHERE severity >= 4 AND metric_value > 0.8 GROUP BY ALL", "gap_metrics")
 def _(t):
     return R.severity_consistency(t.gap_metrics)
 
@@ -180,7 +180,7 @@ def _(t):
 
 for _name, _key in (("rule_performance", "rule_name"), ("analysis_performance", "analysis_id")):
 
-    @query(_name, f"SELECT {_key}, round(avg(metric_value), 6) AS avg_confidence, count(*) AS n FROM gap_metrics WHERE created_at >= TIMESTAMP '2000-01-01' GROUP BY {_key}", "gap_metrics")
+    @query(_name, f"SELECT {_key}, round(round(avg(metric_value), 10), 6) AS avg_confidence, count(*) AS n FROM gap_metrics WHERE created_at >= TIMESTAMP '2000-01-01' GROUP BY {_key}", "gap_metrics")
     def _(t, key=_key):
         return R.performance_by(t.gap_metrics, key, "2000-01-01")
 
@@ -230,7 +230,7 @@ def _(t):
     return R.table_quality(t.chunks)
 
 
-@query("acceptance_rollup", "SELECT analysis_id, count(*) AS results, count(DISTINCT artifact_type) AS types, count(DISTINCT rule_name) AS rules, round(avg(metric_value), 6) AS avg_confidence, count(DISTINCT severity) AS severities FROM gap_metrics GROUP BY analysis_id", "gap_metrics")
+@query("acceptance_rollup", "SELECT analysis_id, count(*) AS results, count(DISTINCT artifact_type) AS types, count(DISTINCT rule_name) AS rules, round(round(avg(metric_value), 10), 6) AS avg_confidence, count(DISTINCT severity) AS severities FROM gap_metrics GROUP BY analysis_id", "gap_metrics")
 def _(t):
     return R.acceptance_rollup(t.gap_metrics)
 
