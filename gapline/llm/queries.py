@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapline.llm import cross_parsing, decontaminate, kneser_ney, line_dedup, maxscore, mixing, pii, simhash, site_style_tree, warc
+from gapline.llm import (
+    binary_fuse,
+    cross_parsing,
+    decontaminate,
+    kneser_ney,
+    line_dedup,
+    maxscore,
+    mixing,
+    pii,
+    presence_masks,
+    simhash,
+    site_style_tree,
+    source_divergence,
+    warc,
+)
 from gapline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +76,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_parsing.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_presence_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return presence_masks.top_k(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_binary_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of equal texts, found as one snapshot and one batch that arrives after it."""
+    return binary_fuse.deduplicate(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
@@ -73,6 +101,9 @@ QUERIES: dict[str, Query] = {
     "op8_kneser_ney": op8_kneser_ney,
     "op9_site_style_tree": op9_site_style_tree,
     "op10_language_id": op10_language_id,
+    "op11_presence_masks": op11_presence_masks,
+    "op12_binary_fuse": op12_binary_fuse,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 MAXSCORE_SQL = """
@@ -152,9 +183,80 @@ SELECT p.page_id, p.payload_bytes, p.payload_digest,
 FROM p LEFT JOIN l ON p.payload_digest = l.payload_digest
 """
 
+PRESENCE_MASKS_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents
+),
+n AS (SELECT doc_id, CAST(len(t) AS BIGINT) AS n FROM d WHERE len(t) > 0),
+s AS (SELECT count(*) AS n, CAST(coalesce(sum(n), 0) AS BIGINT) AS l FROM n),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) GROUP BY doc_id, term),
+w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * s.n + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), s
+),
+q AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+),
+m AS (SELECT doc_id, 100 - 75 + (75 * n.n * s.n) // s.l AS m FROM n, s),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id
+),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+BINARY_FUSE_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+SOURCE_DIVERGENCE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+o AS (
+  SELECT doc_id, lang, source, term, count(*) AS n
+  FROM (
+    SELECT doc_id, lang, source,
+           unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM d
+  ) GROUP BY ALL
+),
+k AS (SELECT lang, term, CAST(sum(n) AS BIGINT) AS n FROM o GROUP BY lang, term HAVING count(*) >= 30),
+v AS (SELECT lang, count(*) AS v, CAST(sum(n) AS BIGINT) AS total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (
+  SELECT g.lang, g.source, k.term, k.n AS all_n, CAST(coalesce(sum(o.n), 0) AS BIGINT) AS n
+  FROM g JOIN k USING (lang) LEFT JOIN o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term GROUP BY ALL
+),
+t AS (SELECT lang, source, CAST(sum(n) AS BIGINT) AS total FROM c GROUP BY lang, source),
+p AS (
+  SELECT c.lang, c.source, c.term, c.n, CAST(1 + (CAST(1000000000 AS HUGEINT) * (c.n + 5)) // (t.total + 5 * v.v) AS BIGINT) AS p,
+         CAST(1 + (CAST(1000000000 AS HUGEINT) * (c.all_n + 5)) // (v.total + 5 * v.v) AS BIGINT) AS q
+  FROM c JOIN t USING (lang, source) JOIN v USING (lang)
+),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(x.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+  ) x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+),
+own AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p WHERE n > 0 AND p > q),
+r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM own)
+)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 50
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": DECONTAMINATE_SQL,
     "op3_warc": WARC_SQL,
     "op6_maxscore": MAXSCORE_SQL,
     "op7_mixing": MIXING_SQL,
+    "op11_presence_masks": PRESENCE_MASKS_SQL,
+    "op12_binary_fuse": BINARY_FUSE_SQL,
+    "op13_source_divergence": SOURCE_DIVERGENCE_SQL,
 }
