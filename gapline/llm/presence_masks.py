@@ -41,7 +41,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed by the definition of scores.
 SATURATION, LENGTH_SHARE = 8, 75
 #: Documents and postings of a block, postings of a shard, cells of an item's bitmaps.
-DOCUMENTS, POSTINGS, SHARD, CELLS = 8192, 1 << 20, 1 << 23, 1 << 24
+DOCUMENTS, POSTINGS, SHARD, CELLS = 8192, 1 << 20, 1 << 21, 1 << 24
 #: Terms and bytes up to which the items' terms are sent to the tasks that index.
 VOCABULARY, VOCABULARY_BYTES = 1 << 20, 1 << 25
 
@@ -187,8 +187,8 @@ def top_k(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     weighed = asked.join(df, "term").select("item_id", "term", (weight * F.col("times")).alias("weight"))
     asks = weighed.groupBy("item_id").agg(F.collect_list("term").alias("words"), F.collect_list("weight").alias("weights"))
 
-    # As many shards as memory needs, and enough to keep the cores busy.
-    shards = int(max(1, -(-postings // SHARD), min(docs.sparkSession.sparkContext.defaultParallelism, most)))
+    # As many shards as memory needs, and several for each core, so that uneven ones even out.
+    shards = int(max(1, -(-postings // SHARD), min(4 * docs.sparkSession.sparkContext.defaultParallelism, most)))
     dealt = blocks.withColumn("shard", F.pmod(F.xxhash64("places", "lengths"), F.lit(shards))).withColumn("item", F.lit(None).cast("struct<item_id:bigint,words:array<string>,weights:array<bigint>>"))
     asks = asks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.struct(F.col("item_id").cast("long").alias("item_id"), "words", "weights").alias("item"))
     met = dealt.unionByName(asks, allowMissingColumns=True).withColumn("asks", F.col("item").isNotNull()).repartition(shards, "shard").sortWithinPartitions("shard", "asks")
