@@ -6,12 +6,12 @@ A snapshot holds the texts that were new when it was made: a table of exact text
 1. the batch's own duplicates are grouped by digest and bytes, in an aggregate that combines before its shuffle;
 2. the batch's distinct digests meet the filters of each snapshot, bucket by bucket; only those that a filter calls present go on
    (one in 256 of those that are absent);
-3. positives join the snapshot's bucket by digest, and what the digest finds is compared byte by byte. A known text adds its rows to
+3. positives join the snapshot's digests, and where both have a digest its texts are compared byte by byte. A known text adds its rows to
    the class of the snapshot; all others are the next snapshot.
 
 The last step gives each row its class. Digests that two different texts share are looked for; the rows of those go by text.
 
-No texts but distinct ones are shuffled or written. Rows find their class by digest; the classes that hold over a thousandth of all
+No texts but distinct ones are shuffled or written, once; what meets a snapshot are digests, and texts only where these agree. Rows find their class by digest; the classes that hold over a thousandth of all
 rows (fewer than a thousand) are broadcast for that, so that a text with a third of all rows makes no hot key.
 
 Defined cases: null text counts as empty; rows without an id take part, any id is larger than none, and a class without ids has a null
@@ -32,8 +32,8 @@ from gapline.llm.common import Scratch
 
 #: Texts of a bucket, on average.
 BUCKET = 1 << 14
-#: Keys that one task meets with filters at a time.
-PROBED = 1 << 16
+#: Digests of known texts that are sent to the rows.
+KEYS = 500_000
 #: A class with more than this share of all rows is broadcast.
 HEAVY = 1000
 
@@ -177,13 +177,20 @@ class Snapshot:
         return met.select("bucket", "is_key", "key", "digest", "seed", "segment", "prints").mapInArrow(probe, "digest string")
 
 
-def group(rows: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+def group(rows: DataFrame) -> DataFrame:
     """A batch's own classes: (digest, text, n, last)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.sha2(text, 256)).alias("digest"), text.alias("text"))
     return rows.groupBy("digest", "text").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
 
 
+def among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows whose ``digest`` is (``left_semi``) or is not (``left_anti``) among the saved ``keys(digest)``.
+
+    Rows carry texts, keys do not: up to :data:`KEYS` keys go to the rows, more of them meet the rows by a shuffle.
+    """
+    few = keys.count() <= KEYS
+    return rows.join(F.broadcast(keys) if few else keys, "digest", how)
+
+
 class Store:
     """Snapshots in order of arrival, with what each batch added to each class."""
 
@@ -194,28 +201,39 @@ class Store:
 
     def append(self, batch: DataFrame) -> None:
         """Take in ``batch(doc_id, text)``; its new texts become the next snapshot."""
-        own = group(batch, self.digest).withColumn("class_id", F.lit(None).cast("long"))
+        text = F.coalesce(F.col("text"), F.lit(""))
+        batch = batch.select(F.col("doc_id").cast("long").alias("doc_id"), self.digest(F.sha2(text, 256)).alias("digest"), text.alias("text"))
+        digests = batch.select("digest").distinct()
+        hits = []
         if self.snapshots:
-            own = self.scratch.save(own)
-            digests = own.select("digest").distinct()
-            for snapshot in self.snapshots:
-                positive = self.scratch.save(snapshot.screen(digests))
-                suspects = own.join(positive, "digest", "left_semi").select("digest", "text")
-                found = snapshot.texts.join(positive, "digest", "left_semi").join(suspects, ["digest", "text"]).select("digest", F.col("text").alias("same"), F.col("class_id").alias("found"))
-                found = self.scratch.save(found)
-                own = own.join(found, (own.digest == found.digest) & (own.text == found.same), "left").select(own.digest, "text", "n", "last", F.coalesce("class_id", "found").alias("class_id"))
-        first = len(self.snapshots) << 56
-        own = own.withColumn("is_new", F.col("class_id").isNull()).withColumn("class_id", F.coalesce("class_id", F.lit(first) + F.monotonically_increasing_id()))
-        own = self.scratch.save(own.withColumn("text", F.when(F.col("is_new"), F.col("text"))))
-        self.added.append(own)
-        self.snapshots.append(Snapshot(self.scratch, own.filter("is_new").select("class_id", "digest", "text")))
+            digests = self.scratch.save(digests)
+        for snapshot in self.snapshots:
+            positive = snapshot.screen(digests)
+            hits.append(self.scratch.save(positive.join(snapshot.texts.select("digest").distinct(), "digest", "left_semi")))
+        own = group(batch).withColumn("class_id", F.lit(len(self.snapshots) << 56) + F.monotonically_increasing_id())
+        own = self.scratch.save(own)
+        # Whose digest a snapshot has: texts of the same digest are compared byte by byte.
+        known, new, narrow = [], own, own.select("class_id", "digest", "n", "last")
+        for snapshot, hit in zip(self.snapshots, hits, strict=True):
+            suspects = among(own, hit, "left_semi").select("class_id", "digest", "text")
+            stored = among(snapshot.texts, hit, "left_semi").select(F.col("class_id").alias("found"), "digest", "text")
+            found = self.scratch.save(suspects.join(stored, ["digest", "text"]).select("class_id", "found", "digest"))
+            known.append(found.drop("digest"))
+            fresh = among(new, hit, "left_semi").join(found.select("class_id"), "class_id", "left_anti")
+            new = among(new, hit, "left_anti").unionByName(fresh.select(*new.columns))
+        if known:
+            both = known[0]
+            for k in known[1:]:
+                both = both.unionByName(k)
+            narrow = narrow.join(both, "class_id", "left").select(F.coalesce("found", "class_id").alias("class_id"), F.when(F.col("found").isNull(), F.col("digest")).alias("digest"), "n", "last")
+        self.added.append(narrow)
+        self.snapshots.append(Snapshot(self.scratch, new.select("class_id", "digest", "text")))
 
     def classes(self) -> DataFrame:
         """(class_id, digest, size, keep_id) of every text."""
-        stats = [a.select("class_id", "n", "last", F.when(F.col("is_new"), F.col("digest")).alias("digest")) for a in self.added]
-        out = stats[0]
-        for s in stats[1:]:
-            out = out.unionByName(s)
+        out = self.added[0]
+        for added in self.added[1:]:
+            out = out.unionByName(added)
         return out.groupBy("class_id").agg(F.max("digest").alias("digest"), F.sum("n").alias("size"), F.max("last").alias("keep_id"))
 
     def texts(self) -> DataFrame:
