@@ -15,7 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gapline.functions import text as T
-from gapline.operators.vectors import doubles, dot, norm, semantic_candidates
+from gapline.operators.neighbors import semantic_candidates
+from gapline.operators.vectors import doubles, dot, norm
 
 #: Rows that cells and components are fitted on; every row is indexed and transformed.
 FIT_ROWS = 100_000
@@ -81,16 +82,19 @@ def sign_codes(embedding: Column, bits: int = BITS, seed: int = 7) -> Column:
     def code(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         planes: dict[int, np.ndarray] = {}
         for vectors in parts:
-            out: list[np.ndarray | None] = []
-            for v in vectors:
-                x = None if v is None else np.asarray(v, np.float64)
-                if x is None or np.isnan(x).any():
-                    out.append(None)
-                    continue
-                if len(x) not in planes:
-                    planes[len(x)] = np.random.default_rng(seed).standard_normal((bits, len(x)))
-                out.append(np.packbits(planes[len(x)] @ x > 0).view(np.int64))
-            yield pd.Series(out)
+            out = pd.Series([None] * len(vectors), dtype=object)
+            width = vectors.map(lambda v: -1 if v is None else len(v)).to_numpy(int)
+            for w in np.unique(width[width >= 0]).tolist():
+                if w not in planes:
+                    planes[w] = np.random.default_rng(seed).standard_normal((bits, w))
+                at = np.flatnonzero(width == w)
+                rows = np.stack([np.asarray(vectors.iloc[i], np.float64) for i in at])
+                fine = ~np.isnan(rows).any(axis=1)
+                # One matrix product for all vectors of a width.
+                codes = np.packbits(rows[fine] @ planes[w].T > 0, axis=1).view(np.int64)
+                for i, c in zip(at[fine].tolist(), codes, strict=True):
+                    out.iat[i] = c
+            yield out
 
     return code(embedding)
 

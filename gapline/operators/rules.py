@@ -27,14 +27,14 @@ class Rule:
     version: str = "1.0.0"
 
 
-# The features, weights and verdicts of the rule set.
+# The features, weights, verdicts and fix texts of the rule set.
 RULES = (
     Rule(
         "cobol_data_item_documentation", "cobol", 3,
         {"pic_comments": r"PIC\s+[X9A-Z()\-]+\s+\*.*", "descriptions": r"\*\s*[A-Z][A-Za-z\s]{10,}", "copybook": r"COPY\s+[A-Z0-9\-]+", "record": r"01\s+[A-Z0-9\-]+"},
         {"pic_comments": 0.4, "descriptions": 0.4, "record": 0.2},
         "pic_comments AND descriptions AND record", "copybook OR record",
-        {"pic_comments": "PIC clause comments for data types", "descriptions": "field descriptions with business meaning", "record": "01-level record structure"}, "Add COBOL documentation: ",
+        {"pic_comments": "PIC clause comments for data types", "descriptions": "field descriptions with business meaning", "record": "proper 01-level record structure"}, "Add COBOL documentation: ",
     ),
     Rule(
         "cobol_procedure_documentation", "cobol", 2,
@@ -48,28 +48,28 @@ RULES = (
         {"docstring": r'"""[\s\S]*?"""', "adequate": (r'"""([\s\S]*?)"""', "group longer than 50"), "endpoint": r"@app\.(get|post|put|delete|patch)", "response_model": r"response_model\s*="},
         {"docstring": 0.4, "adequate": 0.4, "response_model": 0.2},
         "docstring AND adequate AND response_model", "endpoint",
-        {"docstring": "a comprehensive docstring", "adequate": "an explanation of parameters and return values", "response_model": "a response_model"}, "Improve endpoint documentation: ",
+        {"docstring": "Add comprehensive docstring", "adequate": "expand documentation to explain parameters and return values", "response_model": "add response_model parameter"}, "Improve endpoint documentation: ",
     ),
     Rule(
         "fastapi_error_handling", "fastapi", 4,
         {"handling": r"HTTPException|raise|except", "http_status": r"status_code\s*=\s*[45]\d\d", "try_except": r"try:\s*[\s\S]*?except", "endpoint": r"@app\.(get|post|put|delete|patch)"},
         {"handling": 0.6, "http_status": 0.2, "try_except": 0.2},
         "handling AND (http_status OR try_except)", "endpoint",
-        {"handling": "HTTPException or try/except blocks", "http_status": "appropriate HTTP status codes", "try_except": "a try/except block"}, "Add error handling: ",
+        {"handling": "implement HTTPException or try/except blocks", "http_status": "include appropriate HTTP status codes (4xx/5xx)"}, "Add error handling: ",
     ),
     Rule(
         "irs_field_documentation", "irs", 4,
         {"names": r"Field\s+Name:|FIELD\s+NAME:", "descriptions": r"Description:|DESCRIPTION:", "format": r"Format:|FORMAT:|Type:|TYPE:", "position": r"Position:|POSITION:|Columns?:|COLUMNS?:"},
         {"names": 0.25, "descriptions": 0.35, "format": 0.25, "position": 0.15},
         "names AND descriptions AND format AND position", "TRUE",
-        {"names": "field names", "descriptions": "field descriptions", "format": "format specifications", "position": "position information"}, "Add record documentation: ",
+        {"names": "field names", "descriptions": "field descriptions", "format": "format specifications", "position": "position information"}, "Add IRS record documentation: ",
     ),
     Rule(
         "irs_validation_rules", "irs", 3,
         {"valid_values": r"Valid\s+Values?:|VALID\s+VALUES?:|Allowable:|ALLOWABLE:", "required": r"Required:|REQUIRED:|Mandatory:|MANDATORY:", "range_limits": r"Range:|RANGE:|Min:|MAX:|Minimum:|MAXIMUM:", "pattern_rules": r"Pattern:|PATTERN:|Mask:|MASK:|Format:|FORMAT:", "layout": r"Field|FIELD|Record|RECORD"},
         {"valid_values": 0.3, "required": 0.3, "range_limits": 0.2, "pattern_rules": 0.2},
         "valid_values OR required OR range_limits OR pattern_rules", "layout",
-        {"valid_values": "valid values or allowable entries", "required": "required/mandatory field indicators", "range_limits": "range limits", "pattern_rules": "pattern or mask rules"}, "Add validation rules: ",
+        {"valid_values": "valid values or allowable entries", "required": "required/mandatory field indicators", "range_limits": "range constraints", "pattern_rules": "pattern or format rules"}, "Add validation rules: ",
     ),
     Rule(
         "kubernetes_deployment_description", "kubernetes", 3,
@@ -90,7 +90,7 @@ RULES = (
         {"dd_ref": r"\^DD\([0-9,.]+\)", "description": r'"[A-Z][A-Za-z\s]{10,}"', "type_info": r"TYPE:|Type:", "help_prompt": r"HELP-PROMPT:|Help-Prompt:"},
         {"dd_ref": 0.2, "description": 0.4, "type_info": 0.2, "help_prompt": 0.2},
         "dd_ref AND description AND (type_info OR help_prompt)", "TRUE",
-        {"dd_ref": "DD reference structure", "description": "field description with business meaning", "type_info": "type information", "help_prompt": "help prompt"}, "Add FileMan documentation: ",
+        {"dd_ref": "DD reference structure", "description": "field description with business meaning", "type_info": "field type information", "help_prompt": "help prompt for users"}, "Add FileMan documentation: ",
     ),
     Rule(
         "mumps_routine_documentation", "mumps", 2,
@@ -105,13 +105,13 @@ BY_NAME = {r.name: r for r in RULES}
 
 
 def feature(test: str | tuple[str, str]) -> Column:
-    """A feature as a boolean, false for null text or metadata."""
+    """A feature as a boolean, false for null text or metadata. ``_metadata_v`` is the metadata, parsed once for all paths."""
     if isinstance(test, str):
         return F.coalesce(F.col("text_content").rlike(test), F.lit(False))
     path, wanted = test
     if wanted == "group longer than 50":
         return F.coalesce(F.length(F.regexp_extract("text_content", path, 1)) > 50, F.lit(False))
-    value = F.get_json_object("metadata", path)
+    value = F.try_variant_get("_metadata_v", path, "string")
     if wanted == "present":
         return value.isNotNull()
     if wanted == "longer than 10":
@@ -119,10 +119,26 @@ def feature(test: str | tuple[str, str]) -> Column:
     return F.coalesce(value == wanted, F.lit(False))
 
 
+def named(rule: Rule, formula: str) -> str:
+    """AND, OR, NOT and brackets over feature names as SQL over the columns of ``with_features``."""
+    words = formula.replace("(", " ( ").replace(")", " ) ").split()
+    return " ".join(f"`{rule.name}.{w}`" if w in rule.features else w for w in words)
+
+
+def with_features(chunks: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """A column ``rule.feature`` for each feature of each rule, null for chunks of another type."""
+    own = {name: F.col("artifact_type") == name for name in {r.artifact_type for r in rules}}
+    reads_metadata = {r.artifact_type for r in rules if any(isinstance(t, tuple) and t[0].startswith("$") for t in r.features.values())}
+    rows = chunks.select("chunk_id", "artifact_type", "text_content", "metadata") if "metadata" in chunks.columns else chunks.select("chunk_id", "artifact_type", "text_content", F.lit(None).cast("string").alias("metadata"))
+    rows = rows.withColumn("_metadata_v", F.when(F.col("artifact_type").isin(*reads_metadata), F.try_parse_json("metadata")))
+    columns = {f"{r.name}.{k}": F.when(own[r.artifact_type], feature(t)) for r in rules for k, t in r.features.items()}
+    return rows.select("chunk_id", "artifact_type", *[c.alias(n) for n, c in columns.items()])
+
+
 def verdict(rule: Rule) -> Column:
     """A struct (rule_name, version, severity, passed, confidence, missing), null where the rule does not apply."""
-    found = {name: feature(test) for name, test in rule.features.items()}
-    passed, rows = _formula(rule.passed, found), _formula(rule.rows, found)
+    found = {name: F.col(f"`{rule.name}.{name}`") for name in rule.features}
+    passed, rows = F.expr(named(rule, rule.passed)), F.expr(named(rule, rule.rows))
     confidence = F.round(reduce(lambda a, b: a + b, [found[k].cast("int") * F.lit(w) for k, w in rule.weights.items()]), 6)
     missing = F.concat_ws(", ", *[F.when(~found[k], F.lit(text)) for k, text in rule.fixes.items()])
     fix = F.when(~passed, F.substring(F.concat(F.lit(rule.lead), missing), 1, 500))
@@ -130,21 +146,12 @@ def verdict(rule: Rule) -> Column:
     return F.when((F.col("artifact_type") == rule.artifact_type) & rows, out)
 
 
-def _formula(text: str, found: dict[str, Column]) -> Column:
-    """AND, OR, NOT and brackets over feature names as a Column."""
-    names = {k: f"_f['{k}']" for k in found}
-    words = text.replace("(", " ( ").replace(")", " ) ").split()
-    spell = {"AND": "&", "OR": "|", "NOT": "~", "TRUE": "_true"}
-    code = " ".join(spell.get(w, names.get(w, w)) for w in words)
-    return eval(code, {"__builtins__": {}}, {"_f": found, "_true": F.lit(True)})  # noqa: S307 - fixed formulas of this module
-
-
 def run_rules(chunks: DataFrame, rules: tuple[Rule, ...] = RULES, per_rule: int | None = None, version: str | None = None) -> DataFrame:
     """All rules over all chunks in one scan: chunk_id, artifact_type, rule_name, ruleset_version, severity, passed, confidence,
     suggested_fix. ``per_rule`` keeps that many chunks of each rule (smallest ids), ``version`` overrides the rules' own.
     """
     every = F.filter(F.array(*map(verdict, rules)), lambda v: v.isNotNull())
-    out = chunks.select("chunk_id", "artifact_type", F.explode(every).alias("v")).select("chunk_id", "artifact_type", "v.*")
+    out = with_features(chunks, rules).select("chunk_id", "artifact_type", F.explode(every).alias("v")).select("chunk_id", "artifact_type", "v.*")
     if version is not None:
         out = out.withColumn("ruleset_version", F.lit(version))
     if per_rule is not None:

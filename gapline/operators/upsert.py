@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 
 def insert_new_chunks(batch: DataFrame, target: DataFrame) -> DataFrame:
-    """Rows of the batch, one for each content hash (smallest chunk_id), whose hash is not in the target."""
+    """Rows of the batch, one for each content hash (smallest chunk_id), whose hash is not in the target; rows without a hash are rejected."""
+    batch = batch.filter("content_hash is not null")
     # min_by combines map-side: a hash that stands in a third of the batch is one row for each task.
     fields = [c for c in batch.columns if c != "content_hash"]
     once = batch.groupBy("content_hash").agg(F.min_by(F.struct(*fields), "chunk_id").alias("r")).select("content_hash", "r.*")

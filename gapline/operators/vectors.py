@@ -65,24 +65,6 @@ def vector_search(vectors: DataFrame, query: list[float], k: int, types: list[st
     return found
 
 
-def semantic_candidates(vectors: DataFrame, probes: DataFrame, k: int, threshold: float, most_probes: int = 10_000) -> DataFrame:
-    """For each probe the k most similar vectors above a threshold, ranked: rule_name, chunk_id, similarity, neighbor_rank.
-
-    ``probes(rule_name, probe)``; they are broadcast up to ``most_probes`` rows, else joined block by block on a salt, so that no
-    task holds all pairs. Ranking keeps k rows of each probe in each task before the shuffle.
-    """
-    # Norms once for each vector and probe, not for each pair.
-    vectors, probes = vectors.withColumn("_vn", norm(F.col("embedding"))), probes.withColumn("_pn", norm(F.col("probe")))
-    if probes.count() <= most_probes:
-        pairs = vectors.join(F.broadcast(probes))
-    else:
-        blocks = 64
-        pairs = vectors.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(probes.withColumn("_b", F.pmod(F.xxhash64("rule_name"), F.lit(blocks)).cast("int")), "_b")
-    similar = pairs.select("rule_name", "chunk_id", F.round(dot(F.col("embedding"), F.col("probe")) / (F.col("_vn") * F.col("_pn")), 6).alias("similarity")).filter(F.col("similarity") >= threshold)
-    rank = F.row_number().over(W.partitionBy("rule_name").orderBy(F.desc("similarity"), "chunk_id"))
-    return similar.withColumn("neighbor_rank", rank).filter(F.col("neighbor_rank") <= k)
-
-
 def coerce_dims(vectors: DataFrame, dims: int) -> DataFrame:
     """Longer vectors are cut, shorter ones padded with zeros."""
     v = F.col("embedding")
@@ -170,20 +152,6 @@ def similarity_correlation(before: DataFrame, after: DataFrame, sample: int = 10
     return pairs.select(cosine("a").alias("p"), cosine("b").alias("q")).agg(F.round(F.corr("p", "q"), 6).alias("correlation"), F.count("*").alias("pairs"))
 
 
-def neighbor_preservation(before: DataFrame, after: DataFrame, probes: DataFrame, k: int = 10) -> DataFrame:
-    """Mean share of each probe's k nearest that stay its k nearest; 1 if there are no more than k vectors.
-
-    ``probes(rule_name, chunk_id)`` names the vectors that are asked for.
-    """
-
-    def near(vectors: DataFrame) -> DataFrame:
-        asked = probes.join(vectors.select("chunk_id", F.col("embedding").alias("probe")), "chunk_id").select("rule_name", "probe")
-        return semantic_candidates(vectors, asked, k, -2.0).select("rule_name", "chunk_id")
-
-    a, b = near(before), near(after).withColumn("kept", F.lit(1))
-    return a.join(b, ["rule_name", "chunk_id"], "left").agg(F.round(F.count("kept") / F.count("*"), 6).alias("preservation"))
-
-
 def probe_index(text: Column, dims: int) -> Column:
     """Sum of the text's UTF-8 bytes modulo the dimension."""
     pairs = F.regexp_extract_all(F.hex(F.encode(F.coalesce(text, F.lit("")), "utf-8")), F.lit(".."), F.lit(0))

@@ -71,7 +71,7 @@ def candidates(t):
     v = t.embeddings.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     p = t.probes.join(v.select("vec_id", F.col("v").alias("pv"), F.col("label").alias("plabel")), "vec_id").select("rule_name", "plabel", "pv")
     dot = F.aggregate(F.zip_with("v", "pv", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return v.join(F.broadcast(p), F.col("label") == F.col("plabel")).select("rule_name", F.col("vec_id").cast("string").alias("chunk_id"), F.round(dot, 6).alias("similarity"))
+    return v.join(p, F.col("label") == F.col("plabel")).select("rule_name", F.col("vec_id").cast("string").alias("chunk_id"), F.round(dot, 6).alias("similarity"))
 
 
 CANDIDATES = f"cand AS (SELECT p.rule_name, CAST(a.vec_id AS VARCHAR) AS chunk_id, round({DOT}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label JOIN probes p ON p.vec_id = b.vec_id)"

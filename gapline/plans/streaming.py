@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,19 +11,14 @@ from gapline.fixtures import Tables
 from gapline.operators import rules, scoring
 from gapline.registry import query
 from gapline.sources import tables as S
+from gapline.sources.shared import new_folder
 from gapline.streaming import jobs as J
 from gapline.streaming import requests as R
 
 
 def folder(t: Tables, name: str = "stream") -> str:
     """A new folder that driver and executors share."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getCheckpointDir()
-    if not base and t.spark.sparkContext.master.split("[")[0] == "local":
-        base = tempfile.mkdtemp(prefix="gapline-")
-        t.spark.conf.set("spark.checkpoint.dir", base)
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return new_folder(t.spark, name)
 
 
 def request_stream(t: Tables) -> DataFrame:
@@ -118,12 +112,45 @@ def _(t):
     return R.recent_errors(t.requests, 50)
 
 
+#: Of each endpoint: requests, and whether the sketched percentiles' ranks are within the error of the wanted ones.
+SKETCHED = """
+SELECT endpoint, count(duration_ms) AS requests, true AS within FROM requests WHERE duration_ms IS NOT NULL GROUP BY endpoint
+"""
+
+
+@query("latency_percentiles_stream", SKETCHED, "requests")
+def _(t):
+    ps, error = [0.5, 0.95, 0.99], 0.005
+    base = folder(t)
+    J.stream_updates(R.latency_sketches(request_stream(t), error=error), f"{base}/out", f"{base}/checkpoint")
+    sketches = J.latest_metrics(t.spark.read.parquet(f"{base}/out").drop("batch"), ["window_start", "endpoint"])
+    merged = R.merged_percentiles(sketches, ["endpoint"], ps).withColumnRenamed("requests", "n")
+    # Ranks of an estimate: how many values are below it, and how many are not above it.
+    rows = t.requests.filter("duration_ms is not null").select(F.col("endpoint").alias("of"), "duration_ms").join(merged, F.col("of") == F.col("endpoint"))
+    counts = [F.count_if(F.col("duration_ms") < F.col("percentiles")[i]).alias(f"below{i}") for i in range(len(ps))]
+    counts += [F.count_if(F.col("duration_ms") <= F.col("percentiles")[i]).alias(f"upto{i}") for i in range(len(ps))]
+    met = rows.groupBy("endpoint").agg(F.count("*").alias("requests"), F.first("n").alias("n"), *counts)
+    within = F.col("n") == F.col("requests")
+    for i, p in enumerate(ps):
+        within &= (F.col(f"below{i}") <= (p + error) * F.col("n") + 1) & (F.col(f"upto{i}") >= (p - error) * F.col("n") - 1)
+    return met.select("endpoint", "requests", within.alias("within"))
+
+
+@query("recent_errors_stream", "SELECT request_id, endpoint, ts FROM requests WHERE status_code >= 400 ORDER BY ts DESC, request_id DESC LIMIT 50", "requests")
+def _(t):
+    base = folder(t)
+    with J.stateful(t.spark):
+        J.stream_updates(R.recent_error_lists(request_stream(t), 50, timedelta(days=36_500)), f"{base}/out", f"{base}/checkpoint")
+    lists = J.latest_metrics(t.spark.read.parquet(f"{base}/out").drop("batch"), ["endpoint"])
+    return R.merged_errors(lists, 50)
+
+
 @query("stream_ingest", "SELECT endpoint, client, min(request_id) AS chunk_id FROM requests GROUP BY endpoint, client", "requests")
 def _(t):
     base = folder(t)
-    rows = request_stream(t).select(F.sha2(F.concat_ws(":", "endpoint", "client"), 256).alias("content_hash"), F.col("request_id").alias("chunk_id"), "endpoint", "client")
+    rows = request_stream(t).select(F.sha2(F.concat_ws(":", "endpoint", "client"), 256).alias("content_hash"), F.col("request_id").alias("chunk_id"), "endpoint", "client", "ts")
     for _ in range(2):  # the second run finds nothing new
-        J.stream_ingest(rows, f"{base}/out", f"{base}/checkpoint")
+        J.stream_ingest(rows, f"{base}/out", f"{base}/checkpoint", "ts", buckets=8)
     return t.spark.read.parquet(f"{base}/out").select("endpoint", "client", "chunk_id")
 
 

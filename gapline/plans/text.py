@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gapline.functions import text as T
 from gapline.operators import context as K
+from gapline.operators import set_join as SJ
 from gapline.operators import text as X
 from gapline.registry import query
 
@@ -97,17 +98,38 @@ def _(t):
 
 @query("chunk_semantic")
 def _(t):
-    return X.chunk(t.source_text.filter("artifact_type in ('kubernetes', 'fastapi')"), X.semantic, 40, 5)
+    return X.chunk_lines(t.source_text.filter("artifact_type in ('kubernetes', 'fastapi')"), X.semantic_pieces, 40, 5)
+
+
+# Packs line by line: a pack ends before the line that does not fit.
+FIXED_WIDTH = r"""
+WITH RECURSIVE ln AS (
+  SELECT chunk_id, CAST(unnest(range(0, len(a))) AS INT) AS no, trim(unnest(a), E' \t\r\n\f\x0B') AS x
+  FROM (SELECT chunk_id, string_split(text_content, chr(10)) AS a FROM source_text WHERE artifact_type IN ('cobol', 'irs'))
+),
+r AS (
+  SELECT chunk_id, no, x, greatest(1, length(regexp_replace(x, '[ \t\r\n\f\v]+', ' ', 'g')) // 4) AS cost, row_number() OVER (PARTITION BY chunk_id ORDER BY no) AS i
+  FROM ln WHERE x <> ''
+),
+p(chunk_id, i, total, pack) AS (
+  SELECT chunk_id, i, CAST(cost AS BIGINT), 0 FROM r WHERE i = 1
+  UNION ALL
+  SELECT r.chunk_id, r.i, CASE WHEN p.total + r.cost > 30 THEN r.cost ELSE p.total + r.cost END, CASE WHEN p.total + r.cost > 30 THEN p.pack + 1 ELSE p.pack END
+  FROM p JOIN r ON r.chunk_id = p.chunk_id AND r.i = p.i + 1
+)
+SELECT r.chunk_id, CAST(p.pack AS INT) AS chunk_no, string_agg(r.x, chr(10) ORDER BY r.i) AS content, CASE WHEN p.pack = 0 THEN 0 ELSE min(r.no) END AS start_line, CAST(sum(r.cost) AS BIGINT) AS tokens
+FROM r JOIN p ON p.chunk_id = r.chunk_id AND p.i = r.i GROUP BY r.chunk_id, p.pack
+"""
 
 
-@query("chunk_fixed_width")
+@query("chunk_fixed_width", FIXED_WIDTH, "source_text")
 def _(t):
-    return X.chunk(t.source_text.filter("artifact_type in ('cobol', 'irs')"), X.fixed_width, 30)
+    return X.chunk_lines(t.source_text.filter("artifact_type in ('cobol', 'irs')"), X.fixed_width_pieces, 30)
 
 
 @query("chunk_hierarchy")
 def _(t):
-    return X.chunk(t.source_text.filter("artifact_type = 'mumps'"), X.hierarchy, 10)
+    return X.chunk_lines(t.source_text.filter("artifact_type = 'mumps'"), X.hierarchy_pieces, 10)
 
 
 @query("chunk_code")
@@ -197,6 +219,34 @@ def _(t):
     return X.detect_changes(pairs(t)).select("a_id", "b_id", "has_changes", "lines_added", "lines_removed", "overall_similarity", "added", "removed")
 
 
+# Every pair of distinct token sets, by the tokens that they share.
+def similar_sql(threshold: float) -> str:
+    return f"""
+WITH s AS (SELECT chunk_id, list_sort(list_distinct(regexp_extract_all(text_content, '[A-Za-z_][A-Za-z0-9_]{{2,}}'))) AS t FROM chunks),
+c AS (SELECT min(chunk_id) AS id, t, len(t) AS n FROM s WHERE len(t) > 0 GROUP BY t),
+e AS (SELECT id, n, unnest(t) AS token FROM c),
+o AS (SELECT a.id AS a_id, b.id AS b_id, any_value(a.n) AS m, any_value(b.n) AS n, count(*) AS shared FROM e a JOIN e b ON a.token = b.token AND a.id < b.id GROUP BY 1, 2)
+SELECT a_id, b_id, round(shared::DOUBLE / (m + n - shared), 6) AS similarity FROM o WHERE shared::DOUBLE / (m + n - shared) >= {threshold}
+"""
+
+
+for _name, _threshold in (("similar_pairs", 0.8), ("related_pairs", 0.5)):
+
+    @query(_name, similar_sql(_threshold), "chunks")
+    def _(t, threshold=_threshold):
+        found, _ = SJ.similar_pairs(t.chunks.select(F.col("chunk_id").alias("id"), "text_content"), T.word_tokens(F.col("text_content")), threshold)
+        return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("similar_classes", """
+WITH s AS (SELECT chunk_id, list_sort(list_distinct(regexp_extract_all(text_content, '[A-Za-z_][A-Za-z0-9_]{2,}'))) AS t FROM chunks)
+SELECT chunk_id AS id, min(chunk_id) OVER (PARTITION BY t) AS class_id FROM s WHERE len(t) > 0
+""", "chunks")
+def _(t):
+    _, members = SJ.similar_pairs(t.chunks.select(F.col("chunk_id").alias("id"), "text_content"), T.word_tokens(F.col("text_content")), 0.8)
+    return members
+
+
 def quoted(words) -> list[str]:
     return ["'" + w.replace("'", "''") + "'" for w in words]
 

@@ -7,9 +7,10 @@ import math
 from pyspark.sql import functions as F
 
 from gapline.operators import ml as M
+from gapline.operators import neighbors as N
 from gapline.operators import vectors as V
-from gapline.plans.streaming import folder
 from gapline.registry import query
+from gapline.sources.shared import exists, shared_folder
 
 #: A fixed unit query of the test vectors' width.
 Q = [round(math.sin(i + 1) / 5.7, 6) for i in range(64)]
@@ -60,7 +61,7 @@ SIM = f"round({s_dot('v.embedding', 'e.embedding')} / ({s_norm('v.embedding')} *
 
 @query("semantic_candidates", f"SELECT * FROM (SELECT rule_name, chunk_id, similarity, CAST(row_number() OVER (PARTITION BY rule_name ORDER BY similarity DESC, chunk_id) AS INT) AS neighbor_rank FROM (SELECT p.rule_name, v.chunk_id, {SIM} AS similarity FROM vectors v, probes p JOIN embeddings e ON e.vec_id = p.vec_id) WHERE similarity >= 0.1) WHERE neighbor_rank <= 8", "vectors", "probes")
 def _(t):
-    return V.semantic_candidates(t.vectors, probes(t), 8, 0.1)
+    return N.semantic_candidates(t.vectors, probes(t), 8, 0.1)
 
 
 @query("search_sources", f"SELECT c.chunk_id, c.source, t.distance FROM (SELECT chunk_id, {COS} AS distance FROM vectors ORDER BY distance, chunk_id LIMIT 100) t JOIN chunks c ON c.chunk_id = t.chunk_id WHERE c.source IN ('src1', 'src2', 'src3')", "chunks", "vectors")
@@ -69,15 +70,28 @@ def _(t):
     return found.join(t.chunks.select("chunk_id", "source"), "chunk_id").filter(F.col("source").isin("src1", "src2", "src3")).select("chunk_id", "source", "distance")
 
 
+def index(t) -> N.Index:
+    """The search index of this table, made by the first query that needs it and found by later ones of any session."""
+    about = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").alias("h")
+    mark = t.embeddings.select(about).distinct().agg(F.bit_xor("h")).first()[0] or 0
+    path = f"{shared_folder(t.spark)}/vector-index-{mark & (1 << 64) - 1:x}"
+    if exists(t.spark, f"{path}/model/_SUCCESS"):
+        return N.Index(t.spark, path)
+    return N.Index.write(t.vectors, path)
+
+
 @query("vector_search_ann")
 def _(t):
     asked = t.spark.createDataFrame([("q", Q)], "rule_name string, probe array<double>")
-    return M.search_index(M.write_index(t.vectors, folder(t, "vector-index")), asked, 10)
+    return index(t).search(asked, 10)
 
 
-@query("ann_recall")
+@query("ann_recall", "SELECT true AS enough, CAST(count(*) * least(10, (SELECT count(*) FROM vectors)) AS BIGINT) AS exact FROM probes", "vectors", "probes")
 def _(t):
-    return M.index_recall(t.vectors, M.write_index(t.vectors, folder(t, "vector-index")), probes(t), 10)
+    """Whether nine of ten exact neighbours of the probes were found, and how many there are."""
+    asked = probes(t)
+    found = N.recall(N.semantic_candidates(t.vectors, asked, 10, -2.0), index(t).search(asked, 10))
+    return found.select((F.col("recall") >= 0.9).alias("enough"), "exact")
 
 
 @query("coerce_dims", "SELECT chunk_id, CAST(len(embedding) AS INT) AS dims, round(embedding[1], 6) AS first_value, round(embedding[32], 6) AS last_value FROM vectors", "vectors")
@@ -158,7 +172,7 @@ NEAR = "(SELECT rule_name, chunk_id FROM (SELECT *, row_number() OVER (PARTITION
 @query("neighbor_preservation", f"SELECT round(count(b.chunk_id)::DOUBLE / count(*), 6) AS preservation FROM {NEAR.format(s_cos('v.embedding', 'e.embedding'))} a LEFT JOIN {NEAR.format(s_cos('v.embedding[1:48]', 'e.embedding[1:48]'))} b USING (rule_name, chunk_id)", "vectors", "probes")
 def _(t):
     named = t.probes.select("rule_name", F.col("vec_id").cast("string").alias("chunk_id"))
-    return V.neighbor_preservation(t.vectors, V.coerce_dims(t.vectors, 48), named)
+    return N.neighbor_preservation(t.vectors, V.coerce_dims(t.vectors, 48), named)
 
 
 @query("text_probe_embedding", "SELECT chunk_id, CAST(coalesce(list_sum([CAST('0x' || b AS BIGINT) FOR b IN regexp_extract_all(hex(encode(coalesce(text_content, ''))), '..')]), 0) % 768 AS INT) AS place FROM chunks", "chunks")
@@ -172,9 +186,17 @@ def _(t):
     return V.search_text(t.vectors.select("chunk_id", "artifact_type", "embedding"), "deployment guide", 10, 64)
 
 
-@query("scale_vectors")
+def s_scaled(place: int) -> str:
+    x = f"CAST(embedding[{place}] AS DOUBLE)"
+    return f"round(round(({x} - avg({x}) OVER ()) / stddev_samp({x}) OVER (), 10), 6) + 0"
+
+
+@query("scale_vectors", f"SELECT chunk_id, CAST(len(embedding) AS INT) AS dims, {s_scaled(1)} AS first_value, {s_scaled(64)} AS last_value FROM vectors", "vectors")
 def _(t):
-    return M.scale_vectors(t.vectors).select("chunk_id", F.size("embedding").alias("dims"))
+    def shown(place):
+        return F.round(F.round(F.element_at("embedding", place), 10), 6) + 0
+
+    return M.scale_vectors(t.vectors).select("chunk_id", F.size("embedding").alias("dims"), shown(1).alias("first_value"), shown(64).alias("last_value"))
 
 
 @query("pca_fit")
@@ -182,9 +204,13 @@ def _(t):
     return M.pca_report(M.fit_pca(t.vectors, 32), t.spark)
 
 
-@query("pca_transform")
+@query("pca_transform", "SELECT chunk_id, 16 AS dims, true AS no_longer FROM vectors", "vectors")
 def _(t):
-    return M.pca_transform(t.vectors, M.fit_pca(t.vectors, 16)).select("chunk_id", F.size("embedding").alias("dims"))
+    """Reduced vectors: as many components as asked for, and none longer than the centred vector, as components are orthogonal."""
+    model = M.fit_pca(t.vectors, 16, 2.0)
+    centred = F.zip_with(V.doubles(F.col("embedding")), F.array(*map(F.lit, model.means)), lambda x, m: x - m)
+    rows = M.pca_transform(t.vectors.withColumn("whole", V.dot(centred, centred)), model)
+    return rows.select("chunk_id", F.size("embedding").alias("dims"), (V.dot(F.col("embedding"), F.col("embedding")) <= F.col("whole") + 1e-9).alias("no_longer"))
 
 
 @query("pca_reconstruct")
@@ -200,6 +226,8 @@ def _(t):
     return M.quality_report(t.ingestion_log, 0.85)
 
 
-@query("embed_texts")
+@query("embed_texts", "SELECT chunk_id, sha256(text_content) AS content_hash, 256 AS dims, CAST(len(regexp_extract_all(lower(text_content), '[a-z_][a-z0-9_]{2,}')) AS DOUBLE) AS words FROM chunks WHERE text_content IS NOT NULL", "chunks")
 def _(t):
-    return M.embed_texts(t.chunks, 256).select("chunk_id", F.size("embedding").alias("dims"))
+    """A vector's values add up to the words of its text."""
+    rows = M.embed_texts(t.chunks.filter("text_content is not null"), 256)
+    return rows.select("chunk_id", "content_hash", F.size("embedding").alias("dims"), F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x).alias("words"))

@@ -24,8 +24,10 @@ def query(name: str, sql: str | None = None, *views: str) -> Callable:
         if sql is not None:
             joined = sql.strip()
             if joined[:5].upper() == "WITH " and views:
+                recursive = joined[5:].upper().startswith("RECURSIVE ")
                 head = with_views("", *views).rstrip()
-                ORACLE_SQL[name] = f"{head},\n{joined[5:]}"
+                head = head.replace("WITH ", "WITH RECURSIVE ", 1) if recursive else head
+                ORACLE_SQL[name] = f"{head},\n{joined[15 if recursive else 5 :]}"
             else:
                 ORACLE_SQL[name] = with_views(joined, *views)
         return fn

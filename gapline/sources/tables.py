@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import partial
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gapline.functions.fold import let
+
 
-def write_partitioned(rows: DataFrame, path: str, partition: str, cluster: list[str], mode: str = "append", files: int = 1) -> None:
+def write_partitioned(rows: DataFrame, path: str, partition: str, cluster: list[str], mode: str = "append", files: int = 1, curve: bool = False) -> None:
     """Append to a partitioned table, sorted by the cluster columns inside each file (so that statistics prune).
 
-    ``files`` spreads each partition value over that many tasks: with one, a day of all data would be one task's work.
+    ``files`` spreads each partition value over that many tasks: with one, a day of all data would be one task's work. With ``curve``, rows
+    are dealt out and sorted by their place on a curve over all cluster columns, so that filters on any of them skip files and row groups.
     """
+    if curve:
+        keyed = rows.withColumn("_z", curve_key(rows, cluster))
+        keyed = keyed.repartitionByRange(partition, "_z").sortWithinPartitions(partition, "_z").drop("_z")
+        keyed.write.partitionBy(partition).mode(mode).parquet(path)
+        return
     salt = [F.pmod(F.xxhash64(*cluster), F.lit(files))] if files > 1 and cluster else []
     rows.repartition(partition, *salt).sortWithinPartitions(partition, *cluster).write.partitionBy(partition).mode(mode).parquet(path)
 
@@ -70,9 +80,50 @@ def export_report_csv(rows: DataFrame, path: str, order: str) -> None:
     rows.orderBy(order).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def export_sorted_parquet(rows: DataFrame, path: str, order: list[str]) -> None:
-    """Globally sorted: ranges of the keys, each sorted."""
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+def export_sorted_parquet(rows: DataFrame, path: str, order: list[str], clustered: bool = False) -> None:
+    """Globally sorted: ranges of the keys, each sorted. With ``clustered``, in the order of a curve that keeps all keys together."""
+    if clustered:
+        rows.withColumn("_z", curve_key(rows, order)).repartitionByRange("_z").sortWithinPartitions("_z").drop("_z").write.mode("overwrite").parquet(path)
+    else:
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+
+
+def _stepped(table: Column, value: Column, step: int, place: Column) -> Column:
+    return F.when((place + step <= F.size(table)) & (F.get(table, place + step - 1) <= value), place + step).otherwise(place)
+
+
+def curve_key(rows: DataFrame, columns: list[str], bits: int = 8, sample: int = 20_000) -> Column:
+    """A row's place on a Z-order curve: the interleaved bits of its columns' places among ``2 ** bits`` ranges of equal weight.
+
+    Files and row groups in this order hold a small range of every column, where a plain sort narrows the first column only. The ranges
+    come from about ``sample`` rows, chosen by a hash; they decide where a row lies, never whether. Nulls come first.
+    """
+    if not 1 <= len(columns) * bits <= 63:
+        raise ValueError("one to 63 bits in all")
+    total = max(1, rows.count())
+    chosen = rows.select(*columns).filter(F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) < int(min(1.0, sample / total) * (1 << 30)))
+    seen = chosen.limit(2 * sample).toPandas()  # a bounded sample: skewed hashes (equal rows) are cut
+    places = []
+    for c in columns:
+        values = sorted(seen[c].dropna().tolist())
+        cuts = sorted({values[len(values) * i // (1 << bits)] for i in range(1, 1 << bits)}) if values else []
+        kind = rows.schema[c].dataType
+        place = F.lit(0)
+        if cuts:
+            # Binary search, as an expression of ``bits`` steps over the array of cuts.
+            table = F.array(*[F.lit(x).cast(kind) for x in cuts])
+            for bit in reversed(range(bits)):
+                place = let(place, partial(_stepped, table, F.col(c), 1 << bit))
+        places.append(F.coalesce(place, F.lit(0)).cast("long"))
+
+    def interleaved(at: Column) -> Column:
+        key = F.lit(0).cast("long")
+        for bit in range(bits):
+            for n in range(len(columns)):
+                key = key.bitwiseOR(F.shiftleft(F.shiftright(F.get(at, F.lit(n)), bit).bitwiseAND(F.lit(1).cast("long")), bit * len(columns) + n))
+        return key
+
+    return let(F.array(*places), interleaved)
 
 
 def table_stats(tables: dict[str, DataFrame]) -> DataFrame:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from gapline.operators.upsert import insert_new_chunks
+from gapline.sources.shared import exists
+from gapline.streaming.requests import LATE
 
 Batch = Callable[[DataFrame, int], None]
+#: Buckets of an ingest target; it can't be changed for a target that exists.
+BUCKETS = 64
 
 
 def run_available(stream: DataFrame, handle: Batch, checkpoint: str, mode: str = "append") -> None:
@@ -30,28 +35,55 @@ def stream_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
     run_available(stream, write, checkpoint, "update")
 
 
-def stream_ingest(stream: DataFrame, path: str, checkpoint: str) -> None:
+@contextmanager
+def stateful(spark: SparkSession) -> Iterator[None]:
+    """Queries that start here keep their state in RocksDB; the session's setting is put back."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def stream_ingest(stream: DataFrame, path: str, checkpoint: str, event_time: str | None = None, buckets: int = BUCKETS) -> None:
     """Append rows whose content hash the target has not: exactly once for each hash, also when a batch is repeated.
 
-    Each batch writes its own folder (``batch=<id>``), so a repeated batch replaces what it wrote; hashes of earlier batches are
-    found in the target by an anti-join.
+    With ``event_time``, deliveries of a row (content_hash, chunk_id) that follow within :data:`LATE` of it end in the stream's state
+    and never reach the target. The target is dealt into buckets of the hash, one folder for each bucket and batch
+    (``bucket=<b>/batch=<id>``). A batch reads the buckets that its hashes fall into, and of those the hashes of earlier batches;
+    a repeated batch replaces the folders that it wrote. Rows without a hash can't be told apart and are rejected.
     """
+    if event_time is not None:
+        stream = stream.withWatermark(event_time, LATE).dropDuplicatesWithinWatermark(["content_hash", "chunk_id"])
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        known = earlier(spark, path, number, batch)
-        insert_new_chunks(batch, known).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        rows = batch.filter("content_hash is not null").withColumn("bucket", bucket_of(F.col("content_hash"), buckets)).persist()
+        try:
+            hit = sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())  # as many as there are buckets, at most
+            fresh = insert_new_chunks(rows, known_hashes(rows, path, number, hit))
+            fresh.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
+        finally:
+            rows.unpersist()
 
     run_available(stream, write, checkpoint)
 
 
-def earlier(spark: SparkSession, path: str, number: int, like: DataFrame) -> DataFrame:
-    """What batches before ``number`` have written."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if number == 0 or not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return spark.createDataFrame([], like.schema)
-    schema = StructType([*like.schema.fields, StructField("batch", IntegerType())])
-    return spark.read.option("basePath", path).schema(schema).parquet(path).filter(F.col("batch") < number).drop("batch")
+def bucket_of(content_hash: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(content_hash), F.lit(buckets)).cast("int")
+
+
+def known_hashes(like: DataFrame, path: str, number: int, hit: list[int]) -> DataFrame:
+    """content_hash, bucket of what batches before ``number`` wrote into the buckets ``hit``; no other folder is opened."""
+    spark = like.sparkSession
+    if number == 0 or not hit or not exists(spark, path):
+        return spark.createDataFrame([], "content_hash string, bucket int")
+    schema = StructType([*[f for f in like.schema.fields if f.name != "bucket"], StructField("bucket", IntegerType()), StructField("batch", IntegerType())])
+    return spark.read.option("basePath", path).schema(schema).parquet(path).filter(F.col("bucket").isin(hit) & (F.col("batch") < number)).select("content_hash", "bucket")
 
 
 def stream_gap_metrics(stream: DataFrame, score: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> None:
