@@ -11,8 +11,12 @@ are parsed whole, in stretches of ``STRETCH`` symbols that advance side by side.
 state in which its predecessor ended is carried into it, until both runs are in the same state (``SETTLED`` symbols mostly suffice, else
 the stretch is run again), so phrases go on over the borders and their number is that of one run over the text.
 
+Memory: for each language about twice as many states as characters learned, at most 260,000 with texts of ``LONGEST`` characters. A table
+of all states and letters takes up to ``DENSE`` entries (64 MB); alphabets that need more (Chinese, Japanese, Korean) take some 24 bytes for
+each step that is there, about 10 MB a language.
+
 Defined cases: null texts and texts without a letter are ``und`` with score 0; texts of unknown letters tie, and ties go to the
-language that sorts first, with score 0; without any labelled text everything is ``und``; an empty table gives an empty result;
+language with more labelled documents (then to the one that sorts first), with score 0; without any labelled text everything is ``und``; an empty table gives an empty result;
 very long texts are read whole, in stretches; repeated rows are judged each; other columns are ignored; rows without an id are judged but never learned from.
 """
 
@@ -32,6 +36,8 @@ from pyspark.sql import functions as F
 DOCS, LONGEST = 16, 8192
 #: Symbols of a stretch, and of its beginning that is read first when a state is carried into it.
 STRETCH, SETTLED = 1024, 96
+#: Entries up to which an automaton is a table of all states and symbols (4 bytes each).
+DENSE = 1 << 24
 #: Symbols parsed together.
 TOGETHER = 1 << 20
 UNKNOWN = "und"
@@ -59,15 +65,52 @@ def learn(docs: DataFrame, docs_each: int = DOCS, longest: int = LONGEST) -> Mod
     found: dict[str, list[str]] = {}
     for r in rows:
         found.setdefault(r["lang"], []).append(r["piece"])
-    return tuple((lang, " ".join(pieces)) for lang, pieces in sorted(found.items()))
+    known = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
+    return tuple((lang, " ".join(found[lang])) for lang in sorted(found, key=lambda x: (-known.get(x, 0), x)))
 
 
-def automaton(symbols: list[int], size: int) -> np.ndarray:
-    """Transitions of the suffix automaton of ``symbols`` as one flat table, row for row of ``size`` entries.
+class Automaton:
+    """The suffix automaton of one language's training text, over the letters of that text.
 
-    An entry is the start of the next row, times 4, plus the phrases that the step ends: 0 where the match goes on, else 1,
-    or 2 if the symbol is in no training text and so is a phrase of its own.
+    A step's code is the next state times 4 plus the phrases that the step ends: 0 where the match goes on, else 1, or 2 if the symbol
+    is in no training text and so is a phrase of its own. Up to :data:`DENSE` entries the steps of all states are one table; else those
+    that are there (at most three for each symbol learned) are searched in order, so memory grows with the text and not with the
+    alphabet. Both give the same steps.
     """
+
+    def __init__(self, symbols: np.ndarray, size: int):
+        own = np.unique(symbols)
+        # Symbols of other languages' letters are all alike here: the last one, which no state knows.
+        self.local = np.full(size, len(own), np.int32)
+        self.local[own] = np.arange(len(own))
+        self.size = len(own) + 1
+        self.states, start, letter, target = transitions(self.local[symbols].tolist())
+        restart = np.full(self.size, 2, np.int64)
+        at_root = start == 0
+        restart[letter[at_root]] = target[at_root] * 4 + 1
+        self.restart = restart.astype(np.int32)
+        self.at_root = np.where(restart == 2, 1, restart).astype(np.int32)
+        self.dense = self.states * self.size <= DENSE
+        if self.dense:
+            self.table = np.tile(self.restart, self.states)
+            self.table[: self.size] = self.at_root
+            self.table[start * self.size + letter] = target * 4
+        else:
+            key = start * self.size + letter
+            order = np.argsort(key, kind="stable")
+            self.key, self.target = key[order], (target[order] * 4).astype(np.int32)
+
+    def step(self, at: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        place = at.astype(np.int64) * self.size + symbol
+        if self.dense:
+            return self.table[place]
+        found = np.minimum(np.searchsorted(self.key, place), len(self.key) - 1)
+        other = np.where(at == 0, self.at_root[symbol], self.restart[symbol])
+        return np.where(self.key[found] == place, self.target[found], other)
+
+
+def transitions(symbols: list[int]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of states of the suffix automaton of ``symbols``, and its steps: from, symbol, to."""
     follow: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols:
@@ -93,22 +136,20 @@ def automaton(symbols: list[int], size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    restart = np.array([follow[0][c] * size * 4 + 1 if c in follow[0] else 2 for c in range(size)], np.int32)
-    flat = np.tile(restart, len(follow))
-    flat[:size][restart == 2] = 1
-    at = [s * size + c for s, row in enumerate(follow) for c in row]
-    flat[at] = [t * size * 4 for row in follow for t in row.values()]
-    return flat
+    start = np.array([s for s, row in enumerate(follow) for _ in row], np.int64)
+    letter = np.array([c for row in follow for c in row], np.int64)
+    target = np.array([t for row in follow for t in row.values()], np.int64)
+    return len(follow), start, letter, target
 
 
 @functools.lru_cache(maxsize=2)
-def prepared(model: Model) -> tuple[np.ndarray, int, list[np.ndarray]]:
-    """Code point to symbol, number of symbols, a table for each language; built once in each worker."""
+def prepared(model: Model) -> tuple[np.ndarray, int, list[Automaton]]:
+    """Code point to symbol, number of symbols, an automaton for each language; built once in each worker."""
     letters = sorted({c for _, text in model for c in text.lower() if c.isalpha()})
     size = FIRST + len(letters) + 1
-    codes = np.fromiter((size - 1 if chr(c).isalpha() else GAP for c in range(0x110000)), np.uint16, 0x110000)
+    codes = np.fromiter((size - 1 if chr(c).isalpha() else GAP for c in range(0x110000)), np.int32, 0x110000)
     codes[[ord(c) for c in letters]] = np.arange(FIRST, FIRST + len(letters))
-    return codes, size, [automaton(symbols(text, codes).tolist(), size) for _, text in model]
+    return codes, size, [Automaton(symbols(text, codes), size) for _, text in model]
 
 
 def symbols(text: str, codes: np.ndarray) -> np.ndarray:
@@ -133,16 +174,19 @@ class Stretches:
             row[: len(p)] = p
         self.grid = np.ascontiguousarray(grid.T)
 
-    def run(self, table: np.ndarray, some: np.ndarray, start: np.ndarray, end: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """States and ended phrases of some stretches, after ``SETTLED`` symbols and at the end; they start in the given states."""
+    def run(self, table: Automaton, symbols: np.ndarray, some: np.ndarray, start: np.ndarray, end: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """States and ended phrases of some stretches, after ``SETTLED`` symbols and at the end; they start in the given states.
+
+        ``symbols`` is the grid in the automaton's own symbols.
+        """
         lengths = self.lengths[some]
         at, ended = start.copy(), np.zeros(len(some), np.int64)
-        grid = self.grid if len(some) == len(self.lengths) else self.grid[:, some]
+        grid = symbols if len(some) == len(self.lengths) else symbols[:, some]
         open_rows = (lengths[None, :] > np.arange(lengths[0])[:, None]).sum(axis=1).tolist()
         for j, n in enumerate(open_rows[:end]):
             if j == SETTLED:
                 yield at.copy(), ended.copy()
-            step = table[at[:n] + grid[j, :n]]
+            step = table.step(at[:n], grid[j, :n])
             ended[:n] += step & 3
             at[:n] = step >> 2
         if len(open_rows) <= SETTLED:
@@ -150,7 +194,7 @@ class Stretches:
         yield at, ended
 
 
-def phrases(texts: list[np.ndarray], tables: list[np.ndarray]) -> np.ndarray:
+def phrases(texts: list[np.ndarray], tables: list[Automaton]) -> np.ndarray:
     """Phrases that each text (as symbols) needs in each language."""
     out = np.zeros((len(texts), len(tables)), np.int64)
     if not any(len(t) for t in texts):
@@ -158,17 +202,18 @@ def phrases(texts: list[np.ndarray], tables: list[np.ndarray]) -> np.ndarray:
     rows = Stretches(texts)
     every = np.arange(len(rows.lengths))
     for j, table in enumerate(tables):
-        (early, early_ended), (at, ended) = rows.run(table, every, np.zeros(len(every), np.int32))
+        grid = table.local[rows.grid]
+        (early, early_ended), (at, ended) = rows.run(table, grid, every, np.zeros(len(every), np.int32))
         start = np.zeros(len(every), np.int32)
         # Stretches whose predecessor ended in another state than they were started in.
         while len(wrong := np.flatnonzero((rows.before >= 0) & (at[rows.before] != start))):
             start[wrong] = at[rows.before[wrong]]
-            *_, (now, n) = rows.run(table, wrong, start[wrong], SETTLED)
+            *_, (now, n) = rows.run(table, grid, wrong, start[wrong], SETTLED)
             same = now == early[wrong]
             ended[wrong[same]] += n[same] - early_ended[wrong[same]]
             early_ended[wrong[same]] = n[same]
             if len(rest := wrong[~same]):
-                (early[rest], early_ended[rest]), (at[rest], ended[rest]) = rows.run(table, rest, start[rest])
+                (early[rest], early_ended[rest]), (at[rest], ended[rest]) = rows.run(table, grid, rest, start[rest])
         np.add.at(out[:, j], rows.owners, ended + ((at > 0) & rows.last))
     return out
 
@@ -176,7 +221,7 @@ def phrases(texts: list[np.ndarray], tables: list[np.ndarray]) -> np.ndarray:
 def judge(texts: list[str | None], model: Model) -> tuple[list[str], list[float]]:
     """Language and margin of each text: one minus the phrases of the best over those of the second best."""
     codes, size, tables = prepared(model)
-    read = [symbols(t, codes) if isinstance(t, str) else np.zeros(0, np.uint16) for t in texts]
+    read = [symbols(t, codes) if isinstance(t, str) else np.zeros(0, np.int32) for t in texts]
     langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
     known = [k for k, s in enumerate(read) if tables and (s != GAP).any()]
     counts = phrases([read[k] for k in known], tables)

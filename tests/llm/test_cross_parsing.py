@@ -100,3 +100,50 @@ def test_edges(spark):
     assert kept.columns == docs.columns and kept.count() == 7
     assert {r["lang_pred"] for r in cp.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert cp.identify(docs.limit(0)).count() == 0
+
+
+def scripts(seed, n, letters):
+    """Texts of a made-up language over so many letters, with words that come back."""
+    rng = np.random.default_rng(seed)
+    words = ["".join(rng.choice(letters, rng.integers(1, 5))) for _ in range(400)]
+    return [" ".join(rng.choice(words, 60)) for _ in range(n)]
+
+
+def test_sparse_steps_equal_dense_ones(monkeypatch):
+    rng = np.random.default_rng(8)
+    model = (("a", "".join(rng.choice(list("abcdef"), 900))), ("b", "".join(rng.choice(list("cdefgh"), 700))), ("c", "x"))
+    texts = ["".join(rng.choice(list("abcdefghijé "), 500)) for _ in range(20)] + ["", "x", "xxxx", "ij"]
+    seen = []
+    for bound in (1 << 24, 0, 900 * 8):
+        monkeypatch.setattr(cp, "DENSE", bound)
+        cp.prepared.cache_clear()
+        codes, _, tables = cp.prepared(model)
+        seen.append(cp.phrases([cp.symbols(t, codes) for t in texts], tables).tolist())
+    cp.prepared.cache_clear()
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_large_alphabets(spark):
+    """Three scripts of thousands of letters beside Latin ones: no table of all states and letters, bounded memory, right languages."""
+    han, kana, hangul = [chr(0x4E00 + i) for i in range(9000)], [chr(0x3041 + i) for i in range(80)] + [chr(0x6000 + i) for i in range(2500)], [chr(0xAC00 + i) for i in range(4000)]
+    rows = []
+    for lang, letters in (("zh", han), ("ja", kana), ("ko", hangul), ("en", list("etaoinshr")), ("xx", list("qwzjkvxyp"))):
+        rows += [(lang, t) for t in scripts(len(letters), 60, letters)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = cp.learn(docs)
+    assert {lang for lang, _ in model} == {"zh", "ja", "ko", "en", "xx"}
+    found = {r["doc_id"]: r["lang_pred"] for r in cp.identify(docs, model).collect()}
+    assert sum(found[i] == lang for i, (lang, _) in enumerate(rows)) > 0.97 * len(rows)
+    long = tuple((lang, "".join(x for t in scripts(k, 330, letters) for x in t)[:131_072]) for k, (lang, letters) in enumerate((("zh", han), ("ja", kana), ("ko", hangul))))
+    _, _, tables = cp.prepared(long)
+    cp.prepared.cache_clear()
+    for t in tables:
+        held = sum(x.nbytes for x in (t.local, t.restart, t.at_root, *((t.table,) if t.dense else (t.key, t.target))))
+        assert held < 100 << 20 and t.states <= 2 * 131_072
+
+
+def test_ties_go_to_the_frequent_language(spark):
+    rows = [(i, "der hund und die katze", "de") for i in range(8)] + [(100 + i, "the dog and the cat", "en") for i in range(30)] + [(1000, "жж", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in cp.identify(docs).collect()}
+    assert got[1000] == ("en", 0.0) and got[0][0] == "de"
