@@ -8,8 +8,9 @@ to) as raw bytes: a record is a row, and the row separator is an empty skippable
 Of records with equal payloads of at least ``REVISIT_BYTES`` bytes, the one with the largest page_id is the ``response`` and the
 others are ``revisit`` records without a body that refer to it.
 
-Defined cases: null html is an empty payload, null url an empty target; rows that repeat page_id and payload are written each and
-share their type; rows without an id are responses; very long payloads are one record each, whole; an empty table writes no archive; other columns are ignored. Where an
+Defined cases: null html is an empty payload, null url an empty target; of rows that repeat both the largest page_id and its payload one
+is the response, and the others revisit it; rows without an id count below all ids, and are responses where no record of their payload
+has an id; the dictionary learns from the first 64 KB of each of an archive's first records, which bears on size only; very long payloads are one record each, whole; an empty table writes no archive; other columns are ignored. Where an
 archive's records are too few or too alike to build a dictionary, it has no leading frame.
 """
 
@@ -40,13 +41,14 @@ FIELDS = "page_id bigint, url string, payload_bytes bigint, payload_digest strin
 
 
 def record_types(pages: DataFrame) -> DataFrame:
-    """(page_id, digest, record_type, refers_to) of each distinct page_id and payload; the html itself is not shuffled."""
+    """(page_id, digest, record_type, refers_to, repeated) of each distinct page_id and payload; the html itself is not shuffled."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     small = pages.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("bytes"))
     last = small.filter(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("last"))
-    small = small.select("page_id", "digest").distinct().join(last, "digest", "left")
-    visits = F.col("page_id").isNotNull() & F.col("last").isNotNull() & (F.col("page_id") < F.col("last"))
-    return small.select("page_id", "digest", F.when(visits, "revisit").otherwise("response").alias("record_type"), F.when(visits, F.col("last")).alias("refers_to"))
+    small = small.groupBy("page_id", "digest").agg(F.count("*").alias("n")).join(last, "digest", "left")
+    visits = F.col("last").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("last")))
+    repeated = (F.col("n") > 1) & F.col("last").isNotNull() & ~visits
+    return small.select("page_id", "digest", F.when(visits, "revisit").otherwise("response").alias("record_type"), F.when(visits, F.col("last")).alias("refers_to"), repeated.alias("repeated"))
 
 
 def urn(page_id: int | None) -> str:
@@ -107,16 +109,21 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
     row = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("digest"))
     full = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), digest.alias("digest"))
     full = full.select("page_id", "url", "html", row.alias("row")).repartition(archives, "row")
-    kinds = record_types(pages).select(row.alias("row"), "record_type", "refers_to").repartition(archives, "row")
-    joined = full.join(kinds, "row").select("page_id", "url", "html", "record_type", "refers_to")
+    kinds = record_types(pages).select(row.alias("row"), "record_type", "refers_to", "repeated").repartition(archives, "row")
+    joined = full.join(kinds, "row").select("page_id", "url", "html", "record_type", "refers_to", F.when(F.col("repeated"), F.col("row")).alias("again"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[bytes]:
+            seen: set[str] = set()  # of rows that repeat both id and payload, the first is the response
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
-                    for row in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html", "record_type", "refers_to")), strict=True):
-                        yield page_record(*row)
+                    for page_id, url, html, kind, refers_to, again in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html", "record_type", "refers_to", "again")), strict=True):
+                        if again is not None and again in seen:
+                            kind, refers_to = "revisit", page_id
+                        elif again is not None:
+                            seen.add(again)
+                        yield page_record(page_id, url, html, kind, refers_to)
 
         held, size = [], 0
         for frame in archive(records()):
