@@ -32,8 +32,8 @@ BLOCK = 1 << 16
 SAMPLE = 4096
 #: Relative cost of one probe row (made, shuffled, sorted) and of one candidate comparison.
 PROBE_COST, CANDIDATE_COST = 1.0, 0.02
-#: Rows of one bucket that a task joins before the bucket is salted.
-BUCKET = 2000
+#: Rows of a bucket whose pairs are all links, rows of a bucket that a task holds before the bucket is salted, probes compared at a time.
+CROWDED, BUCKET, PROBED = 32, 2000, 512
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -145,10 +145,12 @@ def signed(mask: int) -> int:
 
 
 def links(unique: DataFrame, radius: int = 3) -> DataFrame:
-    """Pairs (hi, lo) of different fingerprints within ``radius`` bits; ``unique(fp)`` holds distinct fingerprints.
+    """Pairs (hi, lo) of different fingerprints that keep together what is within ``radius`` bits; ``unique(fp)`` holds distinct ones.
 
-    Rows that share a part exactly meet once by an ordered self-join of the index; thresholds above 0 add probes with
-    changed bits. A bucket of more than ``BUCKET`` rows is salted: its index rows are dealt out, its probes repeated.
+    Rows that share a part exactly meet once by an ordered self-join of the index; thresholds above 0 add probes with changed bits. A
+    bucket of up to ``CROWDED`` rows gives all its pairs within the radius. A larger one would give their square: there every
+    probe is compared with every row, but each block of them gives one link for each member of the components that it holds, to
+    the smallest, so links grow with the fingerprints. Buckets of more than ``BUCKET`` rows are dealt out over salts, with their probes.
     """
     n, both = bit_counts(unique)
     sample = unique.orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
@@ -163,12 +165,57 @@ def links(unique: DataFrame, radius: int = 3) -> DataFrame:
         own = F.col("fp").bitwiseAND(mask)
         probe.append(F.array(*[F.struct(F.lit(k).alias("part"), own.bitwiseXOR(F.lit(signed(f))).alias("v")) for f in flips]))
     rows = unique.select("fp", F.explode(F.array(*index)).alias("k")).select("fp", "k.part", "k.v")
-    heavy = rows.groupBy("part", "v").count().filter(F.col("count") > BUCKET).select("part", "v", F.ceil(F.col("count") / BUCKET).cast("int").alias("salts"))
-    rows = rows.join(heavy, ["part", "v"], "left").select("part", "v", F.col("fp").alias("a"), F.pmod(F.xxhash64("fp"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
-    asks = unique.select("fp", F.explode(F.concat(*probe)).alias("k")).select("fp", "k.part", "k.v")
-    asks = asks.join(heavy, ["part", "v"], "left").select("part", "v", F.col("fp").alias("b"), F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    crowded = rows.groupBy("part", "v").count().filter(F.col("count") > CROWDED).select("part", "v", F.ceil(F.col("count") / BUCKET).cast("int").alias("salts"))
+    rows = rows.join(crowded, ["part", "v"], "left")
+    asks = unique.select("fp", F.explode(F.concat(*probe)).alias("k")).select("fp", "k.part", "k.v").join(crowded, ["part", "v"], "left")
+
+    few = rows.filter("salts is null").select("part", "v", F.col("fp").alias("a")).join(asks.filter("salts is null").select("part", "v", F.col("fp").alias("b")), ["part", "v"])
     near = (F.col("a") > F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-    return rows.join(asks, (rows.part == asks.part) & (rows.v == asks.v) & (rows.salt == asks.salt) & near).select(F.col("a").alias("hi"), F.col("b").alias("lo"))
+    few = few.filter(near).select(F.col("a").alias("hi"), F.col("b").alias("lo"))
+
+    dealt = rows.filter("salts is not null").select("part", "v", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("asks"), "fp")
+    asked = asks.filter("salts is not null").select("part", "v", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("asks"), "fp")
+    met = dealt.unionByName(asked).repartition("part", "v", "salt").sortWithinPartitions("part", "v", "salt", "asks")
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, np.zeros(0, np.int64)
+        for batch in batches:
+            part, v, salt, is_probe, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "v", "salt", "asks", "fp"))
+            change = (part[1:] != part[:-1]) | (v[1:] != v[:-1]) | (salt[1:] != salt[:-1]) | (is_probe[1:] != is_probe[:-1])
+            cuts = [0, *(np.flatnonzero(change) + 1).tolist(), len(fp)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if (key := (part[a], v[a], salt[a])) != now:
+                    now, held = key, np.zeros(0, np.int64)
+                if not is_probe[a]:
+                    held = np.concatenate([held, fp[a:b]])
+                    continue
+                for at in range(a, b, PROBED):
+                    hi, lo = star_links(held, fp[at : min(b, at + PROBED)], radius)
+                    if len(hi):
+                        yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo)], ["hi", "lo"])
+
+    return few.unionByName(met.mapInArrow(stars, "hi bigint, lo bigint"))
+
+
+def star_links(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the components that pairs of both sets within ``radius`` bits make: a link from each member to the smallest one."""
+    near = np.bitwise_count((left[:, None] ^ right[None, :]).view(np.uint64)) <= radius
+    a, b = np.nonzero(near)
+    nodes, at = np.unique(np.concatenate([left[a], right[b]]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        before = root.copy()
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        root = root[root]
+        if (root == before).all():
+            break
+    moved = root != np.arange(len(nodes))
+    return nodes[moved], nodes[root[moved]]
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -76,3 +76,37 @@ def test_every_link_is_found(spark):
     for radius_plan in (3,):
         got = {tuple(r) for r in simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"), radius_plan).collect()}
         assert got == want
+
+
+def components(edges):
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    groups = {}
+    for x in list(parent):
+        groups.setdefault(find(x), set()).add(x)
+    return {frozenset(g) for g in groups.values()}
+
+
+def test_dense_balls(spark, monkeypatch):
+    """Thousands of fingerprints around a few: links grow with them and not with their pairs, and components are those of all pairs."""
+    rng = np.random.default_rng(11)
+    fps = set()
+    for centre in rng.integers(0, 2**63, 4, dtype=np.uint64).tolist():
+        for _ in range(1250):
+            fps.add(centre ^ int(sum(1 << int(f) for f in rng.choice(64, rng.integers(0, 4), replace=False))))
+    values = np.array(sorted(fps), np.uint64)
+    near = [(int(values[i]), int(values[j])) for i in range(len(values)) for j in np.flatnonzero(np.bitwise_count(values[:i] ^ values[i]) <= 3).tolist()]
+    df = spark.createDataFrame([(int(x),) for x in values.view(np.int64)], "fp long")
+    for bucket in (2000, 300):
+        monkeypatch.setattr(simhash, "BUCKET", bucket)
+        got = [(r["hi"] % (1 << 64), r["lo"] % (1 << 64)) for r in simhash.links(df).collect()]
+        assert len(near) > 30 * len(values) and len(got) < 30 * len(values)
+        assert components(got) == components(near)
