@@ -70,20 +70,23 @@ SELECT 'cobol:' || CAST(p_partkey AS STRING) AS chunk_id, 'cobol' AS artifact_ty
        || '           05  ITEM-SIZE PIC S9(' || CAST(p_size AS STRING) || ') COMP-3.' || chr(10)
        || '           05  ITEM-TYPE PIC X(25) OCCURS 3 TIMES.' || chr(10)
        || '               88  IS-KNOWN VALUE ''' || p_type || '''.'
-       || CASE WHEN p_partkey % 5 = 0 THEN chr(10) || '      * PURPOSE: prices ' || p_name || chr(10) || CASE WHEN p_partkey % 2 = 0 THEN '      * INPUT: the item' || chr(10) || '      * OUTPUT: the price' || chr(10) ELSE '' END || '       PROCEDURE DIVISION.' || chr(10) || '       MAIN SECTION.' ELSE '' END AS text_content,
+       || CASE WHEN p_partkey % 5 = 0 THEN chr(10) || '      * PURPOSE: prices ' || p_name || chr(10) || CASE
+         WHEN p_partkey % 2 = 0 THEN '      * INPUT: the item' || chr(10) || '      * OUTPUT: the price' || chr(10) ELSE '' END || '       PROCEDURE DIVISION.' || chr(10) || '       MAIN SECTION.' ELSE '' END AS text_content,
        CAST(NULL AS STRING) AS metadata
 FROM part
 UNION ALL
 SELECT 'fastapi:' || CAST(o_orderkey AS STRING), 'fastapi',
        '@app.' || CASE CAST(o_orderkey % 3 AS INT) WHEN 0 THEN 'get' WHEN 1 THEN 'post' ELSE 'delete' END || '("/orders/' || CAST(o_custkey AS STRING) || '"'
        || CASE WHEN o_orderkey % 4 = 0 THEN ', response_model=Order' ELSE '' END || ')' || chr(10) || 'def handler():' || chr(10)
-       || CASE WHEN o_orderkey % 2 = 0 THEN '    ' || repeat('"', 3) || 'Return order ' || o_orderpriority || CASE WHEN o_orderkey % 8 = 0 THEN ' with all parameters, responses and usage examples' ELSE '' END || repeat('"', 3) || chr(10) ELSE '' END
+       || CASE WHEN o_orderkey % 2 = 0 THEN '    ' || repeat('"', 3) || 'Return order ' || o_orderpriority || CASE
+         WHEN o_orderkey % 8 = 0 THEN ' with all parameters, responses and usage examples' ELSE '' END || repeat('"', 3) || chr(10) ELSE '' END
        || CASE WHEN o_orderkey % 5 = 0 THEN '    try:' || chr(10) || '        pass' || chr(10) || '    except ValueError:' || chr(10) || '        raise HTTPException(status_code=404)' ELSE '    return 1' END,
        CAST(NULL AS STRING)
 FROM orders
 UNION ALL
 SELECT 'irs:' || CAST(s_suppkey AS STRING), 'irs',
-       'IRS Individual Master File Record Layout' || chr(10) || 'Record Type: Individual (Type 01)' || chr(10) || 'Layout Version: 2024.' || CAST(s_nationkey AS STRING) || chr(10)
+       'IRS Individual Master File Record Layout' || chr(10) || 'Record Type: Individual (Type 01)' || chr(10) || 'Layout Version: 2024.' ||
+         CAST(s_nationkey AS STRING) || chr(10)
        || CASE WHEN s_suppkey % 2 = 0 THEN 'Field Name: ID' || chr(10) || 'Description: number' || chr(10) ELSE '' END
        || CASE WHEN s_suppkey % 3 = 0 THEN 'Format: numeric' || chr(10) || 'Position: 001' || chr(10) ELSE '' END
        || 'Field Definitions:' || chr(10)
@@ -94,7 +97,8 @@ SELECT 'irs:' || CAST(s_suppkey AS STRING), 'irs',
 FROM supplier
 UNION ALL
 SELECT 'mumps:' || CAST(c_custkey AS STRING), 'mumps',
-       CASE WHEN c_custkey % 5 = 0 THEN 'CUST ;' || c_mktsegment || chr(10) || ' ;;1.0;MAIN;FILE' || chr(10) || ' ;; PURPOSE: looks a customer up' || chr(10) || CASE WHEN c_custkey % 2 = 0 THEN ' ;; INPUT: number' || chr(10) || ' ;; OUTPUT: name' || chr(10) ELSE '' END ELSE '' END
+       CASE WHEN c_custkey % 5 = 0 THEN 'CUST ;' || c_mktsegment || chr(10) || ' ;;1.0;MAIN;FILE' || chr(10) || ' ;; PURPOSE: looks a customer up' || chr(10) ||
+         CASE WHEN c_custkey % 2 = 0 THEN ' ;; INPUT: number' || chr(10) || ' ;; OUTPUT: name' || chr(10) ELSE '' END ELSE '' END
        || '^DD(' || CAST(c_nationkey AS STRING) || ',.01,0)="NAME^RF^^0;1^K:$L(X)>30 X"' || chr(10)
        || CASE WHEN c_custkey % 2 = 0 THEN 'TYPE: FREE TEXT' || chr(10) ELSE '' END
        || CASE WHEN c_custkey % 3 = 0 THEN 'HELP-PROMPT: "Answer must be text"' || chr(10) ELSE '' END
@@ -102,9 +106,11 @@ SELECT 'mumps:' || CAST(c_custkey AS STRING), 'mumps',
        CAST(NULL AS STRING)
 FROM customer
 UNION ALL
-SELECT 'kubernetes:' || CAST(s_suppkey AS STRING), 'kubernetes', 'apiVersion: apps/v1' || chr(10) || 'kind: Deployment' || chr(10) || 'metadata:' || chr(10) || '  name: ' || LOWER(REPLACE(s_name, '#', '-')),
+SELECT 'kubernetes:' || CAST(s_suppkey AS STRING), 'kubernetes',
+  'apiVersion: apps/v1' || chr(10) || 'kind: Deployment' || chr(10) || 'metadata:' || chr(10) || '  name: ' || LOWER(REPLACE(s_name, '#', '-')),
        '{"annotations":{' || CASE WHEN s_suppkey % 2 = 0 THEN '"description":"Serves orders for ' || s_name || '"' ELSE '' END || '},"labels":{"app":"' || s_name || '"},'
-       || '"spec":{"template":{"spec":{"securityContext":{"runAsNonRoot":' || CASE WHEN s_suppkey % 3 = 0 THEN 'true' ELSE 'false' END || '},"containers":[{"resources":{'
+       || '"spec":{"template":{"spec":{"securityContext":{"runAsNonRoot":' || CASE
+         WHEN s_suppkey % 3 = 0 THEN 'true' ELSE 'false' END || '},"containers":[{"resources":{'
        || CASE WHEN s_suppkey % 4 = 0 THEN '"limits":{"cpu":"1"}' ELSE '' END || '},"securityContext":{"allowPrivilegeEscalation":false,"readOnlyRootFilesystem":true}}]}}}}'
 FROM supplier
 """,

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from gapline.sources.shared import new_folder, written
 
-#: Bins of a range, and values of a range that are ordered as they are.
-BINS, LEAF = 4096, 100_000
+#: Bins of a range, values of a range that are ordered as they are, ranges that are sent to the rows.
+BINS, LEAF, RANGES = 4096, 100_000, 200_000
 
 
 def bin_of(v: Column, low: Column, high: Column) -> Column:
@@ -36,13 +36,15 @@ def exact_percentiles(rows: DataFrame, by: list[str], value: str, ps: list[float
 
     position = [(F.col("n") - 1) * F.lit(p) for p in ps]
     ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(x), F.ceil(x)) for x in position])))
-    ends = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    ends = written(rows.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")), f"{folder}/ends")
     wanted = ends.select("g", "n", F.explode(ranks).alias("rank"), F.lit(0).cast("long").alias("before"), "low", "high", F.col("n").alias("inside"))
     ranges = ends.select("g", "low", "high")
 
     def inside(ranges: DataFrame) -> DataFrame:
+        """Rows within the ranges; few ranges go to the rows, which then stay where they are, however large one group is."""
+        few = ranges.count() <= RANGES
         ranges = ranges.select(F.col("g").alias("of"), "low", "high")
-        return rows.join(ranges, (F.col("g") == F.col("of")) & F.col("v").between(F.col("low"), F.col("high"))).drop("of")
+        return rows.join(F.broadcast(ranges) if few else ranges, (F.col("g") == F.col("of")) & F.col("v").between(F.col("low"), F.col("high"))).drop("of")
 
     def chosen(counted: DataFrame, order: str, *fields: Column) -> DataFrame:
         """The part of each range in which each wanted rank lies."""

@@ -4,7 +4,8 @@ Equal sets are one class; only classes are compared, so copies make no pairs. A
 of sizes m and n with similarity t share at least ``t / (1 + t) (m + n)`` tokens, so each holds a shared token among its first
 ``n - ceil(t n) + 1``: these prefixes are joined by token, and a hit stays a candidate if the sizes admit the similarity and the tokens
 behind the hit suffice for the overlap. Candidates are then compared in full. Rare tokens come first, so a token that most documents
-have is in a prefix only where a document has no others.
+have is in a prefix only where a document has no others. Candidates grow with the square of the number of different sets that share a
+prefix token; joins that are skewed by one are split by AQE.
 
 Null ids and null or empty sets take no part; repeated ids with equal sets count once.
 """

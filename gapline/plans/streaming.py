@@ -43,12 +43,18 @@ for _name, _every, _unit in (("request_counts_hourly", "1 hour", "hour"), ("requ
         return through_stream(t, lambda s: R.request_counts(s, every), ["window_start"])
 
 
-@query("performance_alerts", "SELECT * FROM (SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, count(*) AS requests, count(*) FILTER (status_code >= 400) AS errors, round(count(*) FILTER (status_code >= 400)::DOUBLE / count(*), 6) AS error_rate FROM requests GROUP BY 1) WHERE error_rate > 0.25", "requests")
+@query("performance_alerts", """
+  SELECT * FROM (SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, count(*) AS requests, count(*) FILTER (status_code >= 400) AS errors,
+    round(count(*) FILTER (status_code >= 400)::DOUBLE / count(*), 6) AS error_rate FROM requests GROUP BY 1) WHERE error_rate > 0.25
+""", "requests")
 def _(t):
     return through_stream(t, lambda s: R.window_errors(s), ["window_start"]).filter("error_rate > 0.25")
 
 
-@query("error_rate", "SELECT endpoint, count(*) AS requests, count(*) FILTER (status_code >= 400) AS errors, round(count(*) FILTER (status_code >= 400)::DOUBLE / count(*), 6) AS error_rate FROM requests GROUP BY endpoint", "requests")
+@query("error_rate", """
+  SELECT endpoint, count(*) AS requests, count(*) FILTER (status_code >= 400) AS errors,
+    round(count(*) FILTER (status_code >= 400)::DOUBLE / count(*), 6) AS error_rate FROM requests GROUP BY endpoint
+""", "requests")
 def _(t):
     return through_stream(t, R.error_rate, ["endpoint"])
 
@@ -58,7 +64,10 @@ def _(t):
     return through_stream(t, R.requests_by_status, ["status_code"])
 
 
-@query("endpoint_latency", "SELECT endpoint, count(*) AS requests, round(avg(duration_ms), 6) AS avg_ms, min(duration_ms) AS min_ms, max(duration_ms) AS max_ms, round(quantile_cont(duration_ms, 0.5), 6) AS median_ms FROM requests GROUP BY endpoint", "requests")
+@query("endpoint_latency", """
+  SELECT endpoint, count(*) AS requests, round(avg(duration_ms), 6) AS avg_ms, min(duration_ms) AS min_ms, max(duration_ms) AS max_ms,
+    round(quantile_cont(duration_ms, 0.5), 6) AS median_ms FROM requests GROUP BY endpoint
+""", "requests")
 def _(t):
     return R.endpoint_latency(t.requests)
 
@@ -73,7 +82,8 @@ PEAK = """
 WITH r AS (SELECT ts, ts + to_microseconds(CAST(round(duration_ms * 100000) * 1000 AS BIGINT)) AS e FROM requests),
 s AS (SELECT ts, e, unnest(generate_series(date_trunc('hour', ts)::TIMESTAMP, date_trunc('hour', e)::TIMESTAMP, INTERVAL 1 HOUR)) AS bucket FROM r),
 x AS (SELECT bucket, greatest(ts, bucket) AS tt, 1 AS d FROM s UNION ALL SELECT bucket, e, -1 FROM s WHERE date_trunc('hour', e)::TIMESTAMP = bucket)
-SELECT bucket, CAST(max(r) AS BIGINT) AS peak FROM (SELECT bucket, sum(d) OVER (PARTITION BY bucket ORDER BY tt, d DESC ROWS UNBOUNDED PRECEDING) AS r FROM x) GROUP BY bucket
+SELECT bucket, CAST(max(r) AS BIGINT) AS peak FROM (SELECT bucket, sum(d) OVER (PARTITION BY bucket ORDER BY tt, d DESC ROWS UNBOUNDED PRECEDING) AS r
+  FROM x) GROUP BY bucket
 """
 
 
@@ -94,7 +104,10 @@ def _(t):
     return R.unique_clients(t.requests)
 
 
-@query("auth_outcomes", "SELECT user_agent, count(*) AS attempts, count(*) FILTER (status_code < 400) AS successes, round(count(*) FILTER (status_code < 400)::DOUBLE / count(*), 6) AS success_rate FROM requests GROUP BY user_agent", "requests")
+@query("auth_outcomes", """
+  SELECT user_agent, count(*) AS attempts, count(*) FILTER (status_code < 400) AS successes,
+    round(count(*) FILTER (status_code < 400)::DOUBLE / count(*), 6) AS success_rate FROM requests GROUP BY user_agent
+""", "requests")
 def _(t):
     return R.auth_outcomes(t.requests)
 
@@ -227,19 +240,38 @@ def _(t):
     return t.spark.read.schema(S.RUNS).parquet(f"{base}/log").select("status", "rows_written", "bytes")
 
 
-@query("table_stats", "SELECT 'orders' AS table_name, (SELECT count(*) FROM orders) AS row_count, 6 AS column_count UNION ALL SELECT 'part', (SELECT count(*) FROM part), 6 UNION ALL SELECT 'lineitem', (SELECT count(*) FROM lineitem), 11")
+@query("table_stats", """
+  SELECT 'orders' AS table_name, (SELECT count(*) FROM orders) AS row_count, 6 AS column_count UNION ALL SELECT 'part', (SELECT count(*) FROM part), 6
+    UNION ALL SELECT 'lineitem', (SELECT count(*) FROM lineitem), 11
+""")
 def _(t):
     return S.table_stats({"orders": t.orders, "part": t.part, "lineitem": t.lineitem})
 
 
-@query("scan_corpus")
+#: Where pages go by their number: two folders that a scan reads, three that it leaves out (excluded, hidden, excluded below another), and binary files.
+FOLDERS = ("src", "docs/deep", "node_modules", ".cache", "src/build", "data")
+SCANNED = """
+SELECT CASE page_id % 6 WHEN 0 THEN 'src' ELSE 'docs/deep' END AS folder, CAST(sum(length(replace(coalesce(html, ''), chr(10), ' ')) + 1) AS BIGINT) AS n_chars,
+       count(*) AS n_lines, 'utf-8' AS encodings, 0 AS errors
+FROM pages WHERE page_id % 6 < 2 GROUP BY 1
+"""
+
+
+@query("scan_corpus", SCANNED)
 def _(t):
-    """Pages written as text files with an ending each, then scanned as a folder (by Spark's own writer and reader)."""
+    """Pages as lines of text files in a tree of folders, by Spark's own writer; scanned, read and added up by folder."""
     from gapline.sources import files as P
 
     base = folder(t)
-    t.pages.select(F.regexp_replace("html", "\n", " ").alias("value")).write.text(f"{base}/site")
-    return P.read_text_with_fallback(P.scan_corpus(t.spark, f"{base}/site", (".txt",), most_bytes=1 << 30)).select("path", F.length("text").alias("n_chars"), "encoding", "error")
+    line = F.regexp_replace(F.coalesce("html", F.lit("")), "\n", " ")
+    for k, name in enumerate(FOLDERS):
+        rows = t.pages.filter(F.col("page_id") % len(FOLDERS) == k)
+        rows.select(F.concat(F.lit("\0" if name == "data" else ""), line).alias("value")).write.text(f"{base}/site/{name}")
+    texts = P.read_text_with_fallback(P.scan_corpus(t.spark, f"{base}/site", (".txt",), most_bytes=1 << 30))
+    texts = texts.filter("text <> '' or error is not null").withColumn("folder", F.regexp_extract("path", "/site/(.*)/[^/]*$", 1))
+    n = F.length("text")
+    lines = F.sum(n - F.length(F.replace("text", F.lit("\n"), F.lit(""))))
+    return texts.groupBy("folder").agg(F.sum(n).alias("n_chars"), lines.alias("n_lines"), F.array_join(F.array_sort(F.collect_set("encoding")), ",").alias("encodings"), F.count("error").cast("int").alias("errors"))
 
 
 @query("read_text_with_fallback")

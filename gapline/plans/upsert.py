@@ -15,7 +15,10 @@ def hashed(t):
 
 
 # The target holds every third chunk.
-NEW = f"{HASHED}, tg AS (SELECT * FROM hs WHERE CAST(chunk_id AS BIGINT) % 3 = 0), nw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY chunk_id) AS n FROM hs) WHERE n = 1 AND content_hash NOT IN (SELECT content_hash FROM tg))"
+NEW = f"""
+  {HASHED}, tg AS (SELECT * FROM hs WHERE CAST(chunk_id AS BIGINT) % 3 = 0), nw AS (SELECT * FROM (SELECT *,
+    row_number() OVER (PARTITION BY content_hash ORDER BY chunk_id) AS n FROM hs) WHERE n = 1 AND content_hash NOT IN (SELECT content_hash FROM tg))
+"""
 
 
 @query("insert_new_chunks", f"WITH {NEW} SELECT chunk_id, source, created_at, content_hash FROM nw", "chunks")
@@ -31,15 +34,20 @@ def _(t):
 
 
 @query("merge_metrics", """
-WITH u AS (SELECT gap_id, rule_id, event_id AS version, status, severity, 0 AS nw FROM gap_history WHERE event_id % 2 = 0 UNION ALL SELECT gap_id, rule_id, event_id, status, severity, 1 FROM gap_history WHERE event_id % 3 = 0)
-SELECT gap_id, rule_id, version, status, severity FROM (SELECT *, row_number() OVER (PARTITION BY gap_id, rule_id ORDER BY version DESC, nw DESC) AS n FROM u) WHERE n = 1
+WITH u AS (SELECT gap_id, rule_id, event_id AS version, status, severity, 0 AS nw FROM gap_history WHERE event_id % 2 = 0 UNION ALL SELECT gap_id,
+  rule_id, event_id, status, severity, 1 FROM gap_history WHERE event_id % 3 = 0)
+SELECT gap_id, rule_id, version, status, severity FROM (SELECT *, row_number() OVER (PARTITION BY gap_id, rule_id ORDER BY version DESC, nw DESC) AS n
+  FROM u) WHERE n = 1
 """, "gap_history")
 def _(t):
     rows = t.gap_history.select("gap_id", "rule_id", F.col("event_id").alias("version"), "status", "severity")
     return U.merge_metrics(rows.filter("version % 3 = 0"), rows.filter("version % 2 = 0"), ["gap_id", "rule_id"], "version")
 
 
-@query("pending_chunks", "SELECT chunk_id, source, created_at FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM vectors v WHERE v.chunk_id = c.chunk_id AND v.model = 'm1' AND v.label < 5) ORDER BY created_at, chunk_id LIMIT 100", "chunks", "vectors")
+@query("pending_chunks", """
+  SELECT chunk_id, source, created_at FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM vectors v
+    WHERE v.chunk_id = c.chunk_id AND v.model = 'm1' AND v.label < 5) ORDER BY created_at, chunk_id LIMIT 100
+""", "chunks", "vectors")
 def _(t):
     return U.pending_chunks(t.chunks.select("chunk_id", "source", "created_at"), t.vectors.filter("label < 5"), "m1", 100)
 
@@ -75,8 +83,10 @@ def _(t):
 
 
 @query("rule_coverage", """
-WITH ck AS (SELECT CAST(o_orderkey AS VARCHAR) AS chunk_id, o_orderpriority AS artifact_type FROM orders), m AS (SELECT chunk_id, count(*) AS r FROM gap_metrics GROUP BY chunk_id)
-SELECT artifact_type, count(*) AS chunks, count(r) AS covered, count(*) FILTER (r IS NULL) AS uncovered, CAST(coalesce(sum(r), 0) AS BIGINT) AS results FROM ck LEFT JOIN m USING (chunk_id) GROUP BY artifact_type
+WITH ck AS (SELECT CAST(o_orderkey AS VARCHAR) AS chunk_id, o_orderpriority AS artifact_type FROM orders), m AS (SELECT chunk_id, count(*) AS r
+  FROM gap_metrics GROUP BY chunk_id)
+SELECT artifact_type, count(*) AS chunks, count(r) AS covered, count(*) FILTER (r IS NULL) AS uncovered, CAST(coalesce(sum(r),
+  0) AS BIGINT) AS results FROM ck LEFT JOIN m USING (chunk_id) GROUP BY artifact_type
 """, "gap_metrics")
 def _(t):
     return U.rule_coverage(t.orders.select(F.col("o_orderkey").cast("string").alias("chunk_id"), F.col("o_orderpriority").alias("artifact_type")), t.gap_metrics)
@@ -84,7 +94,8 @@ def _(t):
 
 @query("embedding_cache_join", f"""
 WITH {HASHED}, ca AS (SELECT content_hash FROM hs WHERE CAST(chunk_id AS BIGINT) % 2 = 0 GROUP BY content_hash)
-SELECT count(*) FILTER (content_hash IN (SELECT content_hash FROM ca)) AS hits, count(*) FILTER (content_hash NOT IN (SELECT content_hash FROM ca)) AS misses, count(DISTINCT content_hash) FILTER (content_hash NOT IN (SELECT content_hash FROM ca)) AS calls FROM hs
+SELECT count(*) FILTER (content_hash IN (SELECT content_hash FROM ca)) AS hits, count(*) FILTER (content_hash NOT IN (SELECT content_hash
+  FROM ca)) AS misses, count(DISTINCT content_hash) FILTER (content_hash NOT IN (SELECT content_hash FROM ca)) AS calls FROM hs
 """, "chunks")
 def _(t):
     rows = hashed(t)
@@ -92,7 +103,10 @@ def _(t):
     return U.cache_counts(rows.select("chunk_id", "content_hash"), cache)
 
 
-@query("embedding_metadata", "SELECT c.chunk_id, c.source, c.artifact_type, c.created_at, sha256(c.text_content) AS content_hash, v.model, CAST(len(v.embedding) AS INT) AS dims, len(v.embedding) = 64 AS valid FROM chunks c JOIN vectors v ON c.chunk_id = v.chunk_id", "chunks", "vectors")
+@query("embedding_metadata", """
+  SELECT c.chunk_id, c.source, c.artifact_type, c.created_at, sha256(c.text_content) AS content_hash, v.model, CAST(len(v.embedding) AS INT) AS dims,
+    len(v.embedding) = 64 AS valid FROM chunks c JOIN vectors v ON c.chunk_id = v.chunk_id
+""", "chunks", "vectors")
 def _(t):
     return U.embedding_metadata(t.chunks, t.vectors, 64)
 

@@ -66,7 +66,7 @@ def stream_ingest(stream: DataFrame, path: str, checkpoint: str, event_time: str
         try:
             hit = sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())  # as many as there are buckets, at most
             fresh = insert_new_chunks(rows, known_hashes(rows, path, number, hit))
-            fresh.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
+            fresh.withColumn("batch", F.lit(number)).hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
         finally:
             rows.unpersist()
 

@@ -41,6 +41,8 @@ def test_percentiles(spark, monkeypatch, leaf):
     assert set(got) == set(groups)
     for k, values in groups.items():
         assert got[k][0] == len(values) and got[k][1] == pytest.approx(expected(values, ps), rel=1e-12), k
+    monkeypatch.setattr(Q, "RANGES", 0)
+    assert {r["k"]: list(r["percentiles"]) for r in Q.exact_percentiles(df, ["k"], "x", ps).collect()} == {k: p for k, (_, p) in got.items()}
     nan = Q.exact_percentiles(spark.createDataFrame([(1.0,), (2.0,), (float("nan"),)], "x double"), [], "x", [0.0, 0.5, 1.0]).first()
     assert nan["percentiles"][:2] == [1.0, 2.0] and np.isnan(nan["percentiles"][2])
     assert Q.exact_percentiles(df.limit(0), ["k"], "x", ps).count() == 0
