@@ -54,7 +54,7 @@ def pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
     for k, text in enumerate(texts):
         if not text:
             continue
-        text = chr(START) * (ORDER - 1) + " ".join(text.replace(chr(START), "�").replace("\0", "�").split(" "))
+        text = chr(START) * (ORDER - 1) + text.replace(chr(START), "�").replace("\0", "�")
         for at in range(0, max(1, len(text) - ORDER + 1), TOGETHER):
             owners.append(k)
             parts.append(text[at : at + TOGETHER + ORDER - 1])
@@ -67,11 +67,8 @@ def pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
 
 
 def tidy(text: str | None) -> str | None:
-    """Runs of white space as one blank, none at the ends."""
-    return " ".join(text.translate(_TO_BLANK).split()) if text else text
-
-
-_TO_BLANK = dict.fromkeys((0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0), "�")
+    """Runs of white space of any kind as one blank, none at the ends."""
+    return " ".join(text.split()) if text else text
 
 
 def numbered(values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -108,3 +108,10 @@ def test_edges(spark):
     assert kn.classify(docs.limit(0), ids).count() == 0
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 0, 0), (4, None, None), (5, 1, None), (5, 0, 1)], "doc_id long, quality int, toxic int")
     assert sorted(r[0] for r in kn.trusted_documents(labels).collect()) == [1, 5]
+
+
+def test_white_space_of_any_kind():
+    """A no-break space is a blank, and no sign of broken decoding."""
+    assert kn.tidy("a\u00a0b\u0085c\u2003 d\n") == "a b c d" != kn.tidy("a\ufffdb\ufffdc d")
+    assert kn.tidy(None) is None and kn.tidy(" \u00a0") == ""
+    assert [p for _, parts in kn.pieces(["x\0y"]) for p in parts] == [chr(kn.START) * (kn.ORDER - 1) + "x\ufffdy"]
