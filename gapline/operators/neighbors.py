@@ -14,8 +14,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -187,18 +185,20 @@ class Model:
 
 
 def nearest_centre(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return (rows @ centres.T - (centres * centres).sum(axis=1) / 2).argmax(axis=1)
+    half = (centres * centres).sum(axis=1) / 2
+    return np.concatenate([(rows[at : at + ROWS] @ centres.T - half).argmax(axis=1) for at in range(0, max(1, len(rows)), ROWS)])
 
 
-def centroids(rows: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
-    """k-means of a bounded sample."""
+def centroids(rows: np.ndarray, k: int, rounds: int = 8, seed: int = 7, on_sphere: bool = False) -> np.ndarray:
+    """k-means of a bounded sample; ``on_sphere`` keeps the centres at unit length."""
     rng = np.random.default_rng(seed)
     found = rows[rng.choice(len(rows), k, replace=len(rows) < k)].astype(float)
     for _ in range(rounds):
         at = nearest_centre(rows, found)
         count = np.bincount(at, minlength=k)
         total = np.stack([np.bincount(at, weights=rows[:, d], minlength=k) for d in range(rows.shape[1])], axis=1)
-        found = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], found)
+        size = np.linalg.norm(total, axis=1) if on_sphere else count
+        found = np.where((size > 0)[:, None], total / np.where(size > 0, size, 1)[:, None], found)
     return found
 
 
@@ -220,10 +220,16 @@ def fit(vectors: DataFrame, lists: int | None = None, parts: int = PARTS, rows:
     if not 1 <= lists <= LISTS:
         raise ValueError(f"1 to {LISTS} lists")
     unit = F.transform(doubles(F.col("embedding")), lambda x: x / norm(F.col("embedding")))
-    units = some.select(unit.alias("unit")).withColumn("features", array_to_vector("unit"))
-    # By angle: plain means of scattered vectors are short, and would draw most vectors to a few lists.
-    cells = np.stack(KMeans(k=lists, seed=7, maxIter=10, initMode="random", distanceMeasure="cosine").fit(units.select("features")).clusterCenters())
-    cells = cells / np.maximum(np.linalg.norm(cells, axis=1), 1e-12)[:, None]
+    units = some.select(unit.alias("unit"))
+
+    def centres(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"cells": [centroids(np.stack(group["unit"].to_numpy()).reshape(-1, dims), lists, 10, on_sphere=True).tobytes()]})
+
+    # A bounded sample in one task. By angle: plain means of scattered vectors are short, and would draw most vectors to a few lists.
+    made = units.groupBy().applyInPandas(centres, "cells binary").first()
+    if made is None:
+        raise ValueError("no vectors to fit an index on")
+    cells = np.frombuffer(made["cells"]).reshape(lists, dims)
     width = -(-dims // parts)
     empty = Model(cells, np.zeros((parts, 1, width)))
 
