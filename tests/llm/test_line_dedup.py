@@ -120,3 +120,41 @@ def test_chains_over_blocks_are_found(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(ld, "BLOCK", 4)
     assert shown(ld.drop_lines(docs)) == brute(rows)
+
+
+def test_texts_are_not_split_for_each_line(spark):
+    docs = spark.createDataFrame([(1, "a\nb\na\nc"), (2, "b\n\nd")], "doc_id long, text string")
+    for counts in (False, True):
+        out = ld.drop_lines(docs, counts=counts)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "lambdafunction(split" in plan and "lambdafunction(split(" not in plan
+        assert shown(out) == [("1", "a\nb\nc"), ("2", "\nd")]
+    assert "Generate" not in ld.lines_of(docs)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bits_leave_out_no_similar_line(monkeypatch):
+    rng = np.random.default_rng(5)
+    lines = []
+    for n in (3, 9, 20, 60, 400, 3000):
+        base = "".join(rng.choice(list("abcdefgh "), n))
+        for changes in range(12):
+            x = list(base)
+            for at in rng.choice(n, min(n, changes * max(1, n // 200)), replace=False):
+                x[at] = "#"
+            lines.append("".join(x))
+    found = ld.forest(lines)
+    similar = {(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines)) if jaccard(lines[a], lines[b]) >= ld.SIMILAR}
+    possible = set(map(tuple, found.possible(np.arange(len(lines)))))
+    assert similar <= possible and len(similar) > 30 and len(possible) < len(lines) ** 2 / 4
+    assert all({(a, b) for b in found.near(a, np.arange(a + 1, len(lines)))} == {x for x in similar if x[0] == a} for a in range(len(lines) - 1))
+    found.search(list(range(len(lines))))
+    monkeypatch.setattr(ld, "FEW", 2)
+    other = ld.forest(lines)
+    other.search(list(range(len(lines))))
+    assert len(found.links) == len(other.links) and all((found.root(a) == found.root(b)) == (other.root(a) == other.root(b)) for a in range(len(lines)) for b in range(a))
+
+
+def test_bytes_that_are_no_text(spark):
+    docs = spark.sql("select 1L doc_id, cast(unhex('616263E40A6162630A4162630A') as string) text union all select 2L, cast(unhex('E4') as string)")
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in ld.drop_lines(docs, counts=True).select("doc_id", "n_lines", "n_dropped").collect()}
+    assert got == {1: (4, 1), 2: (1, 0)}
