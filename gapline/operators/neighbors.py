@@ -32,6 +32,8 @@ SHARE, SHORTLIST, LEAST_SHORTLIST = 0.17, 10, 100
 #: Rows that a probe looks at, by neighbours wanted, where that is more than the share.
 LEAST_ROWS = 20
 CENTROIDS = 256
+#: Indexed vectors whose neighbours are looked for when an index is made, about, and neighbours of each.
+MEASURED, MEASURED_NEIGHBOURS = 200, 10
 
 BLOCK = "ids array<string>, width int, data binary"
 FOUND = "rule_name string, chunk_id string, similarity double"
@@ -249,14 +251,16 @@ def fit(vectors: DataFrame, lists: int | None = None, parts: int = PARTS, rows:
 
 
 class Index:
-    """An inverted file on disk: ``rows`` in a folder for each list, ``sizes`` of the lists, and the ``model``, written last."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark = spark
-        row = spark.read.parquet(f"{path}/model").first()
-        self.model = Model(np.frombuffer(row["cells"]).reshape(row["lists"], row["dims"]), np.frombuffer(row["books"]).reshape(row["parts"], CENTROIDS, -1))
+    """An inverted file on disk: ``rows`` in a folder for each list, ``sizes`` of the lists, what was ``measured``, and the ``model``, written last."""
+
+    def __init__(self, spark: SparkSession, path: str, model: Model | None = None):
+        self.spark, self.path = spark, path
+        if model is None:
+            row = spark.read.parquet(f"{path}/model").first()
+            model = Model(np.frombuffer(row["cells"]).reshape(row["lists"], row["dims"]), np.frombuffer(row["books"]).reshape(row["parts"], CENTROIDS, -1))
+        self.model = model
         self.rows = spark.read.schema("chunk_id string, embedding array<float>, code binary, cell int").option("basePath", f"{path}/rows").parquet(f"{path}/rows")
-        self.sizes = np.zeros(row["lists"], np.int64)
+        self.sizes = np.zeros(len(model.cells), np.int64)
         for cell, n in spark.read.parquet(f"{path}/sizes").collect():  # one row for each list, 5000 at most
             self.sizes[cell] = n
 
@@ -277,10 +281,68 @@ class Index:
         coded = vectors.mapInArrow(encode, "chunk_id string, embedding array<float>, code binary, cell int")
         coded.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
         spark.read.parquet(f"{path}/rows").groupBy("cell").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/sizes")
+        needs = cls(spark, path, model).measure(vectors)
+        spark.createDataFrame(needs, "share double, rank long").coalesce(1).write.mode("overwrite").parquet(f"{path}/measured")
         parts = (len(model.cells), model.dims, len(model.books), np.ascontiguousarray(model.cells).tobytes(), np.ascontiguousarray(model.books).tobytes())
         spark.createDataFrame([parts], "lists int, dims int, parts int, cells binary, books binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
         return cls(spark, path)
 
+    def measure(self, vectors: DataFrame) -> list[tuple[float, int]]:
+        """What it takes to find each exact neighbour of some indexed vectors: share of the rows to open, and rank by estimate among all rows.
+
+        The neighbours are those of brute force over all vectors; a vector is no neighbour of its own here.
+        """
+        some = usable(vectors, self.model.dims).filter(F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 30)) < int(min(1, MEASURED / max(1, self.sizes.sum())) * (1 << 30)))
+        local = some.select("chunk_id", doubles(F.col("embedding")).alias("embedding")).dropDuplicates(["chunk_id"]).collect()
+        if not local:
+            return []
+        asked = self.spark.createDataFrame(local, "rule_name string, probe array<double>")
+        exact = semantic_candidates(vectors, asked, MEASURED_NEIGHBOURS + 1, -2.0).filter("rule_name <> chunk_id")
+        # At most eleven rows for each probe: a bounded side.
+        near = self.rows.select("chunk_id", "cell", "code").join(F.broadcast(exact.select("rule_name", "chunk_id")), "chunk_id").dropDuplicates(["rule_name", "chunk_id"]).collect()
+        at = {r["chunk_id"]: n for n, r in enumerate(local)}
+        m = np.array([r["embedding"] for r in local], float)
+        length = np.sqrt((m * m).sum(axis=1))
+        unit = m / np.where(length == 0, 1, length)[:, None]
+        model = self.model
+        tables, to_centre = np.einsum("pmd,mcd->mpc", model.split(unit), model.books), unit @ model.cells.T
+
+        def estimates(p: int, cell: np.ndarray, code: np.ndarray) -> np.ndarray:
+            return to_centre[p, cell] + sum(table[p][code[:, part]] for part, table in enumerate(tables))
+
+        probe = np.array([at[r["rule_name"]] for r in near], int)
+        cell = np.array([r["cell"] for r in near], int)
+        code = np.frombuffer(b"".join(r["code"] for r in near), np.uint8).reshape(len(near), -1)
+        wanted = {p: np.flatnonzero(probe == p) for p in np.unique(probe).tolist()}
+        least = {p: estimates(p, cell[rows], code[rows]) + 1e-9 for p, rows in wanted.items()}
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            above = np.zeros(len(near), np.int64)
+            for batch in batches:
+                cells = batch.column("cell").to_numpy()
+                codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(len(cells), -1)
+                for p, rows in wanted.items():
+                    above[rows] += len(cells) - np.searchsorted(np.sort(estimates(p, cells, codes)), least[p], "right")
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(near))), pa.array(above)], ["n", "above"])
+
+        above = np.zeros(len(near), np.int64)
+        for n, total in self.rows.select("cell", "code").mapInArrow(count, "n long, above long").groupBy("n").agg(F.sum("above")).collect():
+            above[n] = total
+        order = np.argsort(-(unit @ model.cells.T - (model.cells**2).sum(axis=1) / 2), axis=1, kind="stable")
+        upto = np.empty(order.shape)
+        np.put_along_axis(upto, order, np.cumsum(self.sizes[order], axis=1), axis=1)
+        # Neighbours with equal estimates come in order of their ids.
+        return [(float(min(1.0, (upto[p, c] + 0.5) / self.sizes.sum())), int(a) + MEASURED_NEIGHBOURS + 1) for p, c, a in zip(probe.tolist(), cell.tolist(), above.tolist(), strict=True)]
+
+    def reach(self, recall: float) -> tuple[float, int]:
+        """Share of the rows to open and length of the short list that found ``recall`` of the measured neighbours; all rows if nothing was measured."""
+        rows = self.spark.read.parquet(f"{self.path}/measured").collect()  # at most eleven for each measured vector
+        if not rows:
+            return 1.0, int(self.sizes.sum())
+        # Each of the two may lose half of what may be lost.
+        share, rank = (np.quantile([r[c] for r in rows], (1 + recall) / 2, method="higher") for c in ("share", "rank"))
+        return float(share), int(rank)
+
     def lists_of(self, unit: np.ndarray, share: float, least: int = 0) -> list[np.ndarray]:
         """Of each probe the nearest lists, as many as hold ``share`` of all rows or ``least`` rows; at least one that is not empty."""
         order = np.argsort(-(unit @ self.model.cells.T - (self.model.cells**2).sum(axis=1) / 2), axis=1, kind="stable")
@@ -288,29 +350,37 @@ class Index:
         last = np.maximum((upto <= max(least, share * self.sizes.sum())).sum(axis=1), (upto == 0).sum(axis=1) + 1)
         return [o[:n] for o, n in zip(order, last.tolist(), strict=True)]
 
-    def search(self, probes: DataFrame, k: int, share: float = SHARE) -> DataFrame:
+    def search(self, probes: DataFrame, k: int, share: float = SHARE, recall: float | None = None) -> DataFrame:
         """Approximate top-k of each probe.
 
         A probe reads the codes of its nearest lists only, whose folders are all that the scan opens; distance tables of the probe's
         parts to the centroids give an estimate for each code, and the best estimates are compared in full. Probes come in
         blocks of :data:`PROBES`; more than one block is written block by block.
+
+        With ``recall``, the rows to open and the short list are those that found this share of the exact neighbours (up to
+        :data:`MEASURED_NEIGHBOURS` of a vector) when the index was made, in place of ``share`` and the usual length.
         """
+        short = usual = max(SHORTLIST * k, LEAST_SHORTLIST)
+        if recall is not None:
+            share, rank = self.reach(recall)
+            short = max(usual, -(-rank * k // MEASURED_NEIGHBOURS))
+        size = max(1, PROBES * usual // short)
         names = probes.select(F.col("rule_name").cast("string").alias("id"), F.col("probe").cast("array<double>").alias("embedding"))
         block, out = [], None
         schema = pa.schema([("id", pa.string()), ("embedding", pa.list_(pa.float64()))])
         for row in names.toLocalIterator():
             block.append(row.asDict())
-            if len(block) == PROBES:
+            if len(block) == size:
                 out = out or new_folder(self.spark, "search")
-                self._search(pa.RecordBatch.from_pylist(block, schema), k, share).write.mode("append").parquet(out)
+                self._search(pa.RecordBatch.from_pylist(block, schema), k, share, short).write.mode("append").parquet(out)
                 block = []
-        last = self._search(pa.RecordBatch.from_pylist(block, schema), k, share)
+        last = self._search(pa.RecordBatch.from_pylist(block, schema), k, share, short)
         if out is None:
             return last
         last.write.mode("append").parquet(out)
         return self.spark.read.schema(last.schema).parquet(out)
 
-    def _search(self, block: pa.RecordBatch, k: int, share: float) -> DataFrame:
+    def _search(self, block: pa.RecordBatch, k: int, share: float, short: int) -> DataFrame:
         model, names, unit = self.model, np.zeros(0, object), np.zeros((0, self.model.dims))
         for ids, m in matrices(block, "id", "embedding"):
             if m.shape[1] == model.dims:
@@ -319,7 +389,6 @@ class Index:
         for p, lists in enumerate(self.lists_of(unit, share, LEAST_ROWS * k)):
             for cell in lists.tolist():
                 asked.setdefault(cell, []).append(p)
-        short = max(SHORTLIST * k, LEAST_SHORTLIST)
 
         def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tables = np.einsum("pmd,mcd->mpc", model.split(unit), model.books)
@@ -330,7 +399,9 @@ class Index:
             def cut(p: int) -> None:
                 score, ids, cell = (np.concatenate(x) for x in zip(*best[p], strict=True))
                 if len(score) > short:
-                    keep = np.argpartition(-score, short - 1)[:short]
+                    edge = -np.partition(-score, short - 1)[short - 1]
+                    above, ties = np.flatnonzero(score > edge), np.flatnonzero(score == edge)
+                    keep = np.concatenate([above, ties[np.argsort(ids[ties])][: short - len(above)]])
                     score, ids, cell = score[keep], ids[keep], cell[keep]
                 best[p], held[p] = [(score, ids, cell)], len(score)
 
