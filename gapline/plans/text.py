@@ -9,6 +9,7 @@ from gapline.operators import context as K
 from gapline.operators import set_join as SJ
 from gapline.operators import text as X
 from gapline.registry import query
+from gapline.sources.shared import new_folder
 
 # Documents with Windows and old Mac line ends, trailing spaces and blank runs.
 ROUGH = """
@@ -288,7 +289,7 @@ WITH s AS (SELECT chunk_id, list_sort(list_distinct(regexp_extract_all(text_cont
 SELECT chunk_id AS id, min(chunk_id) OVER (PARTITION BY t) AS class_id FROM s WHERE len(t) > 0
 """, "chunks")
 def _(t):
-    _, members = SJ.similar_pairs(t.chunks.select(F.col("chunk_id").alias("id"), "text_content"), T.word_tokens(F.col("text_content")), 0.8)
+    _, members = SJ.classes(t.chunks.select(F.col("chunk_id").alias("id"), "text_content"), T.word_tokens(F.col("text_content")), new_folder(t.spark, "set-join"))
     return members
 
 

@@ -94,6 +94,44 @@ def test_similar_sets(spark, threshold):
     assert "Cartesian" not in plan_of(pairs) and "NestedLoop" not in plan_of(pairs)
 
 
+def written_by(spark, run):
+    """Bytes that the stages of a run wrote to shuffles and tables."""
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    before = {stages().apply(i).stageId() for i in range(stages().size())}
+    result = run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    after = stages()
+    new = [x for x in (after.apply(i) for i in range(after.size())) if x.stageId() not in before]
+    return result, sum(x.shuffleWriteBytes() + x.outputBytes() for x in new)
+
+
+def test_similar_sets_write_little(spark):
+    """Sets that share rare tokens and are not similar are not shuffled pair by pair."""
+    rng = random.Random(11)
+    docs = [(f"d{i:04d}", [f"a{rng.randint(0, 400)}" for _ in range(60)] + [f"b{i}_{n}" for n in range(40)]) for i in range(1200)]
+    docs += [("near", docs[5][1][:-1]), ("near", docs[5][1][:-1]), ("near", docs[7][1][1:])]
+    df = spark.createDataFrame(docs, "id string, tokens array<string>").repartition(4).cache()
+    size = sum(len(t) for _, tokens in docs for t in tokens)
+    rows, bytes_ = written_by(spark, lambda: SJ.similar_pairs(df, F.col("tokens"), 0.3)[0].collect())
+    sets = {i: set(t) for i, t in docs[:1200]}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.3 * len(sets[a] | sets[b])}
+    assert {(r["a_id"], r["b_id"]) for r in rows if r["b_id"] != "near"} == want
+    assert {r["a_id"] for r in rows if r["b_id"] == "near"} == {"d0005", "d0007"}
+    assert bytes_ < 6 * size
+
+
+@pytest.mark.parametrize("limit", ["NAMED", "HITS", "TOKENS", "BLOCK"])
+def test_similar_sets_in_small_steps(spark, monkeypatch, limit):
+    rng = random.Random(2)
+    docs = [(f"d{i:03d}", [f"t{rng.randint(0, 30)}" for _ in range(rng.randint(1, 30))]) for i in range(150)]
+    df = spark.createDataFrame(docs + docs[:70] * 3, "id string, tokens array<string>").repartition(3)
+    whole = sorted(tuple(r) for r in SJ.similar_pairs(df, F.col("tokens"), 0.4)[0].collect())
+    assert len(whole) == len({r[:2] for r in whole}) > 100
+    monkeypatch.setattr(SJ, limit, {"NAMED": 0, "BLOCK": 100}.get(limit, 64))
+    assert sorted(tuple(r) for r in SJ.similar_pairs(df, F.col("tokens"), 0.4)[0].collect()) == whole
+    assert SJ.similar_pairs(df.limit(0), F.col("tokens"), 0.4)[0].count() == 0
+
+
 def groups_read(path, column, low, high):
     """Share of the row groups that a filter on a column must read, by their statistics."""
     all_, hit = 0, 0
