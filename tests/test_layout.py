@@ -120,6 +120,18 @@ def test_similar_sets_write_little(spark):
     assert bytes_ < 6 * size
 
 
+def test_near_copies_write_little(spark):
+    """Sets of a cluster of near copies are shuffled once for each block, not once for each pair."""
+    rng = random.Random(12)
+    base = [[f"w{rng.randint(0, 5000)}" for _ in range(100)] for _ in range(4)]
+    docs = [(f"d{i:04d}", [*base[i % 4], f"own{i}"]) for i in range(800)]
+    df = spark.createDataFrame(docs, "id string, tokens array<string>").repartition(4).cache()
+    size = sum(len(t) for _, tokens in docs for t in tokens)
+    rows, bytes_ = written_by(spark, lambda: SJ.similar_pairs(df, F.col("tokens"), 0.8)[0].collect())
+    assert {(r["a_id"], r["b_id"]) for r in rows} == {(a, b) for a, _ in docs for b, _ in docs if a < b and int(a[1:]) % 4 == int(b[1:]) % 4}
+    assert len(rows) == 4 * 200 * 199 // 2 and bytes_ < 3.6 * size, bytes_ / size
+
+
 @pytest.mark.parametrize("limit", ["NAMED", "HITS", "TOKENS", "BLOCK"])
 def test_similar_sets_in_small_steps(spark, monkeypatch, limit):
     rng = random.Random(2)
